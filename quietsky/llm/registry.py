@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from quietsky.llm import mixing, ring, secrets
+from quietsky.llm import flac, mixing, ring, secrets, voronoi
 
-_MODULES = (ring, mixing, secrets)
+_MODULES = (ring, mixing, secrets, flac, voronoi)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
