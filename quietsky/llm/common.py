@@ -29,7 +29,8 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     """Writes df into the shared folder and reads it back: lineage ends there, and a lost executor costs a read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # uncompressed: these tables are light, and the codecs' direct buffers outlive their tasks
+    df.write.option("compression", "none").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

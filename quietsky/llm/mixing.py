@@ -76,9 +76,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", weights: tuple = WEIGHTS, max_r
     cut is sorted: no task gets a whole source. Null sources are one source, the last; null or repeated keys
     share their random number and are told apart by size; empty documents take nothing; an empty table gives none.
     """
-    docs = docs.select(key, "source", "size").withColumn("affinity", affinity(F.col("size")))
+    docs = cut(docs.select(key, "source", "size"), "mix-docs").withColumn("affinity", affinity(F.col("size")))
     strata = docs.groupBy("source", "affinity").agg(F.sum("size").alias("words"))
-    strata = cut(strata, "mix-strata")  # sources times some 20 lengths
     per_source = targets(strata.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeat)
     plan = copies(strata.join(per_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s"), max_repeat)
     plan = plan.withColumnsRenamed({"source": "_s", "affinity": "_a"})
