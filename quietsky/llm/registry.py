@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
-from quietsky.llm import flac, jaccard, language, mixing, quality, ring, secrets, voronoi
+from quietsky.llm import flac, jaccard, language, mixing, pseudo, quality, ring, secrets, voronoi
 
-_MODULES = (ring, mixing, secrets, language, flac, quality, jaccard, voronoi)
+_MODULES = (ring, mixing, secrets, language, flac, quality, pseudo, jaccard, voronoi)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in getattr(module, "ORACLES", {}).items()}
