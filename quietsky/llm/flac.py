@@ -21,7 +21,7 @@ from quietsky.llm.common import table
 BLOCK = 1024
 RATE = 8000
 ORDER, PRECISION, SHIFT = 4, 12, 9
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
