@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quietsky.llm.common import table
 
@@ -127,7 +128,7 @@ def hash_of(key: str) -> Column:
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], key: str = "doc_id") -> DataFrame:
     """key, lang_pred, score and ambiguous of each row of docs(key, text).
 
-    Only the text counts. Null texts and texts without a letter are `und` with score 0, and so is everything if
+    Only the text counts; key may be any column, a struct of the whole row for one. Null texts and texts without a letter are `und` with score 0, and so is everything if
     nothing was learned. Equal texts get equal results; repeated rows are returned each; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one row for each n-gram slot, one column for each bit
@@ -148,7 +149,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], k
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "lang_pred", "score", "ambiguous"])
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
+    schema = T.StructType().add(docs.schema[key]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    return docs.select(key, "text").mapInArrow(run, schema)
 
 
 def learned(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
