@@ -1,0 +1,80 @@
+"""The pipeline's stages on small documents, and that what is left without it still works."""
+
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+
+ROOT = Path(__file__).resolve().parents[2]
+DATA = "/root/testdata/sf0.001"
+has_data = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    own = spark.read.parquet(f"{DATA}/documents.parquet").select(*COLUMNS)
+    text = own.where("length(text) between 400 and 3000").orderBy("doc_id").limit(3).select("text").collect()
+    secret = "q7" * 16
+    rows = [(9001, text[0][0] + " extra", "en", "src1", 1), (9002, text[0][0] + " extra", "en", "src1", 1), (9002, text[0][0] + " extra", "en", "src1", 1), (9003, None, None, None, None), (9004, "", "en", "src2", 0), (9005, "123 456", "en", "src3", 7)]
+    rows += [(9006, f"the other and of the thing that was in it: token: {secret}", "en", "src4", 5), (None, "and the other of the thing", "en", None, 3)]
+    return own.unionByName(spark.createDataFrame(rows, own.schema)).cache()
+
+
+def ids(df):
+    return sorted(r[0] for r in df.select("doc_id").collect() if r[0] is not None)
+
+
+@has_data
+def test_stages_decide_and_keep_columns(spark, docs):
+    stage = dict(corpus_pipeline.STAGES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language identification", "n-gram jaccard join", "secret scan", "mixing to target weights", "sentencepiece encoding"]
+    first = stage["language identification"](spark, docs, DATA).cache()
+    assert first.columns == COLUMNS and set(ids(docs)) - set(ids(first)) == {9003, 9004, 9005}
+    second = stage["n-gram jaccard join"](spark, first, DATA).cache()
+    groups = corpus_pipeline.jaccard.near_components(first)
+    assert second.columns == COLUMNS and ids(second) == sorted({r[0] for r in groups.where("doc_id is not null").select("component_id").distinct().collect()})
+    assert second.where("doc_id is null").count() == 1 and not {9001, 9002} & set(ids(second))
+    third = stage["secret scan"](spark, second, DATA).cache()
+    assert third.columns == COLUMNS and ids(third) == ids(second)
+    marked = third.where("doc_id = 9006").first()
+    assert marked["text"].endswith("token: [SECRET]") and marked["n_chars"] == len(marked["text"])
+    same = third.join(second.select("doc_id", F.col("text").alias("before")), "doc_id").where("text <> before")
+    assert same.where("text not like '%[SECRET]%'").count() == 0
+    fourth = stage["mixing to target weights"](spark, third, DATA).cache()
+    assert fourth.columns == COLUMNS and max(r["count"] for r in fourth.groupBy("doc_id").count().collect()) <= 3
+    want = corpus_pipeline.mixing.mix(third.select("doc_id", "source", corpus_pipeline.word_count(F.col("text")).alias("size")))
+    assert fourth.count() == want.agg(F.sum("copies")).first()[0]
+    last = stage["sentencepiece encoding"](spark, fourth, DATA)
+    assert last.count() == fourth.count() and last.where("not roundtrip").count() == 0
+
+
+@has_data
+def test_empty_documents(spark, docs):
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, DATA)
+        assert none.count() == 0
+
+
+@has_data
+def test_clashing_extra_columns(spark, docs):
+    more = docs.where("doc_id < 40 or doc_id > 9000").withColumns({"score": F.lit("x"), "live": F.lit(1), "copies": F.lit(2), "lang_pred": F.lit("?")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        more = stage(spark, more, DATA)
+        assert more.columns == [*COLUMNS, "score", "live", "copies", "lang_pred"]
+    assert more.count() > 0 and more.where("score <> 'x' or copies <> 2").count() == 0
+
+
+def test_the_rest_works_without_these(tmp_path):
+    for name in ("quietsky", "__spark_entry__.py"):
+        source = ROOT / name
+        (shutil.copytree if source.is_dir() else shutil.copy)(source, tmp_path / name)
+    shutil.rmtree(tmp_path / "quietsky/llm")
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'stats_baseline' in q and not [k for k in q if k.startswith('op') or k == 'pipeline']; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
