@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quietsky.llm.common import cut, table
@@ -136,14 +137,28 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray, stan
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, node long, matches int, tokens array<long>")
 
 
+def _prefix(n: Column, matches: Column, percent: int) -> Column:
+    """Shingles in a prefix."""
+    return n - F.floor((percent * n + 99) / 100) + matches
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """Length, prefix and position filters on one shared token at place i of n in each: exact for the first matches of a pair."""
+    """Filters on one shared token at place i of n in each: by length, prefix, position, and by what each shares with any other.
+
+    A pair's m-th shared token has at most m - 1 before it, so all pass of the first m of a pair that links. Of a document's
+    prefix `lone` shingles are in nobody else's prefix, `before` of them rarer than the shared token. Those before it are not in
+    the partner, whose prefix reaches the token too; all lone ones are not if its own prefix ends first, as one of the two does.
+    """
     na, nb, ia, ib = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}i", f"{b}i"))
     m = F.least(f"{a}matches", f"{b}matches")
-    least = lambda n: F.floor((percent * n + 99) / 100)
     overlap = F.floor((percent * (na + nb) + (100 + percent) - 1) / (100 + percent))
     return (
-        (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (ia < na - least(na) + m) & (ib < nb - least(nb) + m) & (F.least(na - ia, nb - ib) >= overlap - m + 1)
+        (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+        & (ia < _prefix(na, m, percent))
+        & (ib < _prefix(nb, m, percent))
+        & (F.least(na - ia, nb - ib) >= overlap - m + 1)
+        & (F.least(na - F.col(f"{a}before"), nb - F.col(f"{b}before")) >= overlap)
+        & (F.greatest(na - F.col(f"{a}lone"), nb - F.col(f"{b}lone")) >= overlap)
     )
 
 
@@ -164,35 +179,31 @@ def components(edges: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """node and its shingles, for the nodes that wanted(doc_id) stand for, and perhaps some more.
 
-    A bitmap of fixed size tells tasks which documents to read, so texts are not shuffled; where it is full it only lets more through.
+    A bitmap of fixed size picks the documents to read, so texts are not shuffled; where it is full it only lets more through.
     """
-    spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
-    bits = bytearray(1 << (BITMAP_BITS - 3))
-    at = wanted.select((slot + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    for r in at.collect():  # at most 2**BITMAP_BITS bits
-        place = (r["bucket"] - 1) * len(r["bits"])
-        bits[place : place + len(r["bits"])] = r["bits"][: len(bits) - place]
-    shared = spark.sparkContext.broadcast(bytes(bits))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)) + 1
+    ones = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+    at = F.bitmap_bit_position(F.col("s")).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), bitorder="little"), _Words()
+        words = _Words()
         for batch in batches:
-            keep = np.flatnonzero(held[batch.column(0).to_numpy()])
-            for a in range(0, len(keep), 500):
-                texts = batch.column(1).take(pa.array(keep[a : a + 500])).cast(pa.binary()).to_pylist()
-                sets = [shingles(t, width, words) for t in texts]
+            for a in range(0, batch.num_rows, 500):
+                sets = [shingles(t, width, words) for t in batch.column(0).slice(a, 500).cast(pa.binary()).to_pylist()]
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed=len(s)) for s in sets], dtype=np.uint64).view(np.int64)
                 offsets = pa.array(np.append(0, np.cumsum([len(s) for s in sets])), pa.int32())
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "tokens"])
 
-    rows = docs.select(slot.alias("s"), "text").where("s is not null").mapInArrow(run, "node long, tokens array<long>")
-    return rows.dropDuplicates(["node"])
+    # at most 2**BITMAP_BITS bits are sent to the tasks
+    rows = docs.where("doc_id is not null").select(slot.alias("s"), "text").withColumn("bucket", F.bitmap_bucket_number("s")).join(F.broadcast(ones), "bucket")
+    return rows.where(F.bit_get(byte, F.pmod(at, F.lit(8))) == 1).select("text").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(docs: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs(a, b) whose sets link, by their exact intersection."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node").select("doc_id")
+    sets = cut(_sets(docs, wanted, width), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
     full = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
@@ -217,26 +228,30 @@ def near_components(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     nodes = held.where("n > 0 and doc_id is not null").groupBy("node", "n", "matches").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
     nodes = cut(nodes, "nodes")
     rows = nodes.select("node", "n", "matches", F.posexplode("tokens").alias("i", "token"))
-    hubs = rows.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("i", "n", "node", "matches")).alias("hub")).where("c > 1").drop("c")
-    shared = cut(rows.join(hubs, "token").select("token", "node", "n", "matches", "i", F.col("hub.node").alias("h_node"), F.col("hub.n").alias("h_n"), F.col("hub.i").alias("h_i"), F.col("hub.matches").alias("h_matches")), "shared")
-    stars = shared.where((F.col("node") != F.col("h_node")) & _may_link("", "h_", percent))
+    met = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    # a node has at most its prefix of rows
+    lone = _prefix(F.col("n"), F.col("matches"), percent) - F.count("*").over(W.partitionBy("node"))
+    before = F.col("i") + 1 - F.row_number().over(W.partitionBy("node").orderBy("i"))
+    shared = cut(rows.join(met, "token").withColumns({"lone": lone.cast("int"), "before": before}), "shared")
+    own = ("node", "n", "i", "matches", "lone", "before")
+    hubs = shared.groupBy("token").agg(F.min(F.struct("before", *[c for c in own if c != "before"])).alias("hub"))
+    stars = shared.join(hubs.select("token", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in own]), "token")
+    stars = stars.where((F.col("node") != F.col("h_node")) & _may_link("", "h_", percent))
     stars = cut(stars.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")).distinct(), "stars")
     ids = nodes.select("node", "doc_id")
-    active = shared.select("node").distinct().join(ids, "node").select("doc_id")
-    sets = cut(_sets(docs, active, width), "sets")
-    links = cut(_linked(stars, sets, percent), "links")
+    links = cut(_linked(docs, ids, stars, width, percent), "links")
     labels = components(links)
 
-    marked = shared.join(labels, "node", "left").select("token", "node", "n", "matches", "i", F.coalesce("label", "node").alias("label"))
+    marked = shared.join(labels, "node", "left").select("token", *own, F.coalesce("label", "node").alias("label"))
     sizes = marked.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"))
     marked = cut(marked.join(sizes.where("labels > 1").select("token", "most"), "token"), "marked")
-    minor = marked.where("label <> most").select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "matches", "i", "label")])
+    minor = marked.where("label <> most").select("token", *[F.col(c).alias(f"l_{c}") for c in (*own, "label")])
     once = (F.col("label") == F.col("most")) | (F.col("l_node") < F.col("node"))
     met = minor.join(marked, (minor["token"] == marked["token"]) & (F.col("l_label") != F.col("label")) & once & _may_link("l_", "", percent))
     need = F.least("l_matches", "matches")
     pairs = met.groupBy(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b"), need.alias("need")).agg(F.count("*").alias("c"))
-    pairs = pairs.where("c >= need").select("a", "b").join(stars, ["a", "b"], "left_anti")
-    more = cut(_linked(pairs, sets, percent), "links")
+    pairs = cut(pairs.where("c >= need").select("a", "b").join(stars, ["a", "b"], "left_anti"), "pairs")
+    more = cut(_linked(docs, ids, pairs, width, percent), "links")
     labels = components(links.unionByName(more))
 
     smallest = labels.join(ids, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
