@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quietsky.llm.common import table
 
@@ -354,11 +353,6 @@ def _chunks(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[tuple[int, in
         yield begin, len(sizes)
 
 
-def _payload(text: str | None) -> bytes:
-    raw = (text or "").encode()
-    return raw + bytes(-len(raw) % 64 or (0 if raw else 64))
-
-
 def to_media(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_bytes and media (a FLAC stream of the text's UTF-8 bytes and zeros up to a multiple of 64) of each row; a null text is empty."""
 
