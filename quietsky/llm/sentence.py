@@ -23,10 +23,14 @@ from quietsky.llm.common import shared_dir, table
 SPACE = "▁"
 #: Stands for U+2581 in a text, as that stands for a space in pieces; a noncharacter.
 OWN_SPACE = "\U0010fffe"
-#: Words encoded once and sent to all tasks, at most.
-COMMON = 1 << 18
+#: Words encoded once, and sent to all tasks as hashes and ids, at most.
+COMMON = 1 << 20
+#: The seed of Spark's xxhash64().
+SEED = 42
 #: Bytes of text whose rarer words are encoded together.
 BLOCK_BYTES = 16 << 20
+#: Words whose lattices a task makes, about.
+WORDS_A_TASK = 16_000
 
 
 @dataclass(frozen=True)
@@ -85,7 +89,7 @@ def load(path: str | None = None) -> Vocabulary:
 
 
 def lattice(words: DataFrame, keys: list[str], vocab: Vocabulary) -> DataFrame:
-    """keys and ids, the best path of each row of words(*keys, word): pieces' ids, and minus the code point of a character without a piece.
+    """keys and ids, the best path of each row of words(*keys, word): pieces' ids, and -1 minus the code point of a character without a piece.
 
     The paths of highest summed score; of equal ones that whose last piece is longest. Rows must be unique by keys. The groups
     are made where words lies: partitioned by some of the keys, it is not shuffled again.
@@ -93,32 +97,32 @@ def lattice(words: DataFrame, keys: list[str], vocab: Vocabulary) -> DataFrame:
     spark = words.sparkSession
     pieces = spark.createDataFrame(list(vocab.pieces), "piece string, id int, score double")
     n = F.length("word")
-
-    def from_place(i: Column) -> Column:
-        def part(m: Column) -> Column:
-            return F.struct((i + m).alias("end"), i.alias("start"), F.substring(F.col("word"), i + 1, m).alias("piece"))
-
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(vocab.longest), n - i)), part)
-
-    parts = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_place)))
-    rows = words.where("word <> ''").select(*keys, parts.alias("e")).select(*keys, "e.end", "e.start", "e.piece")
+    starts = words.where("word <> ''").select(*keys, "word", F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(vocab.longest), n - F.col("start")))
+    rows = starts.select(*keys, "word", "start", F.explode(lengths).alias("m"))
+    rows = rows.select(*keys, "start", (F.col("start") + F.col("m")).alias("end"), F.substring(F.col("word"), F.col("start") + 1, F.col("m")).alias("piece"))
     # the piece table has the size of the vocabulary, whatever the input
     rows = rows.join(F.broadcast(pieces), "piece", "left").where("id is not null or end = start + 1")
-    edge = F.struct("end", "start", F.coalesce("id", -F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(vocab.unknown)).alias("score"))
-    edges = rows.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    node = "struct<score:double,ids:array<int>>"
+    edge = F.struct("end", "start", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(vocab.unknown)).alias("score"))
+    edges = rows.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    node = "struct<score:double,back:int,id:int>"
+
+    def step(best: Column, e: Column) -> Column:
+        # the best way to each place so far; of equal ones that from the earlier place, whose back is larger
+        way = F.struct((F.element_at(best, e["start"] + 1)["score"] + e["score"]).alias("score"), (-e["start"]).alias("back"), e["id"].alias("id"))
+        return F.concat(F.slice(best, F.lit(1), e["end"]), F.array(F.greatest(way, F.get(best, e["end"]))))
 
-    def step(so_far: Column, e: Column) -> Column:
-        new = e["end"] > so_far["at"]
-        done = F.when(new, F.concat(so_far["done"], F.array(so_far["cur"]))).otherwise(so_far["done"])
-        before = F.element_at(done, e["start"] + 1)
-        score = before["score"] + e["score"]
-        path = F.struct(score.alias("score"), F.concat(before["ids"], F.array(e["id"])).alias("ids"))
-        return F.struct(e["end"].alias("at"), done.alias("done"), F.when(new | (score > so_far["cur"]["score"]), path).otherwise(so_far["cur"]).alias("cur"))
+    def back(best: Column) -> Column:
+        def at(so_far: Column, place: Column) -> Column:
+            way = F.element_at(best, place + 1)
+            return F.when(so_far["at"] != place, so_far).otherwise(F.struct((-way["back"]).alias("at"), F.concat(F.array(way["id"]), so_far["ids"]).alias("ids")))
 
-    empty = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ids")).cast(node)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{node}>").alias("done"), empty.alias("cur"))
-    return edges.select(*keys, F.aggregate("edges", start, step)["cur"]["ids"].alias("ids"))
+        last = F.size(best) - 1
+        return F.aggregate(F.sequence(last, F.lit(1)), F.struct(last.alias("at"), F.array().cast("array<int>").alias("ids")), at)["ids"]
+
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(-1).alias("id"))).cast(f"array<{node}>")
+    # transform() binds the fold's result, so that it is made once
+    return edges.select(*keys, F.transform(F.array(F.aggregate("edges", start, step)), back)[0].alias("ids"))
 
 
 def _escaped(text: str) -> str:
@@ -139,14 +143,19 @@ def _packed(codes: np.ndarray) -> bytes:
 
 def _unpacked(raw: bytes) -> np.ndarray:
     b = np.frombuffer(raw, dtype=np.uint8).astype(np.int64)
+    if not len(b):
+        return b
     last = np.flatnonzero(b < 128)
     first = np.append(0, last[:-1] + 1)
     place = np.arange(len(b)) - np.repeat(first, last - first + 1)
-    return np.add.reduceat((b & 127) << (7 * place), first) if len(b) else b
+    return np.add.reduceat((b & 127) << (7 * place), first)
+
 
+def common_words(docs: DataFrame, vocab: Vocabulary, most: int) -> tuple[DataFrame, DataFrame]:
+    """The words' counts, kept until unpersisted, and word and n of those that occur most, over all texts, at most so many: all that occur at least so often, with no sort.
 
-def common_words(docs: DataFrame, vocab: Vocabulary, most: int) -> DataFrame:
-    """The words that occur most, over all texts; which ones decides only what is encoded where. A word that a task saw once isn't sent."""
+    Which words these are decides only what is encoded where. What a task saw only once isn't sent.
+    """
     pattern = vocab.pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +169,39 @@ def common_words(docs: DataFrame, vocab: Vocabulary, most: int) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 held.update(find(_escaped(text or "")))
-                if len(held) > 500_000:
+                if len(held) > 200_000:
                     yield rows()
                     held.clear()
         yield rows()
 
-    sums = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return sums.orderBy(F.col("n").desc(), "word").limit(most).select("word")
+    sums = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
+    total, least = 0, 1 << 16
+    # words by how often they occur: at most a row for each number up to 2**16
+    for r in sums.groupBy(F.least("n", F.lit(least)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.col("n").desc()).collect():
+        total += r["words"]
+        if total > most:
+            break
+        least = r["n"]
+    return sums, sums.where(F.col("n") >= least)
+
+
+def _hashed(word: str) -> int:
+    return xxhash.xxh64_intdigest(word, SEED)
+
+
+@dataclass(frozen=True)
+class _Common:
+    """The common words: hashes, ascending, and the code of each; by code, which is lower for more frequent ones, the start and length of its ids."""
+
+    hashes: np.ndarray
+    codes: np.ndarray
+    ids: np.ndarray
+    lengths: np.ndarray
+
+    def code(self, word: str) -> int:
+        h = np.uint64(_hashed(word))
+        at = int(np.searchsorted(self.hashes, h))
+        return int(self.codes[at]) if at < len(self.hashes) and self.hashes[at] == h else -1
 
 
 class _Table:
@@ -175,14 +210,19 @@ class _Table:
     def __init__(self, vocab: Vocabulary):
         self.byte_ids = np.array(vocab.byte_ids, dtype=np.int32)
 
-    def expanded(self, paths: list) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for ids in paths:
-            if min(ids) < 0:
-                ids = [b for i in ids for b in ([i] if i >= 0 else self.byte_ids[list((SPACE if -i == ord(OWN_SPACE) else chr(-i)).encode())].tolist())]
-            out.append(ids)
-        n = np.array([len(i) for i in out], dtype=np.int64)
-        return np.array([i for ids in out for i in ids], dtype=np.int32), n
+    def expanded(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all lists, joined, and how many each has; none is empty."""
+        values, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        bare = np.flatnonzero(values < 0)
+        if not len(bare):
+            return values, n
+        put = [self.byte_ids[list((SPACE if -1 - i == ord(OWN_SPACE) else chr(-1 - i)).encode())] for i in values[bare].tolist()]
+        size = np.ones(len(values), dtype=np.int64)
+        size[bare] = [len(p) for p in put]
+        out, at = np.repeat(values, size), np.cumsum(size) - size
+        for b, p in zip(bare, put, strict=True):
+            out[at[b] : at[b] + len(p)] = p
+        return out, np.add.reduceat(size, np.cumsum(n) - n)
 
 
 def _gather(flat: np.ndarray, start: np.ndarray, n: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +236,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
     """key, ids, n_tokens and roundtrip (whether the decoded ids have the hash of the text) of each row of docs(key, text).
 
     The most frequent words are encoded once, and their ids, of bounded number, are sent to all tasks. Texts then become
-    blocks: codes of their words, and the block's other words. Blocks are dealt once, with their codes, and their other words
-    are encoded and put in where they lie: no text is shuffled, and no word's documents meet in one task.
+    blocks of bounded size: codes of their words, and the block's other words. Those are dealt in runs, encoded, and brought back to
+    the codes of their block: no text is shuffled, and the documents of a word never meet in one task.
     Null and empty texts have no ids; repeated rows are returned each; an empty table gives none. A text's own U+2581 and any character
     without a piece become byte pieces. Decoding gives the text back but for a U+10FFFE, which becomes U+2581.
     """
@@ -205,16 +245,23 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
 
     spark, pattern = docs.sparkSession, vocab.pattern
     key_type = docs.schema[key].dataType
-    top = common_words(docs, vocab, common).repartition("word")
-    got = lattice(top, ["word"], vocab).collect()  # at most `common` words
-    words_ = {r["word"]: i for i, r in enumerate(sorted(got, key=lambda r: r["word"]))}
-    flat, n = _Table(vocab).expanded([r["ids"] for r in sorted(got, key=lambda r: r["word"])])
-    shared = spark.sparkContext.broadcast((words_, flat, n))
+    sums, top = common_words(docs, vocab, common)
+    dealt = top.repartition(-(-common // WORDS_A_TASK), "word")
+    got = lattice(dealt, ["word", "n"], vocab).select(F.xxhash64("word").alias("h"), "n", "ids").toArrow()  # at most `common` words
+    sums.unpersist()
+    hashes, counts = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.lexsort((hashes, -counts))
+    ranked = got.column("ids").combine_chunks().take(pa.array(order))
+    flat, n = _Table(vocab).expanded(ranked)
+    code_of = np.empty(len(order), dtype=np.int32)
+    code_of[order] = np.arange(len(order))
+    up = np.argsort(hashes)
+    shared = spark.sparkContext.broadcast(_Common(hashes[up], code_of[up], flat, n))
     name = key_type.simpleString()
     struct = f"block string, words array<string>, keys array<{name}>, codes array<binary>, hashes array<bigint>"
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[0]
+        known = shared.value
         find = re.compile(pattern).findall
         rare: dict[str, int] = {}
         keys: list = []
@@ -224,9 +271,13 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
 
         class Codes(dict):
             def __missing__(self, word: str) -> int:
-                return rare.setdefault(word, len(known) + len(rare))
+                c = known.code(word)
+                if c < 0:
+                    c = rare[word] = len(known.hashes) + len(rare)
+                self[word] = c
+                return c
 
-        code = Codes(known)
+        code = Codes()
 
         def block() -> pa.RecordBatch:
             digest = xxhash.xxh128()
@@ -245,6 +296,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
                 if size >= block_bytes:
                     yield block()
                     rare, keys, codes, hashes, size = {}, [], [], [], 0
+                    code.clear()
         if keys:
             yield block()
 
@@ -252,22 +304,23 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
     docs.select(key, "text").mapInArrow(to_blocks, struct).write.option("compression", "zstd").parquet(path)
     blocks = spark.read.schema(struct).parquet(path)
 
-    dealt = blocks.where(F.size("words") > 0).select("block", "words").repartition("block")
-    words = dealt.select("block", F.posexplode("words").alias("w", "word"))
-    paths = lattice(words, ["block", "w"], vocab).groupBy("block").agg(F.collect_list(F.struct("w", "ids")).alias("paths"))
+    n_words = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    words = blocks.select("block", F.posexplode("words").alias("w", "word")).withColumn("run", F.floor(F.col("w") / 1000))
+    words = words.repartition(max(1, n_words // WORDS_A_TASK), "block", "run")  # so that a task's lattices fit its memory
+    paths = lattice(words, ["block", "run", "w"], vocab).groupBy("block").agg(F.collect_list(F.struct("w", "ids")).alias("paths"))
     joined = blocks.select("block", "keys", "codes", "hashes").join(paths, "block", "left")
     out = f"{key} {name}, ids array<int>, n_tokens bigint, roundtrip boolean"
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, flat, n = shared.value
+        flat, n = shared.value.ids, shared.value.lengths
         tables = _Table(vocab)
         raw, raw_start, raw_n = vocab.bytes_of()
         for batch in batches:
             for b in range(batch.num_rows):
                 keys, codes, hashes, paths = (batch.column(i).slice(b, 1) for i in (1, 2, 3, 4))
-                own = paths.to_pylist()[0] or []
-                w = np.array([p["w"] for p in own], dtype=np.int64)
-                block_flat, block_n = tables.expanded([p["ids"] for p in own])
+                own = paths.flatten()  # nothing where the block has no words of its own
+                w = own.field("w").to_numpy().astype(np.int64)
+                block_flat, block_n = tables.expanded(own.field("ids")) if len(own) else (flat[:0], n[:0])
                 all_n = np.concatenate([n, np.zeros(int(w.max(initial=-1)) + 1, dtype=np.int64)])
                 start = np.concatenate([np.cumsum(n) - n, np.zeros(len(all_n) - len(n), dtype=np.int64)])
                 all_n[len(n) + w] = block_n
