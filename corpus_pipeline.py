@@ -66,8 +66,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens and roundtrip of each document."""
-    return sentence.encode(docs, sentence.load())
+    """doc_id, ids (packed), n_tokens and roundtrip of each document."""
+    return sentence.encode(docs, sentence.load(), packed=True)
 
 
 STAGES = [

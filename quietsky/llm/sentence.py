@@ -232,8 +232,8 @@ def _gather(flat: np.ndarray, start: np.ndarray, n: np.ndarray, which: np.ndarra
     return flat[np.repeat(start[which] - end + m, m) + np.arange(int(end[-1]) if len(end) else 0)], m
 
 
-def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: int = COMMON, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """key, ids, n_tokens and roundtrip (whether the decoded ids have the hash of the text) of each row of docs(key, text).
+def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: int = COMMON, block_bytes: int = BLOCK_BYTES, packed: bool = False) -> DataFrame:
+    """key, ids (an array, or if packed its numbers in little-endian order, two bytes each in a vocabulary of at most 2**16, else four), n_tokens and roundtrip (whether the decoded ids have the hash of the text) of each row of docs(key, text).
 
     The most frequent words are encoded once, and their ids, of bounded number, are sent to all tasks. Texts then become
     blocks of bounded size: codes of their words, and the block's other words. Those are dealt in runs, encoded, and brought back to
@@ -309,7 +309,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
     words = words.repartition(max(1, n_words // WORDS_A_TASK), "block", "run")  # so that a task's lattices fit its memory
     paths = lattice(words, ["block", "run", "w"], vocab).groupBy("block").agg(F.collect_list(F.struct("w", "ids")).alias("paths"))
     joined = blocks.select("block", "keys", "codes", "hashes").join(paths, "block", "left")
-    out = f"{key} {name}, ids array<int>, n_tokens bigint, roundtrip boolean"
+    form = _form(vocab)
+    out = f"{key} {name}, ids {'binary' if packed else 'array<int>'}, n_tokens bigint, roundtrip boolean"
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, n = shared.value.ids, shared.value.lengths
@@ -335,26 +336,38 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
                         text = _gather(raw, raw_start, raw_n, i)[0][1:].tobytes()
                         right.append(xxhash.xxh64_intdigest(text) - (1 << 63) == h)
                     size = np.array([len(i) for i in ids], dtype=np.int64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.concatenate(ids)))
-                    yield pa.RecordBatch.from_arrays([keys.slice(a, len(ids)), lists, pa.array(size), pa.array(right)], names=[key, "ids", "n_tokens", "roundtrip"])
+                    if packed:
+                        column = pa.array([i.astype(form).tobytes() for i in ids], pa.binary())
+                    else:
+                        column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.concatenate(ids)))
+                    yield pa.RecordBatch.from_arrays([keys.slice(a, len(ids)), column, pa.array(size), pa.array(right)], names=[key, "ids", "n_tokens", "roundtrip"])
 
     return joined.select("block", "keys", "codes", "hashes", "paths").mapInArrow(assemble, out)
 
 
+def _form(vocab: Vocabulary) -> str:
+    return "<u2" if vocab.size <= 1 << 16 else "<u4"
+
+
 def decode(encoded: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFrame:
-    """key and text of each row of encoded(key, ids); no or null ids give an empty text, and bytes that are no UTF-8 become U+FFFD."""
+    """key and text of each row of encoded(key, ids), packed or not; no or null ids give an empty text, and bytes that are no UTF-8 become U+FFFD."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, start, n = vocab.bytes_of()
+        form = _form(vocab)
+
+        def numbers(ids: list | bytes | None) -> np.ndarray:
+            return np.frombuffer(ids, dtype=form) if isinstance(ids, bytes) else np.array(ids or [], dtype=np.int64)
+
         for batch in batches:
-            texts = [_gather(raw, start, n, np.array(ids or [], dtype=np.int64))[0][1:].tobytes().decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            texts = [_gather(raw, start, n, numbers(ids))[0][1:].tobytes().decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     return encoded.select(key, "ids").mapInArrow(run, f"{key} {encoded.schema[key].dataType.simpleString()}, text string")
 
 
 def encode_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents"), load())
+    return encode(table(spark, sf_dir, "documents"), load(), packed=True)
 
 
 QUERIES = {"op2_sentence_pieces": encode_documents}

@@ -414,7 +414,7 @@ def test_pieces_are_the_librarys_best_path(spark):
 def test_pieces_odd(spark, odd):
     pytest.importorskip("public_tokenizers")
     vocab = sentence.load()
-    got = sentence.encode(odd, vocab)
+    got = sentence.encode(odd, vocab, packed=True)
     assert got.count() == len(ODD) and got.where("not roundtrip").count() == 0
     assert rows(sentence.decode(got.where("doc_id in (5, 7)"), vocab)) == Counter({(5, ODD[6][1]): 1, (7, ODD[8][1]): 1})
     assert sentence.encode(odd.limit(0), vocab).count() == 0
