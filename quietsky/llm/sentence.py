@@ -7,7 +7,7 @@ substrings, equi-joined to the piece table and grouped by word, and the best pat
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -29,6 +29,8 @@ COMMON = 1 << 20
 SEED = 42
 #: Bytes of text whose rarer words are encoded together.
 BLOCK_BYTES = 16 << 20
+#: Slots for the pieces' short substrings, by hash.
+GRAM_BITS = 22
 #: Words whose lattices a task makes, about.
 WORDS_A_TASK = 16_000
 
@@ -52,13 +54,39 @@ class Vocabulary:
     @cached_property
     def pattern(self) -> str:
         """Words of letters and digits, or of other characters, each with the spaces before it, unless a piece lies across."""
-        across = re.compile(rf"[^{SPACE}]{SPACE}")
-        mixed = re.compile(rf"\w[^\w{SPACE}]|[^\w{SPACE}]\w")
-        if any(across.search(p) for p, _, _ in self.pieces):
+        if any(re.search(rf"[^{SPACE}]{SPACE}", p) for p, _, _ in self.pieces):
             return r"(?s).+"
-        if any(mixed.search(p) for p, _, _ in self.pieces):
-            return rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
-        return rf"{SPACE}*(?:\w+|[^\w{SPACE}]+)|{SPACE}+"
+        pairs = {p[i : i + 2] for p, _, _ in self.pieces for i in range(len(p) - 1) if SPACE not in p[i : i + 2]}
+        letters = {c for p in pairs for c in p if re.match(r"\w", c)}
+        odd: set[str] = set()
+        # letters that a piece has beside another character count as such
+        while more := {c for p in pairs for c in p if c in letters - odd and not set(p) <= letters - odd}:
+            odd |= more
+        some = re.escape("".join(sorted(odd)))
+        other = rf"(?:[^\w{SPACE}]|[{some}])" if odd else rf"[^\w{SPACE}]"
+        return rf"{SPACE}*(?:[^\W{some}]+|{other}+)|{SPACE}+"
+
+    @cached_property
+    def grams(self) -> np.ndarray:
+        """Slots taken by the pieces of two and three characters, and by all runs of four."""
+        taken = np.zeros(1 << GRAM_BITS, dtype=bool)
+        runs = {p for p, _, _ in self.pieces if 2 <= len(p) <= 3} | {p[i : i + 4] for p, _, _ in self.pieces for i in range(len(p) - 3)}
+        for size in (2, 3, 4):
+            some = "".join(r for r in runs if len(r) == size)
+            if some:
+                taken[_slots(_points(some), size)[::size]] = True
+        return taken
+
+    def uncut(self, points: np.ndarray) -> np.ndarray:
+        """For each character, whether a piece may hold it and the one before. Slots that collide only cut less."""
+        n = len(points)
+        across = np.zeros(n + 4, dtype=bool)
+        for size in (2, 3, 4):
+            if n >= size:
+                starts = np.flatnonzero(self.grams[_slots(points, size)])
+                for j in range(1, size):
+                    across[starts + j] = True
+        return across[:n]
 
     def bytes_of(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The bytes of all pieces, joined, and each id's start and length."""
@@ -125,6 +153,39 @@ def lattice(words: DataFrame, keys: list[str], vocab: Vocabulary) -> DataFrame:
     return edges.select(*keys, F.transform(F.array(F.aggregate("edges", start, step)), back)[0].alias("ids"))
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+
+
+def _slots(points: np.ndarray, size: int) -> np.ndarray:
+    """The slot of each run of so many characters."""
+    h = np.full(len(points) - size + 1, size, dtype=np.uint64)
+    for j in range(size):
+        h = (h + points[j : len(points) - size + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)
+
+
+def units(words: list[str], vocab: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct parts of the words between which no piece can lie, how many parts each word has, and which ones."""
+    text = OWN_SPACE.join(words)
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    first = np.cumsum(size + 1) - size - 1
+    begins = ~vocab.uncut(_points(text))
+    begins[first] = True
+    gaps = (first + size)[:-1]
+    ends = begins.copy()
+    ends[gaps] = True
+    begins[gaps] = False
+    at = np.flatnonzero(begins)
+    edges = np.append(np.flatnonzero(ends), len(text))
+    to = edges[np.searchsorted(edges, at, side="right")]
+    found: defaultdict[str, int] = defaultdict()
+    found.default_factory = found.__len__
+    which = np.fromiter((found[text[a:b]] for a, b in zip(at.tolist(), to.tolist(), strict=True)), dtype=np.int64, count=len(at))
+    return list(found), np.diff(np.append(np.searchsorted(at, first), len(at))), which
+
+
 def _escaped(text: str) -> str:
     return SPACE + text.replace(SPACE, OWN_SPACE).replace(" ", SPACE) if text else ""
 
@@ -185,10 +246,6 @@ def common_words(docs: DataFrame, vocab: Vocabulary, most: int) -> tuple[DataFra
     return sums, sums.where(F.col("n") >= least)
 
 
-def _hashed(word: str) -> int:
-    return xxhash.xxh64_intdigest(word, SEED)
-
-
 @dataclass(frozen=True)
 class _Common:
     """The common words: hashes, ascending, and the code of each; by code, which is lower for more frequent ones, the start and length of its ids."""
@@ -198,10 +255,13 @@ class _Common:
     ids: np.ndarray
     lengths: np.ndarray
 
-    def code(self, word: str) -> int:
-        h = np.uint64(_hashed(word))
-        at = int(np.searchsorted(self.hashes, h))
-        return int(self.codes[at]) if at < len(self.hashes) and self.hashes[at] == h else -1
+    def find(self, words: list[str]) -> np.ndarray:
+        """The code of each word, or -1."""
+        h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
+        if not len(self.hashes):
+            return np.full(len(words), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.codes[at], -1)
 
 
 class _Table:
@@ -236,8 +296,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
     """key, ids (an array, or if packed its numbers in little-endian order, two bytes each in a vocabulary of at most 2**16, else four), n_tokens and roundtrip (whether the decoded ids have the hash of the text) of each row of docs(key, text).
 
     The most frequent words are encoded once, and their ids, of bounded number, are sent to all tasks. Texts then become
-    blocks of bounded size: codes of their words, and the block's other words. Those are dealt in runs, encoded, and brought back to
-    the codes of their block: no text is shuffled, and the documents of a word never meet in one task.
+    blocks of bounded size: codes of their words, and the distinct parts of the block's other words, cut where no piece can lie across.
+    The parts are dealt in runs, encoded, and brought back to their block: no text is shuffled, and the documents of a word never meet in one task.
     Null and empty texts have no ids; repeated rows are returned each; an empty table gives none. A text's own U+2581 and any character
     without a piece become byte pieces. Decoding gives the text back but for a U+10FFFE, which becomes U+2581.
     """
@@ -258,45 +318,42 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
     up = np.argsort(hashes)
     shared = spark.sparkContext.broadcast(_Common(hashes[up], code_of[up], flat, n))
     name = key_type.simpleString()
-    struct = f"block string, words array<string>, keys array<{name}>, codes array<binary>, hashes array<bigint>"
+    struct = f"block string, words array<string>, n binary, parts binary, keys array<{name}>, codes array<binary>, hashes array<bigint>"
 
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         find = re.compile(pattern).findall
-        rare: dict[str, int] = {}
+        local: defaultdict[str, int] = defaultdict()
+        local.default_factory = local.__len__
         keys: list = []
         codes: list = []
         hashes: list = []
         size = 0
 
-        class Codes(dict):
-            def __missing__(self, word: str) -> int:
-                c = known.code(word)
-                if c < 0:
-                    c = rare[word] = len(known.hashes) + len(rare)
-                self[word] = c
-                return c
-
-        code = Codes()
-
         def block() -> pa.RecordBatch:
+            words = list(local)
+            code = known.find(words)
+            rare = np.flatnonzero(code < 0)
+            code[rare] = len(known.hashes) + np.arange(len(rare))
+            parts, n, which = units([words[i] for i in rare], vocab) if len(rare) else ([], rare, rare)
+            streams = [_packed(code[c]) for c in codes]
             digest = xxhash.xxh128()
-            for part in (*map(repr, keys), *codes, *rare):
+            for part in (*map(repr, keys), *streams, *parts):
                 digest.update(part)
-            cols = [pa.array([digest.hexdigest()]), pa.array([list(rare)], pa.list_(pa.string())), pa.array([keys], pa.list_(kind)), pa.array([codes], pa.list_(pa.binary())), pa.array([hashes], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "words", "keys", "codes", "hashes"])
+            cols = [pa.array([digest.hexdigest()]), pa.array([parts], pa.list_(pa.string())), pa.array([_packed(n)]), pa.array([_packed(which)]), pa.array([keys], pa.list_(kind)), pa.array([streams], pa.list_(pa.binary())), pa.array([hashes], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, names=["block", "words", "n", "parts", "keys", "codes", "hashes"])
 
         for batch in batches:
             kind = batch.column(0).type
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(k)
-                codes.append(_packed(np.array(list(map(code.__getitem__, find(_escaped(text or "")))), dtype=np.int64)))
+                codes.append(np.fromiter(map(local.__getitem__, find(_escaped(text or ""))), dtype=np.int32))
                 hashes.append(xxhash.xxh64_intdigest(text or "") - (1 << 63))
                 size += len(text or "")
                 if size >= block_bytes:
                     yield block()
-                    rare, keys, codes, hashes, size = {}, [], [], [], 0
-                    code.clear()
+                    keys, codes, hashes, size = [], [], [], 0
+                    local.clear()
         if keys:
             yield block()
 
@@ -308,7 +365,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
     words = blocks.select("block", F.posexplode("words").alias("w", "word")).withColumn("run", F.floor(F.col("w") / 1000))
     words = words.repartition(max(1, n_words // WORDS_A_TASK), "block", "run")  # so that a task's lattices fit its memory
     paths = lattice(words, ["block", "run", "w"], vocab).groupBy("block").agg(F.collect_list(F.struct("w", "ids")).alias("paths"))
-    joined = blocks.select("block", "keys", "codes", "hashes").join(paths, "block", "left")
+    joined = blocks.select("block", "n", "parts", "keys", "codes", "hashes").join(paths, "block", "left")
     form = _form(vocab)
     out = f"{key} {name}, ids {'binary' if packed else 'array<int>'}, n_tokens bigint, roundtrip boolean"
 
@@ -318,14 +375,19 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
         raw, raw_start, raw_n = vocab.bytes_of()
         for batch in batches:
             for b in range(batch.num_rows):
-                keys, codes, hashes, paths = (batch.column(i).slice(b, 1) for i in (1, 2, 3, 4))
+                counts, parts = (_unpacked(batch.column(i)[b].as_py()) for i in (1, 2))
+                keys, codes, hashes, paths = (batch.column(i).slice(b, 1) for i in (3, 4, 5, 6))
                 own = paths.flatten()  # nothing where the block has no words of its own
-                w = own.field("w").to_numpy().astype(np.int64)
-                block_flat, block_n = tables.expanded(own.field("ids")) if len(own) else (flat[:0], n[:0])
-                all_n = np.concatenate([n, np.zeros(int(w.max(initial=-1)) + 1, dtype=np.int64)])
-                start = np.concatenate([np.cumsum(n) - n, np.zeros(len(all_n) - len(n), dtype=np.int64)])
-                all_n[len(n) + w] = block_n
-                start[len(n) + w] = len(flat) + np.cumsum(block_n) - block_n
+                block_flat, block_n = flat[:0], n[:0]
+                if len(own):
+                    w = own.field("w").to_numpy().astype(np.int64)
+                    unit_flat, unit_n = tables.expanded(own.field("ids"))
+                    place = np.empty(len(w), dtype=np.int64)
+                    place[w] = np.arange(len(w))
+                    block_flat, part_n = _gather(unit_flat, np.cumsum(unit_n) - unit_n, unit_n, place[parts])
+                    block_n = np.add.reduceat(part_n, np.cumsum(counts) - counts)
+                all_n = np.concatenate([n, block_n])
+                start = np.cumsum(all_n) - all_n
                 both = np.concatenate([flat, block_flat])
                 keys, hashes = keys.flatten(), hashes.to_pylist()[0]
                 streams = codes.flatten().to_pylist()
@@ -342,7 +404,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
                         column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.concatenate(ids)))
                     yield pa.RecordBatch.from_arrays([keys.slice(a, len(ids)), column, pa.array(size), pa.array(right)], names=[key, "ids", "n_tokens", "roundtrip"])
 
-    return joined.select("block", "keys", "codes", "hashes", "paths").mapInArrow(assemble, out)
+    return joined.select("block", "n", "parts", "keys", "codes", "hashes", "paths").mapInArrow(assemble, out)
 
 
 def _form(vocab: Vocabulary) -> str:
