@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietsky.llm.common import table
+from quietsky.llm.common import cut, table
 
 VOCABULARY = 4096
 RARE = 256
@@ -20,8 +20,6 @@ CLASSES = 64
 SIZE = 16
 REACH = 2
 ROUNDS = 2
-#: Of the tokens of every document, one in STRIDE is predicted in a round of training.
-STRIDE = 16
 BATCH = 2048
 CHUNK = 1 << 14
 
@@ -92,6 +90,25 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     return Vocabulary({bytes(r["word"]): i for i, r in enumerate(top)}, classes, np.log(n / np.bincount(classes, n, CLASSES)[classes]))
 
 
+def _packed(vocab: Vocabulary) -> type:
+    """Of what size tokens are held in columns."""
+    return np.int16 if len(vocab.classes) < 1 << 15 else np.int32
+
+
+def encoded(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFrame:
+    """key and ids, the packed tokens of each row of docs(key, text), which train() and score() read in place of the text."""
+    words = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = words.value
+        memo, kind = _Memo(vocab), _packed(vocab)
+        for batch in batches:
+            ids = [vocab.tokens(x, memo).astype(kind).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[key, "ids"])
+
+    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary")
+
+
 def windows(t: np.ndarray, at: np.ndarray, n_tokens: int) -> np.ndarray:
     """The 2 * REACH tokens around each place; n_tokens stands for what lies beyond the text."""
     edge = np.full(REACH, n_tokens, dtype=t.dtype)
@@ -150,13 +167,16 @@ def _shaped(v: np.ndarray, n_tokens: int) -> list[np.ndarray]:
 
 
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float = 2.0) -> list[np.ndarray]:
-    """Weights of the network, learned from every document.
+    """Weights of the network, learned from every token of every row of docs, which has a text or ids.
 
-    In each round every task goes on from the common weights over its own documents, one token in STRIDE, other ones
-    each round, and sends its weights with the number of tokens; the new common weights are their mean. A model
+    In each round every task goes on from the common weights over its own documents, and sends its weights with the number
+    of tokens; the new common weights are their mean. A round predicts one token in `rounds`, by place, other ones each
+    round: after the last round every token of every document was predicted once, in texts of any length. A model
     has one size whatever the input, and what is sent grows with the number of tasks.
     """
     sc = docs.sparkSession.sparkContext
+    if "ids" not in docs.columns:
+        docs = encoded(docs.select(F.lit(0).alias("_k"), "text"), vocab, "_k")
     n = len(vocab.classes)
     words = sc.broadcast(vocab)
     common = _flat(initial(n))
@@ -165,7 +185,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
 
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
             vocab, p, seen = words.value, _shaped(start.value, n), 0
-            memo = _Memo(vocab)
+            kind = _packed(vocab)
             held: list[tuple[np.ndarray, np.ndarray]] = []
             size = 0
 
@@ -176,9 +196,9 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
                     step(p, context[some], goal[some], rate * min(1.0, len(some) / BATCH) / (1 + turn))
 
             for batch in batches:
-                for text in batch.column(0).cast(pa.binary()).to_pylist():
-                    t = vocab.tokens(text, memo)
-                    at = np.arange((len(t) * 5 + 3 * turn) % STRIDE, len(t), STRIDE)
+                for ids in batch.column(0).to_pylist():
+                    t = np.frombuffer(ids, dtype=kind)
+                    at = np.arange(turn, len(t), rounds)
                     held.append((windows(t, at, n), vocab.classes[t[at]]))
                     size += len(at)
                     if size >= 16 * BATCH:
@@ -200,7 +220,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
             yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["chunk", "n", "w"])
 
         schema = "chunk int, n double, w binary"
-        got = docs.select("text").mapInArrow(run, schema).groupBy("chunk").applyInArrow(mean, schema).collect()  # one model
+        got = docs.select("ids").mapInArrow(run, schema).groupBy("chunk").applyInArrow(mean, schema).collect()  # one model
         if not got:
             break
         common = common.copy()
@@ -223,19 +243,21 @@ def log_likelihood(p: list[np.ndarray], vocab: Vocabulary, t: np.ndarray, real:
 
 
 def score(docs: DataFrame, p: list[np.ndarray], vocab: Vocabulary, key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, pll (summed conditional log-probabilities) and mean_pll of each row of docs(key, text).
+    """key, n_tokens, pll (summed conditional log-probabilities) and mean_pll of each row of docs(key, text), or docs(key, ids).
 
     Null texts and texts without words have no tokens, pll 0 and a null mean; repeated rows are returned each; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast((p, vocab))
+    if "ids" not in docs.columns:
+        docs = encoded(docs, vocab, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, vocab = shared.value
-        memo = _Memo(vocab)
+        kind = _packed(vocab)
         for batch in batches:
             for a in range(0, batch.num_rows, 64):  # short texts are scored together
-                t = [vocab.tokens(x, memo) for x in batch.column(1).slice(a, 64).cast(pa.binary()).to_pylist()]
-                gap = np.full(REACH, len(vocab.classes), dtype=np.int32)
+                t = [np.frombuffer(x, dtype=kind) for x in batch.column(1).slice(a, 64).to_pylist()]
+                gap = np.full(REACH, len(vocab.classes), dtype=kind)
                 spread = np.concatenate([y for x in t for y in (x, gap)])
                 value = log_likelihood(p, vocab, spread, spread < len(vocab.classes))
                 size = np.array([len(x) for x in t])
@@ -249,13 +271,14 @@ def score(docs: DataFrame, p: list[np.ndarray], vocab: Vocabulary, key: str = "d
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, "n_tokens", "pll", "mean_pll"])
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, pll double, mean_pll double")
+    return docs.select(key, "ids").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, pll double, mean_pll double")
 
 
 def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = vocabulary(docs)
-    return score(docs, train(docs, vocab), vocab)
+    ids = cut(encoded(docs, vocab), "tokens")
+    return score(ids, train(ids, vocab), vocab)
 
 
 QUERIES = {"op8_masked_likelihood": score_documents}

@@ -267,6 +267,21 @@ def test_masked_likelihood_learns_order(spark):
         assert abs(one.sum() - got.loc[k, "pll"]) < 1e-3 * len(t) and len(t) == got.loc[k, "n_tokens"]
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_masked_likelihood_learns_from_every_token(spark, monkeypatch, rounds):
+    docs = spark.createDataFrame([(n, " ".join(f"w{n}_{i}" for i in range(n))) for n in (0, 1, 2, 3, 4, 5, 8, 12, 16, 40)], DOCS).coalesce(1)
+    vocab = pseudo.vocabulary(docs, 200)
+    bias = pseudo._flat(pseudo.initial(len(vocab.classes))).size - pseudo.CLASSES
+
+    def seen(p, context, goal, rate):
+        p[3] += np.bincount(goal, minlength=pseudo.CLASSES).astype(np.float32)  # what was predicted comes back as the bias
+
+    monkeypatch.setattr(pseudo, "step", seen)
+    goals = pseudo._flat(pseudo.train(docs, vocab, rounds=rounds))[bias:]
+    want = np.bincount([vocab.classes[vocab.ids[w.encode()]] for r in docs.collect() for w in r["text"].split()], minlength=pseudo.CLASSES)
+    assert goals.tolist() == want.tolist()
+
+
 def test_masked_likelihood_odd(spark, odd):
     vocab = pseudo.vocabulary(odd, 3)
     assert list(vocab.ids) == [b"word", b"x", b"--"]
