@@ -9,7 +9,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quietsky.llm.common import cut, table
@@ -22,22 +24,38 @@ REACH = 2
 ROUNDS = 2
 BATCH = 2048
 CHUNK = 1 << 14
+#: Rows of a block, numbered by 16 bits, and the rare words after which it ends.
+BLOCK = 1 << 14
+BLOCK_WORDS = 1 << 19
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Frequent words, hash buckets for the rest, each token's class, and its logarithmic share of its class."""
+    """Frequent words, hash buckets for the rest, each token's class, its logarithmic share of its class, and each bucket's words in the corpus."""
 
     ids: dict[bytes, int]
     classes: np.ndarray
     share: np.ndarray
+    buckets: np.ndarray
+
+    def codes(self, text: bytes | None, memo: _Memo) -> np.ndarray:
+        return np.array(list(map(memo.__getitem__, (text or b"").lower().split())), dtype=np.int64)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Tokens of codes."""
+        return np.where(codes < 0, len(self.ids) + codes % RARE, codes).astype(np.int32)
 
     def tokens(self, text: bytes | None, memo: _Memo) -> np.ndarray:
-        return np.array(list(map(memo.__getitem__, (text or b"").lower().split())), dtype=np.int32)
+        return self.of(self.codes(text, memo))
+
+
+def _code(word: bytes) -> int:
+    """63 bits of hash, negative."""
+    return (xxhash.xxh64_intdigest(word) >> 1) - (1 << 63)
 
 
 class _Memo(dict):
-    """Tokens of words: the vocabulary's, and those of rare words while there are not too many."""
+    """Codes of words: the vocabulary's tokens, and the hashes of rare words while there are not too many."""
 
     def __init__(self, vocab: Vocabulary):
         super().__init__(vocab.ids)
@@ -47,7 +65,7 @@ class _Memo(dict):
         if len(self) > 300_000:
             self.clear()
             self.update(self.vocab.ids)
-        value = self[word] = len(self.vocab.ids) + xxhash.xxh32_intdigest(word) % RARE
+        value = self[word] = _code(word)
         return value
 
 
@@ -70,7 +88,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
 
     def sums(held: Counter) -> pa.RecordBatch:
         words = list(held)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([xxhash.xxh32_intdigest(w) % RARE for w in words], pa.int32()), pa.array(held.values(), pa.int64())], names=["word", "bucket", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([_code(w) % RARE for w in words], pa.int32()), pa.array(held.values(), pa.int64())], names=["word", "bucket", "n"])
 
     words = docs.select("text").mapInArrow(count, "word binary, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n")).persist()
     top = words.orderBy(F.col("n").desc(), "word").limit(size).collect()
@@ -87,7 +105,7 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     classes[order[:alone]] = np.arange(alone)
     mass = np.cumsum(n[order[alone:]])
     classes[order[alone:]] = alone + np.minimum((CLASSES - alone) * (mass - n[order[alone:]]) // mass[-1], CLASSES - alone - 1)
-    return Vocabulary({bytes(r["word"]): i for i, r in enumerate(top)}, classes, np.log(n / np.bincount(classes, n, CLASSES)[classes]))
+    return Vocabulary({bytes(r["word"]): i for i, r in enumerate(top)}, classes, np.log(n / np.bincount(classes, n, CLASSES)[classes]), sums_)
 
 
 def _packed(vocab: Vocabulary) -> type:
@@ -109,6 +127,86 @@ def encoded(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFram
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary")
 
 
+def blocks(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFrame:
+    """Tokens as encoded() makes them, and the places of rare words, in one table.
+
+    A row of docs becomes key, block, place (its number within the block), ids and lost: the logarithms of the bucket
+    counts of its rare words, summed. A rare word of a block becomes block, word (its hash) and ids, the place of
+    each of its occurrences. Blocks are runs of a task's rows of bounded size.
+    """
+    words = docs.sparkSession.sparkContext.broadcast(vocab)
+    kind = f"{key} {docs.schema[key].dataType.simpleString()}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = words.value
+        memo, packed, n = _Memo(vocab), _packed(vocab), len(vocab.ids)
+        with np.errstate(divide="ignore"):
+            weight = np.log(vocab.buckets)
+        block, held, place, size = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def out(keys: pa.Array, word: pa.Array, place: pa.Array, ids: pa.Array, lost: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys, pa.array([block] * len(ids), pa.int64()), word, place, ids, lost], names=[key, "block", "word", "place", "ids", "lost"])
+
+        def rare(like: pa.DataType) -> Iterator[pa.RecordBatch]:
+            """The words of the block that ends here."""
+            code, at = np.concatenate([c for c, _ in held]), np.concatenate([np.full(len(c), i, dtype=np.uint16) for c, i in held])
+            order = np.argsort(code, kind="stable")
+            code, at = code[order], at[order]
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+            ends = np.append(first, len(code)).astype(np.int32) * 2
+            for a in range(0, len(first), 20_000):
+                some, cuts = code[first[a : a + 20_000]], ends[a : a + 20_001]
+                ids = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((cuts - cuts[0]).tobytes()), pa.py_buffer(at[cuts[0] // 2 : cuts[-1] // 2].tobytes())])
+                yield out(pa.nulls(len(some), like), pa.array(some), pa.nulls(len(some), pa.int32()), ids, pa.nulls(len(some), pa.float64()))
+
+        like = None
+        for batch in batches:
+            like, texts, a = batch.column(0).type, batch.column(1).cast(pa.binary()), 0
+            while a < batch.num_rows:
+                ids, lost, start = [], [], place
+                for text in texts.slice(a):
+                    code = vocab.codes(text.as_py(), memo)
+                    t, own = vocab.of(code), code[code < 0]
+                    ids.append(t.astype(packed).tobytes())
+                    lost.append(float(weight[t[code < 0] - n].sum()))
+                    if len(own):
+                        held.append((own, place))
+                    place, size = place + 1, size + len(own)
+                    if place == BLOCK or size >= BLOCK_WORDS:
+                        break
+                yield out(batch.column(0).slice(a, len(ids)), pa.nulls(len(ids), pa.int64()), pa.array(range(start, place), pa.int32()), pa.array(ids, pa.binary()), pa.array(lost, pa.float64()))
+                a += len(ids)
+                if place == BLOCK or size >= BLOCK_WORDS:
+                    if held:
+                        yield from rare(like)
+                    block, held, place, size = block + 1, [], 0, 0
+        if held:
+            yield from rare(like)
+
+    return docs.select(key, "text").mapInArrow(run, f"{kind}, block long, word long, place int, ids binary, lost double")
+
+
+def word_shares(parts: DataFrame) -> DataFrame:
+    """block, place and gained: the logarithms of the corpus counts of a row's rare words, summed, for rows that have any.
+
+    Counts are summed by word over all blocks, so a word is as many rows as there are blocks with it; then by block.
+    """
+    held = F.sum((F.length("ids") / 2).cast("long")).over(W.partitionBy("word"))
+    counted = parts.where("word is not null").select("block", "ids", F.log(held.cast("double")).alias("log_n"))
+
+    def gained(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(BLOCK), np.zeros(BLOCK, dtype=bool)
+        for batch in batches:
+            ids = batch.column(1).to_pylist()
+            at = np.frombuffer(b"".join(ids), dtype=np.uint16)
+            total += np.bincount(at, np.repeat(batch.column(2).to_numpy(zero_copy_only=False), [len(x) // 2 for x in ids]), BLOCK)
+            seen[at] = True
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(total[at])], names=["block", "place", "gained"])
+
+    return counted.groupBy("block").applyInArrow(gained, "block long, place int, gained double")
+
+
 def windows(t: np.ndarray, at: np.ndarray, n_tokens: int) -> np.ndarray:
     """The 2 * REACH tokens around each place; n_tokens stands for what lies beyond the text."""
     edge = np.full(REACH, n_tokens, dtype=t.dtype)
@@ -274,11 +372,24 @@ def score(docs: DataFrame, p: list[np.ndarray], vocab: Vocabulary, key: str = "d
     return docs.select(key, "ids").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, pll double, mean_pll double")
 
 
+def score_words(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+    """As score() by a network that learns from docs, with every rare word by its own count in docs.
+
+    The network gives a rare word the mass of its bucket; of that the word has its own count over the bucket's. vocab
+    is that of docs. The counts stay in Spark, as many as there are words.
+    """
+    parts = cut(blocks(docs, vocab, key), "tokens")
+    ids = parts.where("word is null").select(F.struct(key, "block", "place", "lost").alias("at"), "ids")
+    plain = score(ids, train(ids, vocab, rounds), vocab, "at").select("at.*", "n_tokens", "pll")
+    pll = F.col("pll") + F.coalesce(F.col("gained") - F.col("lost"), F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
+    return plain.join(word_shares(parts), ["block", "place"], "left").select(key, "n_tokens", pll.alias("pll")).withColumn("mean_pll", mean)
+
+
 def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = vocabulary(docs)
-    ids = cut(encoded(docs, vocab), "tokens")
-    return score(ids, train(ids, vocab), vocab)
+    return score_words(docs, vocab)
 
 
 QUERIES = {"op8_masked_likelihood": score_documents}

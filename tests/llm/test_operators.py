@@ -282,6 +282,30 @@ def test_masked_likelihood_learns_from_every_token(spark, monkeypatch, rounds):
     assert goals.tolist() == want.tolist()
 
 
+@pytest.mark.parametrize("block,words", [(1 << 14, 1 << 19), (3, 1 << 19), (1 << 14, 5)])
+def test_masked_likelihood_tells_rare_words_apart(spark, monkeypatch, block, words):
+    monkeypatch.setattr(pseudo, "BLOCK", block)
+    monkeypatch.setattr(pseudo, "BLOCK_WORDS", words)
+    common = " ".join(["the of and"] * 30)
+    texts = [f"{common} twice{i % 20} junk{i} the of" for i in range(40)] + ["the of twice3", "the of junk3x", None, "", "the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    vocab = pseudo.vocabulary(docs, 3)
+    assert sorted(vocab.ids) == [b"and", b"of", b"the"]
+    got = {r["doc_id"]: r for r in pseudo.score_words(docs, vocab).collect()}
+    assert len(got) == len(texts)
+    ids = pseudo.encoded(docs, vocab)
+    plain = {r["doc_id"]: r for r in pseudo.score(ids, pseudo.train(ids, vocab), vocab).collect()}
+    n, bucket = Counter(w for t in texts for w in (t or "").encode().split()), Counter()
+    for w, c in n.items():
+        bucket[pseudo._code(w) % pseudo.RARE] += c if w not in vocab.ids else 0
+    for i, t in enumerate(texts):
+        rare = [w for w in (t or "").encode().split() if w not in vocab.ids]
+        own = sum(np.log(n[w] / bucket[pseudo._code(w) % pseudo.RARE]) for w in rare)
+        assert abs(got[i]["pll"] - plain[i]["pll"] - own) < 1e-3 * max(1, got[i]["n_tokens"]), (i, t)
+        assert got[i]["n_tokens"] == len((t or "").split()) and (got[i]["mean_pll"] is None) == (not t)
+    assert n[b"twice3"] == 3 and n[b"junk3x"] == 1
+
+
 def test_masked_likelihood_odd(spark, odd):
     vocab = pseudo.vocabulary(odd, 3)
     assert list(vocab.ids) == [b"word", b"x", b"--"]
