@@ -51,6 +51,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int =
     """query_id, rank, vec_id, score: the k highest inner products of each query with every other row of vectors(vec_id, v).
 
     v: integral components as doubles; rows with a null id or v take no part. Rows with the query's own id are its own.
+    As in SQL, every row counts: a row of data in two copies is two partners, and the rows of a repeated query id rank
+    their partners together, so of two equal query rows each partner comes twice.
     Queries and data only meet where they have the same number of components.
 
     n_pivots vectors, chosen by hash, divide both sides into Voronoi cells. Of each cell the driver gets its count, its
@@ -86,7 +88,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int =
     summary = placed.groupBy("dim", "cell", "is_query").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.max("norm").alias("norm")).collect()
     if max((r["norm"] for r in summary), default=0) ** 2 >= EXACT:
         raise ValueError("inner products of these vectors leave the exactly held integers")
-    routes, group_of = _routes(summary, pivots, k, group_size)
+    own = placed.groupBy("vec_id").agg(F.count("*").alias("n"), F.max("is_query").alias("asks")).where("asks").agg(F.max("n")).first()[0] or 0
+    routes, group_of = _routes(summary, pivots, k, own, group_size)
     if not routes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")  # no queries
     blocks = {}
@@ -114,8 +117,11 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int =
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _routes(summary: list, pivots: list[np.ndarray], k: int, group_size: int) -> tuple[list, dict]:
-    """Which data cells each group of query cells needs: (dim, cell, group, parts); and each query cell's group and parts."""
+def _routes(summary: list, pivots: list[np.ndarray], k: int, own_rows: int, group_size: int) -> tuple[list, dict]:
+    """Which data cells each group of query cells needs: (dim, cell, group, parts); and each query cell's group and parts.
+
+    own_rows: the most rows that any query's id has, in all cells; a bound needs k rows besides them.
+    """
     routes, group_of, number = [], {}, 0
     for dim in sorted({r["dim"] for r in summary}):
         own = [r for r in summary if r["dim"] == dim]
@@ -140,7 +146,7 @@ def _routes(summary: list, pivots: list[np.ndarray], k: int, group_size: int) ->
             parts = max(1, -(-size // group_size))
             needed = set()
             for i in group:
-                n, rq, qnorm = asks[i]
+                _, rq, qnorm = asks[i]
                 bounds = []
                 for j, (m, rx, norm) in data.items():
                     low, high = -qnorm * norm, qnorm * norm
@@ -153,7 +159,7 @@ def _routes(summary: list, pivots: list[np.ndarray], k: int, group_size: int) ->
                 seen, least = 0, -math.inf
                 for low, _, m, _ in bounds:
                     seen += m
-                    if seen > k + n:  # besides the queries themselves, in any number of rows of their own ids
+                    if seen >= k + own_rows:
                         least = low
                         break
                 needed |= {j for _, high, _, j in bounds if high * (1 + 1e-9) + 1e-6 >= least}

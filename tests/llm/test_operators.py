@@ -394,6 +394,19 @@ def test_top_k_equals_brute_force_with_hot_vectors_and_ties(spark):
     assert rows(got) == want
 
 
+def test_top_k_with_an_id_repeated_in_other_cells(spark):
+    points = [(1, 10.0, True)] + [(1, 100.0 + i, True) for i in range(4)] + [(5, 90.0 + i, False) for i in range(6)] + [(5, 4.0, True), (2, 1.0, False), (3, 2.0, False), (4, -5.0, False)]
+    df = spark.createDataFrame([(i, [x, 0.0], q) for i, x, q in points], "vec_id long, v array<double>, q boolean")
+    got = voronoi.top_k(df, F.col("q"), k=3, n_pivots=32)
+    want = Counter()
+    for i in {i for i, _, q in points if q}:
+        found = sorted((-x * y, j) for a, x, q in points if q and a == i for j, y, _ in points if j != i)
+        want.update((i, rank + 1, j, int(-s)) for rank, (s, j) in enumerate(found[:3]))
+    assert rows(got) == want
+    only = df.where("vec_id < 5")
+    assert sorted(r["vec_id"] for r in voronoi.top_k(only, F.col("q"), k=2, n_pivots=32).collect()) == [3, 3]
+
+
 def test_top_k_leaves_out_what_is_not_finite(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [float("nan"), 1.0]), (2, [float("inf"), 1.0]), (3, [None, 1.0]), (4, None), (5, [0.51, -0.01])], "vec_id long, e array<float>")
     q = df.select("vec_id", voronoi.quantised(F.col("e")).alias("v"))
