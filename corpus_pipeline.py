@@ -9,7 +9,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quietsky.llm import jaccard, language, mixing, secrets, sentence
@@ -28,17 +27,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group linked by five-word shingles at 0.8.
+    """Keeps the row with the smallest doc_id of each group linked by five-word shingles at 0.8.
 
-    Rows that share a doc_id are one document, of which one row stays; rows with a null doc_id stay.
+    Rows with the same doc_id and text, by a 64-bit hash, are one, of which one row stays; rows that share a doc_id but not
+    the text are linked, or not, by their texts. Rows with a null doc_id stay.
     """
-    groups = cut(jaccard.near_components(docs.select("doc_id", "text"), width=5, percent=80), "groups")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    again = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = docs.join(gone.union(again).distinct(), "doc_id", "left_anti")
-    order = W.partitionBy("doc_id").orderBy(*docs.columns)
-    first = docs.join(again, "doc_id", "left_semi").join(gone, "doc_id", "left_anti").withColumn("_first", F.row_number().over(order)).where("_first = 1").drop("_first")
-    return once.select(docs.columns).unionByName(first.select(docs.columns))
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("_k", key)
+    groups = cut(jaccard.near_components(docs.select(key.alias("doc_id"), "text"), width=5, percent=80), "groups")
+    nodes = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("_k"), "component_id").agg(F.count("*").alias("n"))
+    named = nodes.join(keyed.where("_k is not null").select("_k", "doc_id").distinct(), "_k")
+    kept = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_k", "n")).alias("kept")).select("kept._k", "kept.n")
+    kept = cut(kept, "kept")
+    gone = nodes.select("_k").distinct().join(kept, "_k", "left_anti")
+    again = kept.where("n > 1").select("_k")
+    once = keyed.join(gone.union(again), "_k", "left_anti")
+    first = keyed.join(again, "_k", "left_semi").groupBy("_k").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return once.select(docs.columns).unionByName(first.select("_row.*"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
