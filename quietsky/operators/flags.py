@@ -33,14 +33,14 @@ def dilated(mask: DataFrame, reach: int) -> DataFrame:
     return mask.withColumn("masked", F.max("masked").over(near))
 
 
-def masked_channels(channels: DataFrame, masks: DataFrame) -> DataFrame:
-    """mask_id, chan: channels(chan, chan_freq, chan_width) that hold a frequency of a mask, their lower edges included.
+def masked_channels(channels: DataFrame, masks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, mask_id, chan: channels(chan, chan_freq, chan_width) that hold a frequency of a mask, their lower edges included.
 
     Both tables have one row for each channel of an instrument, so the smaller one goes to all tasks.
     """
     half = 0.5 * F.col("chan_width")
     inside = (F.col("freq_hz") >= F.col("chan_freq") - half) & (F.col("freq_hz") < F.col("chan_freq") + half)
-    return channels.join(F.broadcast(masks), inside).select("mask_id", "chan").distinct()
+    return channels.join(F.broadcast(masks), inside).select(*by, "mask_id", "chan").distinct()
 
 
 def apply_static_mask(df: DataFrame, channels: DataFrame, masks: DataFrame, antennas: DataFrame | None = None, mode: str = "or", uvrange: str = "") -> DataFrame:
@@ -48,6 +48,8 @@ def apply_static_mask(df: DataFrame, channels: DataFrame, masks: DataFrame, ante
     mode = mode.strip()
     if mode not in ("or", "override"):
         raise ValueError(f"no accumulation mode {mode!r}")
+    if antennas is None and uvrange.strip() not in ("", "*"):
+        raise ValueError("a range of baselines needs the antennas' positions")
     known = [r[0] for r in masks.select("mask_id").distinct().orderBy("mask_id").collect()]  # a row for each mask
     if not known:
         return df

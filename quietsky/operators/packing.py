@@ -50,6 +50,35 @@ def packed(df: DataFrame, n_chan: int, n_corr: int) -> DataFrame:
     return samples(full.select(*cell, data.alias("data"), flag.alias("flag")))
 
 
+def as_rows(df: DataFrame) -> DataFrame:
+    """Rows with data and flag as [chan][corr] of dense samples: what samples() makes of them is df. row_id and time are the time's number."""
+    cell = [*GROUP, "bl", "antenna1", "antenna2", "time_idx"]
+    sample = F.struct(F.col("corr"), F.struct(F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im")).alias("v"), F.col("flag").alias("f"))
+    by_chan = df.groupBy(*cell, "chan").agg(F.array_sort(F.collect_list(sample)).alias("_k"))
+    rows = by_chan.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("chan", "_k"))).alias("_c"))
+    each = lambda name: F.transform("_c", lambda c: F.transform(c["_k"], lambda k: k[name]))
+    number = F.col("time_idx")
+    return rows.select(*cell, number.alias("row_id"), number.cast("double").alias("time"), each("v").alias("data"), each("f").alias("flag"))
+
+
+def flag_samples(df: DataFrame) -> DataFrame:
+    """A row for each channel and correlation of rows with flag as [chan][corr], without row_id and time."""
+    by_chan = df.select("*", F.posexplode("flag").alias("chan", "_f")).drop("flag", "row_id", "time")
+    return by_chan.select("*", F.posexplode("_f").alias("corr", "flag")).drop("_f")
+
+
+def gathered(df: DataFrame, keep: list[str]) -> DataFrame:
+    """df(row_id, GROUP, time, antenna1, antenna2, data, flag, and keep), and one more row for each baseline of a group, with the group's times as `times`.
+
+    What a window of a baseline is made of: its rows, with their arrays, and the times that other baselines have. Rows are not joined
+    with anything, so their arrays are shuffled only when a baseline's rows are brought together.
+    """
+    pair = [*GROUP, "antenna1", "antenna2"]
+    times = df.groupBy(*GROUP).agg(F.collect_set("time").alias("times"))
+    lines = df.select(*pair).distinct().join(times, GROUP)
+    return df.select(*pair, "row_id", "time", *keep, "data", "flag").unionByName(lines.select(*pair, "times"), allowMissingColumns=True)
+
+
 def unpacked(rows: DataFrame, windows: DataFrame) -> DataFrame:
     """flag as [chan][corr] for each of rows(row_id, ..., bl, time_idx); false where no window has the row."""
     cell = [*GROUP, "bl", "time_idx"]

@@ -29,8 +29,8 @@ def by_field(df: DataFrame, fields: DataFrame, wanted: list[str] | None) -> Data
 
 
 def baselines_in_range(baselines: DataFrame, antennas: DataFrame, uvrange: str) -> DataFrame:
-    """baselines(antenna1, antenna2) whose halved squared length lies between the squared ends of uvrange, ends included."""
-    lo, hi = length_range(uvrange)
+    """baselines(antenna1, antenna2) whose halved squared length lies between the squared ends of uvrange, ends included, in whichever order they stand."""
+    lo, hi = sorted(length_range(uvrange))
     p = [F.broadcast(antennas.select(F.col("antenna_id").alias(f"antenna{i}"), F.col("position").alias(f"_p{i}"))) for i in (1, 2)]
     d2 = 0.5 * F.aggregate(F.zip_with("_p1", "_p2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     return baselines.join(p[0], "antenna1").join(p[1], "antenna2").where(d2.between(lo * lo, hi * hi)).select(baselines.columns)

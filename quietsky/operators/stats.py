@@ -34,13 +34,18 @@ def window_stats(df: DataFrame, antennas: DataFrame, channels: DataFrame, fields
 
 
 def _bins(base: DataFrame, channels: DataFrame, n_bins: int) -> DataFrame:
-    freq = {r["chan"]: r["chan_freq"] for r in channels.select("chan", "chan_freq").collect()}  # a row for each channel
-    edges = np.linspace(min(freq.values()), max(freq.values()), n_bins)
-    place = {c: int(np.searchsorted(edges, f, side="right")) - 1 for c, f in freq.items()}
-    spark = base.sparkSession
-    where = spark.createDataFrame([(c, b) for c, b in place.items() if b < n_bins - 1], "chan int, bin int")
+    """Counts by stretch of frequency; channels are those of every data description, or, with data_desc_id, of each. Without channels there are none."""
+    by = ["data_desc_id", "chan"] if "data_desc_id" in channels.columns else ["chan"]
+    freq: dict[tuple, dict[int, float]] = {}
+    for r in channels.select(*by, "chan_freq").collect():  # a row for each channel of an instrument
+        freq.setdefault(tuple(r[:-2]), {})[r["chan"]] = r["chan_freq"]
+    where = []
+    for d, by_chan in freq.items():
+        edges = np.linspace(min(by_chan.values()), max(by_chan.values()), n_bins)
+        where += [(*d, c, b) for c, f in by_chan.items() if (b := int(np.searchsorted(edges, f, side="right")) - 1) < n_bins - 1]
+    places = base.sparkSession.createDataFrame(where, ", ".join(f"{c} int" for c in by) + ", bin int")
     whole = base.groupBy("data_desc_id").agg(F.sum("size").alias("size"))
-    hits = base.join(F.broadcast(where), "chan").groupBy("data_desc_id", "bin").agg(F.sum("flagged").alias("flagged"))
+    hits = base.join(F.broadcast(places), by).groupBy("data_desc_id", "bin").agg(F.sum("flagged").alias("flagged"))
     every = whole.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1)))).join(hits, ["data_desc_id", "bin"], "left")
     return every.select(F.lit("ddid_bin").alias("dim"), F.concat_ws(":", "data_desc_id", "bin").alias("key"), F.coalesce("flagged", F.lit(0)).alias("flagged"), "size")
 

@@ -1,8 +1,8 @@
 """Single steps of the SumThreshold and fit-and-clip flaggers on samples in long form, as DataFrame operations.
 
 Samples have the columns of PRODUCT, time_idx, chan, amp and flag; amp is null where there is no number. Moving windows are
-Window frames over one partitioning by PRODUCT, which every finer one accepts. Filters are weighted sums, made by
-sending each sample to the places it reaches. The iterated flaggers are in quietsky.operators.kernels.
+Window frames over one partitioning by PRODUCT, which every finer one accepts. Filters are passes of a box, each a difference
+of running sums. The iterated flaggers are in quietsky.operators.kernels.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quietsky.functions.boxes import PASSES, kernel, low_pass, radius
+from quietsky.functions.boxes import PASSES, low_pass, radius
 from quietsky.operators.kernels import MAD_NORMAL
 from quietsky.sources.tables import GROUP
 
@@ -59,19 +59,41 @@ def interpolated(df: DataFrame, column: str) -> DataFrame:
 
 
 def blurred(df: DataFrame, axis: str, r: int, sums: list[str], counts: list[str], passes: int = PASSES) -> DataFrame:
-    """Sums along an axis, weighted by the box kernel, and plain counts over its support. Places beyond the ends have rows too."""
+    """Sums along an axis, weighted by the box kernel, and plain counts over its support, for df's samples, which are dense.
+
+    A pass is a difference of two places of a running sum: two window functions over one sort, whatever the radius. Each line has
+    as many empty places beyond its ends as the passes reach, for what leaves the line in one pass and comes back in the next.
+    """
     along, across = AXES[axis]
     if r == 0:
         return df.select(*PRODUCT, along, across, *sums, *counts)
-    weights = F.array(*[F.lit(w) for w in kernel(r, passes)])
-    sent = df.select(*PRODUCT, across, F.col(along).alias("_at"), *sums, *counts, F.posexplode(weights).alias("_j", "_w"))
-    to = (F.col("_at") + F.col("_j") - r * passes).alias(along)
-    return sent.groupBy(*PRODUCT, across, to).agg(*[F.sum(F.col(s) * F.col("_w")).alias(s) for s in sums], *[F.sum(c).alias(c) for c in counts])
+    beyond, own = r * passes, df.select(*PRODUCT, along, across, *sums, *counts, F.lit(True).alias("_own"))
+    ends = df.groupBy(*PRODUCT, across).agg(F.min(along).alias("_a"), F.max(along).alias("_b"))
+    places = F.concat(F.sequence(F.col("_a") - beyond, F.col("_a") - 1), F.sequence(F.col("_b") + 1, F.col("_b") + beyond))
+    empty = [F.lit(0).cast(df.schema[c].dataType).alias(c) for c in (*sums, *counts)]
+    out = own.unionByName(ends.select(*PRODUCT, across, F.explode(places).alias(along), *empty, F.lit(False).alias("_own")))
+    line = W.partitionBy(*PRODUCT, across).orderBy(along)
+    so_far = line.rowsBetween(W.unboundedPreceding, 0)
+
+    def within(columns: list[str], reach: int, share: float) -> dict:
+        """Sums over `reach` places to each side; F.last stands for places beyond the last one."""
+        whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        up = lambda c: F.coalesce(F.lead(f"_c{c}", reach).over(line), F.last(f"_c{c}").over(whole))
+        return {c: (up(c) - F.coalesce(F.lag(f"_c{c}", reach + 1).over(line), F.lit(0))) / share for c in columns}
+
+    running = lambda columns: {f"_c{c}": F.sum(c).over(so_far) for c in columns}
+    if counts:
+        out = out.withColumns(running(counts)).withColumns({c: v.cast("long") for c, v in within(counts, beyond, 1.0).items()})
+    for _ in range(passes):
+        out = out.withColumns(running(sums)).withColumns(within(sums, r, 2.0 * r + 1))
+    return out.where("_own").select(*PRODUCT, along, across, *sums, *counts)
 
 
 def masked_gaussian(df: DataFrame, sigma: tuple[float, float], passes: int = PASSES) -> DataFrame:
-    """Adds smooth: a weighted mean over time and frequency of what is unflagged, null where the support has nothing."""
-    own = df.where(~F.col("flag")).select(*PRODUCT, "time_idx", "chan", F.coalesce("amp", F.lit(0.0)).alias("_v"), F.lit(1.0).alias("_u"), F.lit(1).alias("_n"))
+    """Adds smooth: a weighted mean over time and frequency of what is unflagged, null where the support has nothing. Samples are dense."""
+    ok = ~F.col("flag")
+    own = df.withColumns({"_v": F.when(ok, F.coalesce("amp", F.lit(0.0))).otherwise(0.0), "_u": F.when(ok, 1.0).otherwise(0.0), "_n": F.when(ok, 1).otherwise(0).cast("long")})
+    own = own.select(*PRODUCT, "time_idx", "chan", "_v", "_u", "_n")
     for axis, s in zip(("time", "freq"), sigma, strict=True):
         own = blurred(own, axis, radius(s, passes), ["_v", "_u"], ["_n"], passes)
     joined = df.join(own, [*PRODUCT, "time_idx", "chan"], "left")

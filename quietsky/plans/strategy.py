@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quietsky.functions import stokes
@@ -14,30 +15,49 @@ from quietsky.functions.complexes import residual
 from quietsky.functions.grammar import length_range
 from quietsky.operators import flags as native
 from quietsky.operators import kernels, packing, selection
-from quietsky.operators.threshold import PRODUCT
 
 TASKS = ("flag_nans_zeros", "flag_autos", "unflag", "combine_with_input_flags", "apply_static_mask", "sum_threshold", "uvcontsub_flagger")
 
 
-def _sum_threshold(nsigma: float, freq: tuple, spike: tuple[float, float], majors: int) -> dict:
-    return {"outlier_nsigma": nsigma, "windows_freq": freq, "spike_width_time": spike[0], "spike_width_freq": spike[1], "background_iterations": 5, "num_major_iterations": majors}
-
-
-#: The default list; parameters that a step does not name have the defaults of its flagger.
+# The steps of the default list and their parameters. What a step does not name has the default of its flagger.
 DEFAULT = [
-    {"name": "nan_dropouts_flag", "task": "flag_nans_zeros"},
-    {"name": "background_static_mask", "task": "apply_static_mask", "kwargs": {"accumulation_mode": "or", "uvrange": ""}},
-    {"name": "background_flags", "task": "sum_threshold", "kwargs": _sum_threshold(10, (1, 2, 4, 8), (12.5, 10.0), 5)},
-    {"name": "residual_flag_initial", "task": "uvcontsub_flagger", "kwargs": {"major_cycles": 7, "or_original_from_cycle": 1, "taylor_degrees": 20, "sigma": 15.0}},
-    {"name": "nan_dropouts_reflag", "task": "flag_nans_zeros"},
-    {"name": "uvrange_static_mask", "task": "apply_static_mask", "kwargs": {"accumulation_mode": "or", "uvrange": "0~550"}},
-    {"name": "final_st_very_broad", "task": "sum_threshold", "kwargs": _sum_threshold(10, (32, 48, 64, 128), (6.5, 64.0), 1)},
-    {"name": "final_st_broad", "task": "sum_threshold", "kwargs": _sum_threshold(10, (1, 2, 4, 8), (6.5, 10.0), 1)},
-    {"name": "final_st_narrow", "task": "sum_threshold", "kwargs": _sum_threshold(10, (1, 2, 4, 8), (2.0, 10.0), 1)},
-    {"name": "residual_flag_final", "task": "uvcontsub_flagger", "kwargs": {"major_cycles": 10, "or_original_from_cycle": 0, "taylor_degrees": 25, "sigma": 13.0}},
-    {"name": "flag_autos", "task": "flag_autos"},
-    {"name": "combine_with_input_flags", "task": "combine_with_input_flags"},
-]
+    {"name": "missing", "task": "flag_nans_zeros"},
+    {"name": "known interference", "task": "apply_static_mask", "kwargs": {"accumulation_mode": "or", "uvrange": ""}},
+    {
+        "name": "outliers",
+        "task": "sum_threshold",
+        "kwargs": {
+            "outlier_nsigma": 10, "windows_freq": [1, 2, 4, 8], "spike_width_time": 12.5, "spike_width_freq": 10.0, "background_iterations": 5, "num_major_iterations": 5,
+        },
+    },
+    {"name": "far from the fit", "task": "uvcontsub_flagger", "kwargs": {"major_cycles": 7, "or_original_from_cycle": 1, "taylor_degrees": 20, "sigma": 15.0}},
+    {"name": "missing again", "task": "flag_nans_zeros"},
+    {"name": "known interference, short baselines", "task": "apply_static_mask", "kwargs": {"accumulation_mode": "or", "uvrange": "0~550"}},
+    {
+        "name": "very broad outliers",
+        "task": "sum_threshold",
+        "kwargs": {
+            "outlier_nsigma": 10, "windows_freq": [32, 48, 64, 128], "spike_width_time": 6.5, "spike_width_freq": 64.0, "background_iterations": 5, "num_major_iterations": 1,
+        },
+    },
+    {
+        "name": "broad outliers",
+        "task": "sum_threshold",
+        "kwargs": {
+            "outlier_nsigma": 10, "windows_freq": [1, 2, 4, 8], "spike_width_time": 6.5, "spike_width_freq": 10.0, "background_iterations": 5, "num_major_iterations": 1,
+        },
+    },
+    {
+        "name": "narrow outliers",
+        "task": "sum_threshold",
+        "kwargs": {
+            "outlier_nsigma": 10, "windows_freq": [1, 2, 4, 8], "spike_width_time": 2.0, "spike_width_freq": 10.0, "background_iterations": 5, "num_major_iterations": 1,
+        },
+    },
+    {"name": "far from the final fit", "task": "uvcontsub_flagger", "kwargs": {"major_cycles": 10, "or_original_from_cycle": 0, "taylor_degrees": 25, "sigma": 13.0}},
+    {"name": "autocorrelations", "task": "flag_autos"},
+    {"name": "input flags", "task": "combine_with_input_flags"},
+]
 
 
 def checked(strategies: list[dict]) -> list[tuple[str, dict]]:
@@ -56,34 +76,73 @@ def checked(strategies: list[dict]) -> list[tuple[str, dict]]:
     return out
 
 
-def apply_strategies(windows: DataFrame, strategies: list[dict], channels: DataFrame, masks: DataFrame | None = None, antennas: DataFrame | None = None) -> DataFrame:
-    """Flags after all steps, for dense samples (PRODUCT, antenna1, antenna2, time_idx, chan, re, im, flag).
+@dataclass(frozen=True)
+class Instrument:
+    """What the steps need to know besides samples, of the size of an instrument: masked channels of each mask, by data description, and antenna positions."""
 
-    The one shuffle brings each product, a plane of time by channel, together; every step then runs on that plane.
-    Masks and antenna positions have the size of the instrument and are read beforehand.
-    """
-    steps = checked(strategies)
-    hits: list[set[int]] = []
+    hits: dict[int, list[set[int]]]
+    places: dict[int, np.ndarray]
+
+
+def instrument(channels: DataFrame, masks: DataFrame | None, antennas: DataFrame | None) -> Instrument:
+    """From channels(chan, chan_freq, chan_width, and data_desc_id unless all are alike), masks(mask_id, freq_hz) and antennas(antenna_id, position)."""
+    hits: dict[int, list[set[int]]] = {}
     if masks is not None:
-        found: dict[int, set[int]] = {r[0]: set() for r in masks.select("mask_id").distinct().collect()}
-        for r in native.masked_channels(channels, masks).collect():
-            found[r["mask_id"]].add(r["chan"])
-        hits = [found[k] for k in sorted(found)]
+        known = sorted(r[0] for r in masks.select("mask_id").distinct().collect())
+        own = channels if "data_desc_id" in channels.columns else channels.withColumn("data_desc_id", F.lit(-1))
+        found = {d: {m: set() for m in known} for d in (r[0] for r in own.select("data_desc_id").distinct().collect())}
+        for r in native.masked_channels(own, masks, ["data_desc_id"]).collect():
+            found[r["data_desc_id"]][r["mask_id"]].add(r["chan"])
+        hits = {d: [by[m] for m in known] for d, by in found.items()}
     places = {r["antenna_id"]: np.array(r["position"]) for r in antennas.collect()} if antennas is not None else {}
+    return Instrument(hits, places)
 
-    def run(plane: pd.DataFrame) -> pd.DataFrame:
-        t, c = plane["time_idx"].to_numpy(), plane["chan"].to_numpy()
-        shape = (int(t.max()) + 1, int(c.max()) + 1)
-        vis, flag = np.full(shape, complex(np.nan, np.nan)), np.ones(shape, dtype=bool)
-        vis[t, c] = plane["re"].to_numpy(dtype=float) + 1j * plane["im"].to_numpy(dtype=float)
-        flag[t, c] = plane["flag"].to_numpy(dtype=bool)
-        a1, a2 = int(plane["antenna1"].iloc[0]), int(plane["antenna2"].iloc[0])
-        first = flag.copy()
-        for task, o in steps:
-            flag = _step(task, o, vis, flag, first, a1, a2, hits, places)
-        return plane.assign(flag=flag[t, c])
 
-    return windows.groupBy(*PRODUCT).applyInPandas(run, windows.schema)
+def flag_baselines(rows: DataFrame, strategies: list[dict], known: Instrument, keep: list[str] | None = None) -> DataFrame:
+    """row_id, GROUP, time, antenna1, antenna2, keep, and flag, [chan][corr], of each of rows(these, data) after all steps.
+
+    The one shuffle of data brings the rows of a baseline of a group together, as arrays; they are its window of time by channel for each
+    correlation, and every step runs on that. Of several rows of one time the one with the highest row_id is in the window, and all get its flags.
+    Times that only other baselines have are NaN and flagged in it.
+    """
+    steps = checked(strategies)
+    if not known.places and any(task == "apply_static_mask" and o.get("uvrange", "").strip() not in ("", "*") for task, o in steps):
+        raise ValueError("a mask for a range of baselines needs the antennas' positions")
+    out = ["row_id", *packing.GROUP, "time", "antenna1", "antenna2", *(keep or []), "flag"]
+
+    def run(key: tuple, window: pa.Table) -> pa.Table:
+        field = {n: k.as_py() for n, k in zip([*packing.GROUP, "antenna1", "antenna2"], key, strict=True)}
+        grid = window.column("times").combine_chunks()
+        times = np.sort(grid.flatten().to_numpy())
+        own = window.filter(grid.is_null()).sort_by("row_id").combine_chunks()
+        data, flags = (own.column(c).combine_chunks() for c in ("data", "flag"))
+        n_chan = len(data[0])
+        n_corr = len(data[0][0])
+        values = data.flatten().flatten()
+        vis = (values.field("re").to_numpy(zero_copy_only=False) + 1j * values.field("im").to_numpy(zero_copy_only=False)).reshape(len(own), n_chan, n_corr)
+        before = flags.flatten().flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(vis.shape)
+        at = np.searchsorted(times, own.column("time").to_numpy())
+        new = np.zeros(vis.shape, dtype=bool)
+        hits = known.hits.get(field["data_desc_id"], known.hits.get(-1, []))
+        for corr in range(n_corr):
+            plane, flag = np.full((len(times), n_chan), complex(np.nan, np.nan)), np.ones((len(times), n_chan), dtype=bool)
+            plane[at], flag[at] = vis[:, :, corr], before[:, :, corr]  # of rows with one time the last stays
+            first = flag.copy()
+            for task, o in steps:
+                flag = _step(task, o, plane, flag, first, field["antenna1"], field["antenna2"], hits, known.places)
+            new[:, :, corr] = flag[at]
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(len(own) * n_chan + 1) * n_corr, pa.int32()), pa.array(new.ravel()))
+        nested = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * n_chan, pa.int32()), inner)
+        return own.select(out[:-1]).append_column("flag", nested)
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{n} {'array<array<boolean>>' if n == 'flag' else kinds[n]}" for n in out)
+    return packing.gathered(rows, keep or []).groupBy(*packing.GROUP, "antenna1", "antenna2").applyInArrow(run, schema)
+
+
+def apply_strategies(windows: DataFrame, strategies: list[dict], channels: DataFrame, masks: DataFrame | None = None, antennas: DataFrame | None = None) -> DataFrame:
+    """bl, antenna1, antenna2, GROUP, corr, time_idx, chan and flag after all steps, for dense samples (PRODUCT, antenna1, antenna2, time_idx, chan, re, im, flag)."""
+    return packing.flag_samples(flag_baselines(packing.as_rows(windows), strategies, instrument(channels, masks, antennas), ["bl", "time_idx"]))
 
 
 def _step(task: str, o: dict, vis: np.ndarray, flag: np.ndarray, first: np.ndarray, a1: int, a2: int, hits: list[set[int]], places: dict) -> np.ndarray:
@@ -99,8 +158,8 @@ def _step(task: str, o: dict, vis: np.ndarray, flag: np.ndarray, first: np.ndarr
         return flag | kernels.sum_threshold_flags(np.abs(vis), flag, **o)
     if task == "uvcontsub_flagger":
         return kernels.uvcontsub_flags(vis, flag, **o)
-    lo, hi = length_range(o.get("uvrange", ""))
-    if places and o.get("uvrange", "").strip() not in ("", "*"):
+    lo, hi = sorted(length_range(o.get("uvrange", "")))
+    if o.get("uvrange", "").strip() not in ("", "*"):
         d2 = 0.5 * float(((places[a1] - places[a2]) ** 2).sum())
         if not lo * lo <= d2 <= hi * hi:
             return flag
@@ -115,35 +174,49 @@ def _step(task: str, o: dict, vis: np.ndarray, flag: np.ndarray, first: np.ndarr
 MODES: dict[str, Callable] = {"polarisation": stokes.polarised, "total_power": stokes.total_power}
 
 
-def quantity(df: DataFrame, mode: str, corr_types: list[int], with_model: bool = False) -> DataFrame:
-    """Rows' data as it is flagged: less the model if there is one; as one Stokes amplitude for all correlations unless the mode is standard."""
+def quantity(df: DataFrame, mode: str, corr_types: list[int] | dict[int, list[int]], with_model: bool = False) -> DataFrame:
+    """Rows' data as it is flagged: less the model if there is one; as one Stokes amplitude for all correlations unless the mode is standard.
+
+    corr_types: the correlations of every row, or of each data description.
+    """
     if with_model:
         df = df.withColumn("data", F.zip_with("data", "model", residual))
     if mode == "standard":
         return df
     if mode not in MODES:
         raise ValueError(f"no flagging mode {mode!r}")
-    zero = F.lit(0.0)
-    data = F.transform("data", lambda v: F.array(F.struct(MODES[mode](v, corr_types).alias("re"), zero.alias("im"))))
+
+    def amplitude(own: list[int]) -> Column:
+        return F.transform("data", lambda v: F.array(F.struct(MODES[mode](v, own).alias("re"), F.lit(0.0).alias("im"))))
+
+    if isinstance(corr_types, dict):
+        data = F.coalesce(*[F.when(F.col("data_desc_id") == d, amplitude(own)) for d, own in corr_types.items()])
+    else:
+        data = amplitude(corr_types)
     return df.withColumns({"data": data, "flag": F.transform("flag", lambda f: F.array(F.exists(f, lambda x: x)))})
 
 
-def flag(rows: DataFrame, channels: DataFrame, corr_types: list[int], *, strategies: list[dict] | None = None, mode: str = "standard", scans: list[int] | str | None = None,
+def selected(rows: DataFrame, scans: list[int] | str | None, fields: DataFrame | None, field_names: list[str] | None) -> DataFrame:
+    """Rows of the asked scans and fields."""
+    rows = selection.by_scan(rows, scans)
+    return rows if fields is None else selection.by_field(rows, fields, field_names)
+
+
+def flag(rows: DataFrame, channels: DataFrame, corr_types: list[int] | dict[int, list[int]], *, strategies: list[dict] | None = None, mode: str = "standard", scans: list[int] | str | None = None,
          fields: DataFrame | None = None, field_names: list[str] | None = None, antennas: DataFrame | None = None, masks: DataFrame | None = None, ignore_flags: bool = False, with_model: bool = False) -> DataFrame:
     """New flags of main-table rows(row_id, GROUP, time, antenna1, antenna2, data, flag): the whole way, as one plan.
 
-    Select, subtract the model, form the quantity, index, pack, apply the strategies, unpack, and flag all correlations alike.
+    Select, subtract the model, form the quantity, flag each baseline's window, and flag all correlations alike. Data
+    descriptions may differ in channels and correlations: then channels has data_desc_id, and corr_types is by it.
+    A selection that nothing meets gives an empty table of the same columns.
     """
-    rows = selection.by_scan(rows, scans)
-    if fields is not None:
-        rows = selection.by_field(rows, fields, field_names)
+    rows = selected(rows, scans, fields, field_names)
     if ignore_flags:
         rows = rows.withColumn("flag", F.transform("flag", lambda c: F.transform(c, lambda k: F.lit(False))))
-    ready = packing.indexed(quantity(rows, mode, corr_types, with_model))
-    n_corr = len(corr_types) if mode == "standard" else 1
-    windows = packing.packed(ready, channels.count(), n_corr)
-    flagged = apply_strategies(windows, strategies or DEFAULT, channels, masks, antennas)
-    out = packing.equalised(packing.unpacked(ready, flagged))
-    if n_corr != len(corr_types):
-        out = out.withColumn("flag", F.transform("flag", lambda f: F.array_repeat(f[0], len(corr_types))))
+    ready = quantity(rows, mode, corr_types, with_model)
+    out = packing.equalised(flag_baselines(ready, strategies or DEFAULT, instrument(channels, masks, antennas)))
+    if mode != "standard":
+        own = corr_types if isinstance(corr_types, dict) else {}
+        n = F.coalesce(*[F.when(F.col("data_desc_id") == d, len(c)) for d, c in own.items()]) if own else F.lit(len(corr_types))
+        out = out.withColumn("flag", F.transform("flag", lambda f: F.array_repeat(f[0], n)))
     return out.select("row_id", *packing.GROUP, "time", "antenna1", "antenna2", "flag")

@@ -13,7 +13,7 @@ from quietsky.functions import boxes, grammar, stokes
 from quietsky.functions.complexes import residual
 from quietsky.operators import flags, packing, selection, stats
 from quietsky.operators import threshold as th
-from quietsky.plans import strategy
+from quietsky.plans import application, strategy
 from quietsky.sources import fixtures
 
 LINEAR, CIRCULAR = [9, 10, 11, 12], [5, 6, 7, 8]
@@ -328,8 +328,9 @@ def uvcontsub_1cycle(spark, d):
 
 
 def _kernel_run(spark: SparkSession, d: str, steps: list[dict]) -> DataFrame:
-    out = strategy.apply_strategies(fixtures.spectra(spark, d), steps, fixtures.channels(spark), fixtures.masks(spark), fixtures.antennas(spark))
-    return out.select(*CELL, "flag")
+    known = strategy.instrument(fixtures.channels(spark), fixtures.masks(spark), fixtures.antennas(spark))
+    out = strategy.flag_baselines(fixtures.spectra_rows(spark, d), steps, known, ["bl", "time_idx"])
+    return packing.flag_samples(out).select(*CELL, "flag")
 
 
 @query()
@@ -356,6 +357,53 @@ def flag_rows(spark, d):
     return out.select("row_id", F.posexplode("flag").alias("chan", "f")).select("row_id", "chan", F.posexplode("f").alias("corr", "flag"))
 
 
+#: Steps that SQL can follow row by row.
+_PLAIN = [
+    {"name": "missing", "task": "flag_nans_zeros"},
+    {"name": "masks", "task": "apply_static_mask", "kwargs": {"accumulation_mode": "or", "uvrange": "150~0"}},
+    {"name": "autocorrelations", "task": "flag_autos"},
+]
+
+_TABLES = f"""{_E2}, m(freq_hz) as (values {', '.join(f'({f!r}::double)' for _, f in fixtures.MASKS)}),
+last as (select *, max(row_id) over (partition by scan_number, antenna1, antenna2, t) last_id from e2s where scan_number % 2 = 0 or (chan < 4 and corr < 2)),
+hit as (select distinct d, c from (select d, c, 0.856e9::double + (c + d) * 13375000.0::double f from range(2) x(d), range(8) y(c)) join m on freq_hz >= f - 0.5 * 13375000.0 and freq_hz < f + 0.5 * 13375000.0)"""
+
+
+def _tables(spark: SparkSession, d: str, mode: str) -> DataFrame:
+    options = application.Options(mode=mode, scans="0~3", field_names=["3C286", "1"])
+    out = application.flag_tables(fixtures.described_rows(spark, d), fixtures.side_tables(spark), options, fixtures.masks(spark), _PLAIN)
+    both = out.select("row_id", "data_desc_id", F.posexplode("flag").alias("chan", "f"))
+    return both.select("row_id", "data_desc_id", "chan", F.posexplode("f").alias("corr", "flag"))
+
+
+_ON = f"(antenna1 = antenna2 or ({_D2} between 0 and 150.0 * 150.0 and exists (from hit where d = scan_number % 2 and c = l.chan)))"
+
+
+@query(
+    f"""with {_TABLES}, f as (select row_id, chan, bool_or(flag or re is null or (re = 0 and im = 0)) f from e2s where scan_number % 2 = 0 or (chan < 4 and corr < 2) group by all)
+select l.row_id, (scan_number % 2)::int data_desc_id, l.chan, corr, f or {_ON} flag from last l join f on f.row_id = last_id and f.chan = l.chan where scan_number between 0 and 3"""
+)
+def tables_to_flags_standard(spark, d):
+    """Rows of two data descriptions, with their side tables and masks, each correlation flagged by itself."""
+    return _tables(spark, d, "standard")
+
+
+#: Either amplitude is zero only where all parts are.
+_AMPLITUDE = f"""with {_TABLES}, p as (select row_id, chan, bool_or(flag) or bool_or(re is null) or bool_and(coalesce(re = 0 and im = 0, false)) f
+  from e2s where scan_number % 2 = 0 or (chan < 4 and corr < 2) group by row_id, chan)
+select l.row_id, (scan_number % 2)::int data_desc_id, l.chan, corr, f or {_ON} flag from last l join p on p.row_id = last_id and p.chan = l.chan where scan_number between 0 and 3"""
+
+
+@query(_AMPLITUDE)
+def tables_to_flags_total_power(spark, d):
+    return _tables(spark, d, "total_power")
+
+
+@query(_AMPLITUDE)
+def tables_to_flags_polarisation(spark, d):
+    return _tables(spark, d, "polarisation")
+
+
 _NAMES = "['A1', 'A2', 'A3', 'A4']"
 _S = "sum(flag::int)::bigint flagged, count(*)::bigint size"
 

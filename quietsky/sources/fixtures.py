@@ -45,6 +45,21 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*group, "bl", _pair(F.col("bl"), 0).alias("antenna1"), _pair(F.col("bl"), 1).alias("antenna2"), F.lit(0).alias("corr"), "time_idx", "chan", re.alias("re"), F.lit(0.0).alias("im"), ((c >= 60) & (t % 2 == 0)).alias("flag"))
 
 
+def spectra_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of spectra() as rows, with data and flag as [chan][corr]."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
+    t, v = F.col("time_idx"), F.col("vec_id")
+    numbered = e.withColumn("time_idx", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1)
+
+    def sample(x: Column, c: Column) -> Column:
+        amp = F.abs(2 + x.cast("double")) + F.when(c == 17, 3.0).otherwise(0.0) + F.when(t.between(20, 24) & c.between(40, 43), 1.5).otherwise(0.0) + F.when((t % 13 == 7) & (c == t * 5 % 64), 2.0).otherwise(0.0)
+        return F.array(F.struct(F.when((v % 37 == 0) & (c == 5), float("nan")).when((v % 41 == 0) & (c == 9), 0.0).otherwise(amp).alias("re"), F.lit(0.0).alias("im")))
+
+    group = [F.lit(0).alias(g) for g in ("field_id", "data_desc_id", "scan_number")]
+    flag = F.transform("embedding", lambda x, c: F.array((c >= 60) & (t % 2 == 0)))
+    return numbered.select(*group, F.col("label").alias("bl"), _pair(F.col("label"), 0).alias("antenna1"), _pair(F.col("label"), 1).alias("antenna2"), "time_idx", v.alias("row_id"), t.cast("double").alias("time"), F.transform("embedding", sample).alias("data"), flag.alias("flag"))
+
+
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main-table rows of 8 channels and 4 correlations, with missing and repeated times: row_id, and data and flag as [chan][corr]."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
@@ -60,6 +75,26 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((scan % 2).alias("field_id"), F.lit(0).alias("data_desc_id"), scan.alias("scan_number"), v.alias("row_id"), F.floor(v % 125 / 5).cast("double").alias("time"), _pair(F.col("label"), 0).alias("antenna1"), _pair(F.col("label"), 1).alias("antenna2"), data.alias("data"), flag.alias("flag"))
 
 
+def described_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rows() in two data descriptions by scan: eight channels and four correlations, and four channels and two correlations."""
+    d = F.col("scan_number") % 2
+    few = lambda c: F.when(d == 0, F.col(c)).otherwise(F.transform(F.slice(c, 1, 4), lambda k: F.slice(k, 1, 2)))
+    own = rows(spark, sf_dir)
+    return own.withColumns({"data_desc_id": d, "data": few("data"), "flag": few("flag")})
+
+
+def side_tables(spark: SparkSession) -> dict[str, DataFrame]:
+    """Side tables of described_rows()."""
+    freq = [FIRST_FREQ + i * FREQ_STEP for i in range(8)]
+    return {
+        "antenna": antennas(spark),
+        "field": spark.createDataFrame([(0, "3C286"), (1, "PKS1934-63")], "field_id int, name string"),
+        "data_description": spark.createDataFrame([(0, 3, 5), (1, 4, 6)], "data_desc_id int, spectral_window_id int, polarization_id int"),
+        "spectral_window": spark.createDataFrame([(3, freq, [FREQ_STEP] * 8), (4, freq[1:5], [FREQ_STEP] * 4)], "spectral_window_id int, chan_freq array<double>, chan_width array<double>"),
+        "polarization": spark.createDataFrame([(5, [9, 10, 11, 12]), (6, [9, 12])], "polarization_id int, corr_type array<int>"),
+    }
+
+
 def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as sparse samples: a mean value for each baseline, kind, hour and channel."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "value")

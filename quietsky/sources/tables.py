@@ -16,18 +16,41 @@ SIDE_TABLES = ("antenna", "field", "data_description", "spectral_window", "polar
 
 
 def read_visibilities(spark: SparkSession, path: str, data_column: str = "data", model_column: str | None = None) -> DataFrame:
-    """The main table, only the columns that flagging needs; partitioned by GROUP, selections prune its files."""
-    columns = [*GROUP, "time", "antenna1", "antenna2", F.col(data_column).alias("data"), "flag"]
+    """The main table, only the columns that flagging needs; partitioned by GROUP, selections prune its files.
+
+    row_id is the table's own, or, without one, text of the row's file and its place there: the same in every read.
+    """
+    df = spark.read.parquet(path)
+    place = F.concat(F.col("_metadata.file_path"), F.lit(":"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
+    row_id = F.col("row_id") if "row_id" in df.columns else place.alias("row_id")
+    columns = [row_id, *GROUP, "time", "antenna1", "antenna2", F.col(data_column).alias("data"), "flag"]
     if model_column:
         columns.append(F.col(model_column).alias("model"))
-    return spark.read.parquet(path).select(*columns)
+    return df.select(*columns)
 
 
 def read_side_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Side tables by name. They have a row for each antenna, field or window, so joins send them to all tasks."""
+    """Side tables by name, each a row for each antenna, field, data description, window or polarization:
+
+    antenna(antenna_id, name, position), field(field_id, name), data_description(data_desc_id, spectral_window_id, polarization_id),
+    spectral_window(spectral_window_id, chan_freq, chan_width: arrays), polarization(polarization_id, corr_type: an array).
+    """
     return {name: spark.read.parquet(f"{path}/{name}") for name in SIDE_TABLES}
 
 
+def channels_of(side: dict[str, DataFrame]) -> DataFrame:
+    """data_desc_id, chan, chan_freq and chan_width of all data descriptions, each with its window's channels."""
+    described = side["data_description"].join(side["spectral_window"], "spectral_window_id")
+    each = described.select("data_desc_id", F.posexplode(F.arrays_zip("chan_freq", "chan_width")).alias("chan", "_w"))
+    return each.select("data_desc_id", "chan", "_w.chan_freq", "_w.chan_width")
+
+
+def correlations_of(side: dict[str, DataFrame]) -> dict[int, list[int]]:
+    """The correlations of each data description, read on the driver."""
+    rows = side["data_description"].join(side["polarization"], "polarization_id").select("data_desc_id", "corr_type").collect()
+    return {r["data_desc_id"]: list(r["corr_type"]) for r in rows}
+
+
 def find_masks(filename: str = "", folders: tuple[str, ...] = ()) -> list[str]:
     """The given file alone, or all mask files of the folders, sorted within each; a folder may be a file."""
     if filename:
@@ -55,10 +78,14 @@ def load_mask(spark: SparkSession, filename: str, mask_id: int = 0, dilate: int
 
 
 def load_strategies(filename: str) -> list[dict]:
-    """The `strategies` list of a YAML file: name, task and kwargs of each step."""
+    """The `strategies` list of a YAML file: name, task and kwargs of each step. Without that list, or with another kind of thing in its place, ValueError."""
     import yaml
 
-    return yaml.safe_load(Path(filename).read_text())["strategies"]
+    found = yaml.safe_load(Path(filename).read_text())
+    steps = found.get("strategies") if isinstance(found, dict) else None
+    if not isinstance(steps, list) or not all(isinstance(s, dict) for s in steps):
+        raise ValueError(f"{filename} has no list of strategies")
+    return steps
 
 
 def write_flags(flags: DataFrame, path: str) -> None:

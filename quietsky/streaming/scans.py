@@ -12,8 +12,24 @@ from quietsky.sources.tables import GROUP, write_flags
 
 
 def flag_scans(rows: DataFrame, flagger: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Flags each micro-batch of a stream of main-table rows and writes its groups' flags; a batch that is repeated overwrites them."""
-    return rows.writeStream.foreachBatch(lambda batch, _: write_flags(flagger(batch), path)).option("checkpointLocation", checkpoint).start()
+    """Flags a stream of main-table rows scan by scan and writes the flags by group, a folder for each.
+
+    Files of whole scans may come in any batch. A scan that comes in several batches is flagged again with all that has come of it: its rows
+    are kept beside the checkpoint, by group, and each batch's groups are read whole from there. So the last flags of
+    a scan are those of the whole scan. A batch that is repeated keeps and writes the same rows once: they are kept by batch.
+    """
+    kept = f"{checkpoint}-rows"
+
+    def one(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        own = batch.withColumn("_batch", F.lit(number))
+        own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", *GROUP).parquet(kept)
+        groups = batch.select(*GROUP).distinct()  # a few scans
+        whole = batch.sparkSession.read.schema(own.schema).parquet(kept).where(F.col("_batch") <= number).drop("_batch")
+        write_flags(flagger(whole.join(F.broadcast(groups), GROUP, "left_semi")), path)
+
+    return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
 
 
 def running_counts(samples: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quietsky.functions import boxes, grammar, stokes
 from quietsky.operators import flags, kernels, packing, selection, stats
 from quietsky.operators import threshold as th
-from quietsky.plans import strategy
+from quietsky.plans import application, strategy
 from quietsky.sources import fixtures, tables
 
 GROUP = {"field_id": 0, "data_desc_id": 0, "scan_number": 0, "bl": 0, "corr": 0}
@@ -122,16 +122,17 @@ def test_counts_of_whole_rows_and_channels_are_taken_before_filling():
     assert out[0, :9].all() and not out[1:].any()
 
 
-def injected(average=1):
-    rng = np.random.RandomState(1)
-    shape = (234, 345)
-    amp = np.abs(2.34 + np.cumsum(rng.normal(0, 0.001, shape[1])) + rng.normal(0, 0.1, shape))
+def injected():
+    """A plane of 180 times by 420 channels with bad times, channels, a block, a channel that is a little too high, and missing samples."""
+    rng = np.random.default_rng(17)
+    shape = (180, 420)
+    amp = np.abs(1.7 + 0.4 * np.sin(np.arange(shape[1]) / 120) + rng.normal(0, 0.08, shape))
     rfi = np.zeros(shape, bool)
-    for sel, v in ((np.s_[12:13, :], 1), (np.s_[20:25, :], 0.5), (np.s_[:, 100:101], 1), (np.s_[:, 200:204], 1), (np.s_[80:100, 40:60], 0.8)):
+    for sel, v in ((np.s_[30:31, :], 0.9), (np.s_[61:65, :], 0.6), (np.s_[:, 57:58], 0.9), (np.s_[:, 250:253], 0.8), (np.s_[120:150, 300:330], 0.7)):
         amp[sel] += v
         rfi[sel] = True
-    amp[225, 225] = np.nan
-    rfi[225, 225] = True
+    amp[5, 400] = np.nan
+    rfi[5, 400] = True
     return amp, rfi
 
 
@@ -143,6 +144,31 @@ def test_injected_interference_is_found(average):
     assert (out & ~kernels.smeared(kernels.smeared(rfi, 3, 0), 3, 1)).mean() < 0.03
 
 
+def test_mostly_bad_times_and_channels_are_filled():
+    amp, _ = injected()
+    amp[90, :390] += 2.0  # over the part of a time that fills it
+    amp[:140, 120] += 2.0
+    out = kernels.sum_threshold_flags(amp, np.zeros(amp.shape, bool), num_major_iterations=1)
+    assert out[90].all() and out[:, 120].all()
+
+
+def test_flagged_missing_channels_leave_the_rest_alone():
+    amp, rfi = injected()
+    flags = np.zeros(amp.shape, bool)
+    amp[:, 200:210], flags[:, 200:210] = np.nan, True
+    out = kernels.sum_threshold_flags(amp, flags, num_major_iterations=1)
+    assert out[:, 200:210].all() and not (rfi & ~out).any()
+    rest = np.delete(out & ~kernels.smeared(kernels.smeared(rfi, 3, 0), 3, 1), np.s_[195:215], axis=1)
+    assert rest.mean() < 0.03
+
+
+def test_a_slightly_biased_channel_is_found_over_time():
+    amp, _ = injected()
+    amp[:, 350] += 0.35  # few single samples stand out
+    out = kernels.sum_threshold_flags(amp, np.zeros(amp.shape, bool), num_major_iterations=1)
+    assert out[:, 350].mean() > 0.9
+
+
 def test_all_flagged_gives_no_new_flags():
     assert not kernels.sum_threshold_flags(np.zeros((100, 80)), np.ones((100, 80), bool)).any()
 
@@ -230,6 +256,51 @@ def test_strategies_are_checked():
     assert len(strategy.checked(strategy.DEFAULT)) == 12
 
 
+def test_a_range_of_baselines_needs_positions_and_has_no_order(spark):
+    df = fixtures.spectra(spark, "/root/testdata/sf0.001").where("bl < 4 and time_idx < 3")
+    mask = [{"name": "m", "task": "apply_static_mask", "kwargs": {"uvrange": "150~0"}}]
+    channels, masks, antennas = fixtures.channels(spark), fixtures.masks(spark), fixtures.antennas(spark)
+    for f in (lambda: strategy.apply_strategies(df, mask, channels, masks), lambda: flags.apply_static_mask(df, channels, masks, uvrange="0~150")):
+        with pytest.raises(ValueError):
+            f()
+    line = df.select("antenna1", "antenna2").distinct()
+    assert selection.baselines_in_range(line, antennas, "550~0").count() == selection.baselines_in_range(line, antennas, "0~550").count() > 0
+    key = ["bl", "time_idx", "chan"]
+    one = strategy.apply_strategies(df, mask, channels, masks, antennas).select(*key, F.col("flag").alias("a"))
+    two = flags.apply_static_mask(df, channels, masks, antennas, "or", "0~150").select(*key, F.col("flag").alias("b"))
+    both = one.join(two, key)
+    assert both.count() == df.count() and both.where("a <> b").count() == 0
+
+
+def test_data_is_shuffled_once(spark):
+    known = strategy.instrument(fixtures.channels(spark), None, None)
+    plan = strategy.flag_baselines(fixtures.spectra_rows(spark, "/root/testdata/sf0.001"), [{"name": "n", "task": "flag_nans_zeros"}], known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("FlatMapGroupsInArrow") == 1
+
+
+def test_tables_are_read_flagged_and_written(spark, tmp_path):
+    root = tmp_path / "tables"
+    fixtures.described_rows(spark, "/root/testdata/sf0.001").drop("row_id").write.partitionBy(*packing.GROUP).parquet(str(root / "main"))
+    for name, df in fixtures.side_tables(spark).items():
+        df.write.parquet(str(root / name))
+    np.save(tmp_path / "m.npy", np.array([(i in (2, 3), fixtures.FIRST_FREQ + i * fixtures.FREQ_STEP) for i in range(8)], dtype=[("mask", bool), ("chans", float)]))
+    (tmp_path / "s.yaml").write_text("strategies:\n- {name: a, task: flag_nans_zeros}\n- {name: b, task: apply_static_mask, kwargs: {uvrange: ''}}\n- {name: c, task: combine_with_input_flags}\n")
+    application.main([str(root), str(tmp_path / "out"), "--mode", "standard", "--scans", "0~3", "--fields", "3C286", "--strategies", str(tmp_path / "s.yaml"), "--mask", str(tmp_path / "m.npy")])
+    main = tables.read_visibilities(spark, str(root / "main"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    asked = main.where("scan_number <= 3 and field_id = 0")
+    assert got.count() == asked.count() > 0 and got.join(asked, "row_id", "left_anti").count() == 0
+    for r in got.collect():
+        first = 2 if r["data_desc_id"] == 0 else 1  # the second window begins one channel higher
+        assert all(r["flag"][first]) and all(r["flag"][first + 1]) and len(r["flag"]) == (8 if r["data_desc_id"] == 0 else 4)
+    with pytest.raises(ValueError):
+        application.run(spark, str(root), str(tmp_path / "none"), application.Options(scans="77"))
+    (tmp_path / "bad.yaml").write_text("steps: []\n")
+    with pytest.raises(ValueError):
+        application.strategies_of(application.Options(strategy_file=str(tmp_path / "bad.yaml")))
+    assert not (tmp_path / "none").exists()
+
+
 def test_one_pass_of_steps_equals_the_native_steps(spark):
     df = fixtures.spectra(spark, "/root/testdata/sf0.001").where("bl < 3")
     args = (fixtures.channels(spark), fixtures.masks(spark), fixtures.antennas(spark))
@@ -268,3 +339,21 @@ def test_scans_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == rows.count()
+
+
+def test_a_scan_in_two_batches_keeps_all_its_rows(spark, tmp_path):
+    from quietsky.streaming import scans
+
+    rows = fixtures.rows(spark, "/root/testdata/sf0.001").where("scan_number = 0").coalesce(1)
+    for i in range(2):
+        rows.where(f"row_id % 2 = {i}").write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    steps = [{"name": "n", "task": "flag_nans_zeros"}]
+    channels = fixtures.channels(spark).where("chan < 8")
+    q = scans.flag_scans(stream, lambda b: strategy.flag(b, channels, [9, 10, 11, 12], strategies=steps), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.processAllAvailable()
+    q.stop()
+    key = ["row_id", F.to_json(F.struct("flag")).alias("f")]
+    whole = strategy.flag(rows, channels, [9, 10, 11, 12], strategies=steps)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == rows.count() and got.select(*key).exceptAll(whole.select(*key)).count() == 0
