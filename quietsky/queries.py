@@ -338,7 +338,22 @@ def sum_threshold_full(spark, d):
     return _kernel_run(spark, d, [{"name": "st", "task": "sum_threshold", "kwargs": {"outlier_nsigma": 10, "background_iterations": 5}}])
 
 
-@query()
+def _fit_cycles(src: str, plane: str, n_chan: int, degrees: int, sigma: float, cycles: int, keep_from: int) -> str:
+    """CTEs c0 to c{cycles}: src(plane, time_idx, chan, re, flag) after each cycle of fit and clip; re is null where there is no number."""
+    steps = [_low_pass_sql(n_chan, degrees), f"c0 as materialized (select * from {src})"]
+    for i in range(cycles):
+        new = f"coalesce(away > {sigma} * median(case when not flag then off_ end) over (partition by {plane}), false)"
+        steps.append(
+            f"""a{i} as (select {plane}, chan, coalesce(avg(case when not flag then re end), 0) r from c{i} group by all),
+s{i} as (select {plane}, (chan + m) % {n_chan} chan, sum(r * hr) sr, sum(r * hi) si from a{i}, h group by all),
+w{i} as (select e.*, sqrt(pow(re - sr, 2) + si * si) away from c{i} e join s{i} using ({plane}, chan)),
+o{i} as (select *, abs(away - median(case when not flag then away end) over (partition by {plane})) off_ from w{i}),
+c{i + 1} as materialized (select * exclude (away, off_) replace (bool_and(flag) over (partition by {plane}) or {"flag or " if i >= keep_from else ""}{new} as flag) from o{i})"""
+        )
+    return ", ".join(steps)
+
+
+@query(f"with {_E1}, {_fit_cycles('(select bl, time_idx, chan, re, flag from e1)', 'bl', 64, 20, 13.0, 5, 1)} select bl, time_idx, chan, flag from c5")
 def uvcontsub_full(spark, d):
     return _kernel_run(spark, d, [{"name": "fit", "task": "uvcontsub_flagger", "kwargs": {"sigma": 13.0}}])
 
@@ -348,7 +363,15 @@ def strategy_default(spark, d):
     return _kernel_run(spark, d, strategy.DEFAULT)
 
 
-@query()
+_POWER = f"""l as (select row_id, scan_number, antenna1, antenna2, t, max(row_id) over (partition by scan_number, antenna1, antenna2, t) last_id from e2),
+p as ({_P}), f as (select row_id, chan, bool_or(flag) f from e2s group by all),
+q as (select scan_number, antenna1, antenna2, t time_idx, chan, sqrt({_PI} + {_PQ} + {_PU} + {_PV}) re, f from l join p using (row_id) join f using (row_id, chan) where row_id = last_id)"""
+
+
+@query(
+    f"""with {_E2}, {_POWER}, {_fit_cycles("(select * exclude (f), f or re is null or re = 0 or antenna1 = antenna2 flag from q)", "scan_number, antenna1, antenna2", 8, 3, 5.0, 5, 0)}
+select l.row_id, chan, corr::int corr, flag from l join c5 c on c.scan_number = l.scan_number and c.antenna1 = l.antenna1 and c.antenna2 = l.antenna2 and c.time_idx = l.t, range(4) k(corr)"""
+)
 def flag_rows(spark, d):
     """The whole way from rows to rows, on total power."""
     steps = [s for s in strategy.DEFAULT if s["task"] in ("flag_nans_zeros", "flag_autos", "combine_with_input_flags")] + [{"name": "fit", "task": "uvcontsub_flagger", "kwargs": {"taylor_degrees": 3, "or_original_from_cycle": 0}}]
