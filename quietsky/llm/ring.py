@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quietsky.llm.common import cut, table
+from quietsky.llm.common import cut, table, unused
+
+#: Copies of one row that are expanded at once.
+RUN = 4096
 
 
 def virtual_nodes(n_shards: int, vnodes: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,23 +69,29 @@ def ring_shards(rows: DataFrame, keys: list[str], n_shards: int, *, vnodes: int
 
     A key's place on the ring is the hash of `keys`. The ring has `cells` cells, so what the driver
     sees and what is broadcast is bounded by cells and shards, whatever the number of rows. Equal rows
-    are counted before the shuffle and expanded after it, so a hot key is one row in any one sort.
-    Null keys have a place like any other; repeated rows get slots of their own; an empty table gives
-    an empty result. All columns of `rows` must be groupable; pass the light ones.
+    are counted before the shuffle and expanded after it, by RUN copies at a time in as many tasks, so a hot key is one row in any one sort.
+    Null keys have a place like any other; repeated rows get slots of their own; ties on the ring are broken by the columns' values;
+    keys may be of any length; an empty table gives an empty result. All columns of `rows` must be groupable, and none be named
+    shard or slot; pass the light ones.
     """
     spark, names = rows.sparkSession, rows.columns
-    grouped = rows.groupBy(*names).agg(F.count("*").alias("_n"))
+    n, at, cell, rank, lo, hi, base, run = (unused(rows, c) for c in ("_n", "_at", "_cell", "_rank", "_lo", "_hi", "_base", "_run"))
+    grouped = rows.groupBy(*names).agg(F.count("*").alias(n))
     place = F.xxhash64(*keys)
-    light = cut(grouped.withColumns({"_at": place, "_cell": F.shiftrightunsigned(place, 64 - (cells - 1).bit_length()).cast("int")}), "ring")
-    counts = np.zeros(1 << (cells - 1).bit_length(), dtype=np.int64)
-    for cell, n in light.groupBy("_cell").agg(F.sum("_n")).collect():  # at most a row for each cell
-        counts[cell] = n
-    pieces = spark.createDataFrame(deal(counts, n_shards, vnodes, load_factor), "_cell int, _lo long, _hi long, shard int, _base long")
-    before = W.partitionBy("_cell").orderBy("_at", *names).rowsBetween(W.unboundedPreceding, -1)
-    ranked = light.withColumn("_rank", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    single = ranked.withColumn("_rank", F.explode(F.sequence("_rank", F.col("_rank") + F.col("_n") - 1)))
-    dealt = single.join(F.broadcast(pieces), "_cell").where("_rank >= _lo and _rank < _hi")
-    return dealt.select(*names, "shard", (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("slot"))
+    bits = (cells - 1).bit_length()
+    light = cut(grouped.withColumns({at: place, cell: F.shiftrightunsigned(place, 64 - bits).cast("int")}), "ring")
+    counts = np.zeros(1 << bits, dtype=np.int64)
+    for c, m in light.groupBy(cell).agg(F.sum(n)).collect():  # at most a row for each cell
+        counts[c] = m
+    pieces = spark.createDataFrame(deal(counts, n_shards, vnodes, load_factor), f"{cell} int, {lo} long, {hi} long, shard int, {base} long")
+    before = W.partitionBy(cell).orderBy(at, *names).rowsBetween(W.unboundedPreceding, -1)
+    ranked = light.withColumn(rank, F.coalesce(F.sum(n).over(before), F.lit(0)))
+    last = F.col(rank) + F.col(n) - 1
+    few = ranked.where(F.col(n) <= RUN).withColumn(rank, F.explode(F.sequence(F.col(rank), last)))
+    many = ranked.where(F.col(n) > RUN).withColumn(hi, last).withColumn(run, F.explode(F.sequence(F.col(rank), last, F.lit(RUN).cast("long")))).repartition(cell, run)
+    many = many.withColumn(rank, F.explode(F.sequence(F.col(run), F.least(F.col(run) + RUN - 1, F.col(hi))))).drop(hi, run)
+    dealt = few.unionByName(many).join(F.broadcast(pieces), cell).where((F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi)))
+    return dealt.select(*names, "shard", (F.col(base) + F.col(rank) - F.col(lo)).alias("slot"))
 
 
 def shard_documents(spark: SparkSession, sf_dir: str, n_shards: int = 24, **ring) -> DataFrame:
