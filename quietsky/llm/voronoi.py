@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
+import operator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,41 +13,77 @@ from pyspark.sql import functions as F
 
 from quietsky.llm.common import cut, table
 
-#: Vectors with a component beyond this, times their length, could leave the integers that doubles hold exactly.
+#: Below it doubles hold every integer.
 EXACT = float(1 << 53)
+#: The scores that a long holds.
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(embedding: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component as double; null if the vector or a component is null or not finite."""
-    bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(embedding.isNotNull() & ~bad, F.transform(embedding, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")))
+    """floor(scale * x) of each component as double; null if the vector or a component is null or not finite, before or after scaling."""
+    bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(scale * x.cast("double")) == float("inf")))
+    whole = lambda y: F.when(F.abs(y) >= EXACT, y).otherwise(F.floor(y).cast("double"))
+    return F.when(embedding.isNotNull() & ~bad, F.transform(embedding, lambda x: whole(scale * x.cast("double"))))
 
 
-def _matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 0))
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _ranked(score: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, lowest: float | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and scores of the k best of each row of score, ties to the smaller column, what is `own` left out."""
+    score[own] = lowest
+    least = np.sort(np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k :], axis=1)[:, :1] if len(ids) > k else np.full((len(score), 1), lowest)
+    row, col = np.nonzero((score >= least) & ~own)
+    s = score[row, col]
+    rank = np.lexsort((col, s * -1.0 if s.dtype == float else ~s, row))
+    row, col, s = row[rank], col[rank], s[rank]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], col[keep], s[keep]
 
 
 def _best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of data for each query, ties to the smaller id, a query's own id left out: query ids, ids, scores."""
+    """The k best of data for each query, ties to the smaller id, a query's own id left out: query ids, ids, scores.
+
+    Products that doubles do not hold exactly are made of integers: of 64 bits where these hold them, else of any size, and of such a score what a
+    long can hold is returned. Rows with large components are solved apart, so that a few of them do not slow the others.
+    """
     order = np.argsort(ids, kind="stable")
     ids, data = ids[order], data[order]
-    out = []
-    for a in range(0, len(queries), 256):
-        score = queries[a : a + 256] @ data.T
-        own = query_ids[a : a + 256, None] == ids[None, :]
-        score[own] = -np.inf
-        least = np.sort(np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k :], axis=1)[:, :1] if len(ids) > k else np.full((len(score), 1), -np.inf)
-        row, col = np.nonzero((score >= least) & ~own)
-        s = score[row, col]
-        rank = np.lexsort((col, -s, row))
-        row, col, s = row[rank], col[rank], s[rank]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = place < k
-        out.append((query_ids[a + row[keep]], ids[col[keep]], s[keep]))
+    dim = max(1, data.shape[1])
+    large = lambda m: np.abs(m).max(axis=1, initial=0) ** 2 * dim >= EXACT
+    out = [(np.zeros(0, dtype=np.int64),) * 3]
+    for q_large in (False, True):
+        for x_large in (False, True):
+            qs, xs = np.flatnonzero(large(queries) == q_large), np.flatnonzero(large(data) == x_large)
+            if not len(qs) or not len(xs):
+                continue
+            x, own_ids = data[xs], ids[xs]
+            bound = dim * float(np.abs(queries[qs]).max(initial=0)) * float(np.abs(x).max(initial=0))
+            for a in range(0, len(qs), 256):
+                some = qs[a : a + 256]
+                own = query_ids[some, None] == own_ids[None, :]
+                if bound < EXACT:
+                    row, col, s = _ranked(queries[some] @ x.T, own, own_ids, k, -np.inf)
+                elif bound < 2.0**62:
+                    row, col, s = _ranked(queries[some].astype(np.int64) @ x.T.astype(np.int64), own, own_ids, k, LEAST)
+                else:
+                    row, col, s = [], [], []
+                    wide = [[int(v) for v in r] for r in x]
+                    for i, q in enumerate([int(v) for v in r] for r in queries[some]):
+                        each = [(-min(MOST, max(LEAST, sum(map(operator.mul, q, r)))), j) for j, r in enumerate(wide) if not own[i, j]]
+                        for score, j in sorted(each)[:k]:
+                            row.append(i)
+                            col.append(j)
+                            s.append(-score)
+                    row, col, s = (np.array(v, dtype=np.int64) for v in (row, col, s))
+                out.append((query_ids[some][row], own_ids[col], s.astype(np.int64)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int = 32, group_size: int = 2048, block_size: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int | None = None, group_size: int = 2048, block_size: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query with every other row of vectors(vec_id, v).
 
     v: integral components as doubles; rows with a null id or v take no part. Rows with the query's own id are its own.
@@ -55,7 +91,10 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int =
     their partners together, so of two equal query rows each partner comes twice.
     Queries and data only meet where they have the same number of components.
 
-    n_pivots vectors, chosen by hash, divide both sides into Voronoi cells. Of each cell the driver gets its count, its
+    Vectors may have any finite components, which only makes their products slower; a score beyond the range of a long is the end of that
+    range, and what is equal then ranks by id. Ties rank by id; an empty table, or one without queries, gives no rows.
+
+    n_pivots vectors, chosen by hash, divide both sides into Voronoi cells: without a number, an eighth of the root of the rows, from 32 to 1024. Of each cell the driver gets its count, its
     radius and its largest norm: at most n_pivots rows for each length of vector. Query cells are joined to groups of about
     group_size. From the summaries comes, for each group, a score that its k-th best can't be below, and for each
     data cell one that it can't exceed; a cell goes to a group only if it may hold a better one. Groups and cells are dealt in
@@ -64,6 +103,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int =
     """
     spark = vectors.sparkSession
     data = cut(vectors.where("vec_id is not null and v is not null").select("vec_id", "v", F.size("v").alias("dim"), is_query.alias("is_query")), "vectors")
+    if n_pivots is None:
+        n_pivots = min(1024, max(32, math.isqrt(data.count()) // 8))
     lists = data.where("dim > 0").orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(n_pivots).collect()
     pivots = [np.array(r["v"]) for r in lists]
     dims = np.array([len(p) for p in pivots], dtype=np.int64)
@@ -86,8 +127,6 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int =
 
     placed = cut(data.mapInArrow(cells, "vec_id long, v array<double>, dim int, is_query boolean, cell int, away double, norm double"), "cells")
     summary = placed.groupBy("dim", "cell", "is_query").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.max("norm").alias("norm")).collect()
-    if max((r["norm"] for r in summary), default=0) ** 2 >= EXACT:
-        raise ValueError("inner products of these vectors leave the exactly held integers")
     own = placed.groupBy("vec_id").agg(F.count("*").alias("n"), F.max("is_query").alias("asks")).where("asks").agg(F.max("n")).first()[0] or 0
     routes, group_of = _routes(summary, pivots, k, own, group_size)
     if not routes:
@@ -106,13 +145,14 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 20, n_pivots: int =
         .join(F.broadcast(plan.select("dim", "grp", "blocks").distinct()), ["dim", "grp"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*both, F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     )
 
-    def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+    def solve(q: pa.Table, x: pa.Table) -> pa.Table:
         if not len(q) or not len(x):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        a, b, s = _best(_matrix(q["q"]), q["query_id"].to_numpy(), _matrix(x["x"]), x["id"].to_numpy(), k)
-        return pd.DataFrame({"query_id": a, "vec_id": b, "score": s.astype(np.int64)})
+            found = [np.zeros(0, dtype=np.int64)] * 3
+        else:
+            found = _best(_matrix(q.column("q")), q.column("query_id").to_numpy(), _matrix(x.column("x")), x.column("id").to_numpy(), k)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, found), strict=True)))
 
-    found = left.groupBy(*both).cogroup(right.groupBy(*both)).applyInPandas(solve, "query_id long, vec_id long, score long")
+    found = left.groupBy(*both).cogroup(right.groupBy(*both)).applyInArrow(solve, "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -154,7 +194,7 @@ def _routes(summary: list, pivots: list[np.ndarray], k: int, own_rows: int, grou
                         middle = float(pivots[i] @ pivots[j])
                         slack = float(np.linalg.norm(pivots[i])) * rx + float(np.linalg.norm(pivots[j])) * rq + rq * rx
                         low, high = max(low, middle - slack), min(high, middle + slack)
-                    bounds.append((low, high, m, j))
+                    bounds.append((max(low, LEAST), min(high, MOST), m, j))
                 bounds.sort(reverse=True)
                 seen, least = 0, -math.inf
                 for low, _, m, _ in bounds:
@@ -162,7 +202,8 @@ def _routes(summary: list, pivots: list[np.ndarray], k: int, own_rows: int, grou
                     if seen >= k + own_rows:
                         least = low
                         break
-                needed |= {j for _, high, _, j in bounds if high * (1 + 1e-9) + 1e-6 >= least}
+                slack = 1e-6 if math.isinf(least) else 1e-6 + 1e-9 * abs(least)
+                needed |= {j for _, high, _, j in bounds if high + 1e-9 * abs(high) + slack >= least}
             for c in group:
                 group_of[dim, c] = (number, parts)
             routes += [(dim, j, number, parts) for j in sorted(needed)]
