@@ -15,12 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quietsky.llm.common import table
+from quietsky.llm.common import cut, table
 
 BLOCK = 1024
 RATE = 8000
 ORDER, PRECISION, SHIFT = 4, 12, 9
 BATCH_BYTES = 1 << 20
+#: Frames that are coded side by side, at most: so much of a long text is in work at a time.
+FRAMES = BATCH_BYTES // BLOCK
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -107,21 +109,12 @@ def _rice(res: np.ndarray, n: np.ndarray, inside: np.ndarray) -> tuple[np.ndarra
     return u, low + better, np.where(better, costs[1], costs[0]) + 10
 
 
-def encode(payloads: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each payload; each is coded as if it stood alone. Payloads are not empty."""
-    if not payloads:
-        return []
-    size = np.array([len(p) for p in payloads])
-    data = np.frombuffer(b"".join(payloads), dtype=np.uint8)
-    frames = -(-size // BLOCK)
-    doc = np.repeat(np.arange(len(size)), frames)
-    number = np.arange(len(doc)) - np.repeat(np.cumsum(frames) - frames, frames)
-    begin = np.repeat(np.cumsum(size) - size, frames) + number * BLOCK
-    n = np.minimum(BLOCK, size[doc] - number * BLOCK)
+def _code(data: np.ndarray, number: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Frames of the n bytes of data from begin on, joined, and their sizes; they are coded side by side."""
     t = np.arange(BLOCK)
     real = t[None, :] < n[:, None]
     x = np.zeros((len(n), BLOCK), dtype=np.int32)
-    x[real] = data.astype(np.int32) - 128
+    x[real] = data[(begin[:, None] + t[None, :])[real]].astype(np.int32) - 128
 
     coef = _predictor(x)
     lag = [np.pad(x, ((0, 0), (j, 0)))[:, :BLOCK] for j in range(1, ORDER + 1)]
@@ -184,7 +177,25 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     buf[np.repeat(start - (np.cumsum(head_size) - head_size), head_size) + np.arange(len(flat))] = flat
     crc = _crc16(buf, start, frame_size - 2)
     buf[start + frame_size - 2], buf[start + frame_size - 1] = crc >> 8, crc & 0xFF
-    raw = buf.tobytes()
+    return buf[:total].tobytes(), frame_size
+
+
+def encode(payloads: list[bytes]) -> list[bytes]:
+    """A FLAC stream for each payload; each is coded as if it stood alone. Payloads are not empty, and under 900 MB, as the seek table's length has 24 bits."""
+    if not payloads:
+        return []
+    size = np.array([len(p) for p in payloads])
+    data = np.frombuffer(b"".join(payloads), dtype=np.uint8)
+    frames = -(-size // BLOCK)
+    if 18 * int(frames.max()) >= 1 << 24:
+        raise ValueError("a payload is too long for its seek table")
+    doc = np.repeat(np.arange(len(size)), frames)
+    number = np.arange(len(doc)) - np.repeat(np.cumsum(frames) - frames, frames)
+    begin = np.repeat(np.cumsum(size) - size, frames) + number * BLOCK
+    n = np.minimum(BLOCK, size[doc] - number * BLOCK)
+    coded = [_code(data, *(v[a : a + FRAMES] for v in (number, begin, n))) for a in range(0, len(n), FRAMES)]
+    raw, frame_size = b"".join(c for c, _ in coded), np.concatenate([z for _, z in coded])
+    start = np.cumsum(frame_size) - frame_size
 
     out, first = [], 0
     for p, m in zip(payloads, frames, strict=True):
@@ -205,40 +216,8 @@ FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 LEADING = np.array([16] + [15 - int(i).bit_length() + 1 for i in range(1, 1 << 16)], dtype=np.uint8)
 
 
-def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
-    """For each stream its samples as unsigned bytes, and the sample offset and the size of each block.
-
-    Frame checksums, frame numbers and the MD5 of the samples are verified; a mismatch raises ValueError.
-    """
-    points, base, at = [], [], 0
-    for s in streams:
-        if s[:5] != b"fLaC\x00" or s[42] != 0x83:
-            raise ValueError("not a stream with STREAMINFO and SEEKTABLE")
-        m = int.from_bytes(s[43:46], "big")
-        points.append(np.frombuffer(s, dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")], count=m // 18, offset=46))
-        base.append(at + 46 + m)
-        at += len(s)
-    if not streams:
-        return []
-    buf = np.frombuffer(b"".join(streams) + bytes(8), dtype=np.uint8)
-    frames = np.array([len(p) for p in points])
-    ends = np.cumsum([len(s) for s in streams])
-    start = np.concatenate([b + p["offset"].astype(np.int64) for b, p in zip(base, points, strict=True)])
-    n = np.concatenate([p["n"].astype(np.int64) for p in points])
-    sample = np.concatenate([p["sample"].astype(np.int64) for p in points])
-    last = np.cumsum(frames) - 1
-    stop = np.append(start[1:], 0)
-    stop[last] = ends
-    for i, (b, e) in enumerate(zip(start, start + 16, strict=True)):
-        head = _frame_header(int(sample[i]) // BLOCK, int(n[i]))
-        if buf[b:e].tobytes()[: len(head)] != head:
-            raise ValueError("frame header does not match the seek table")
-        start[i] += len(head)
-        sample[i] = b
-    crc = _crc16(buf, sample, stop - sample - 2)
-    if (crc != (buf[stop - 2].astype(np.uint32) << 8 | buf[stop - 1])).any():
-        raise ValueError("frame checksum mismatch")
-
+def _frames(buf: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The samples, as unsigned bytes, of the n samples each of the subframes that begin at start; eight bytes follow the last."""
     wide = buf.astype(np.uint32)
     window = wide[:-3] << 24 | wide[1:-2] << 16 | wide[2:-1] << 8 | wide[3:]
 
@@ -329,7 +308,49 @@ def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
                 z[i] = r[i - o] + (guess >> s)
             y[:, lanes] = z
         x[:, rows] = y
-    flat = (x.T.astype(np.int16) + 128).astype(np.uint8)[t[None, :] < n[:, None]]
+    return (x.T.astype(np.int16) + 128).astype(np.uint8)[t[None, :] < n[:, None]]
+
+
+def decode(streams: list[bytes]) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
+    """For each stream its samples as unsigned bytes, and the sample offset and the size of each block.
+
+    Frame checksums, frame numbers and the MD5 of the samples are verified; a mismatch raises ValueError.
+    """
+    points, base, at = [], [], 0
+    for s in streams:
+        if s[:5] != b"fLaC\x00" or s[42] != 0x83:
+            raise ValueError("not a stream with STREAMINFO and SEEKTABLE")
+        m = int.from_bytes(s[43:46], "big")
+        points.append(np.frombuffer(s, dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")], count=m // 18, offset=46))
+        base.append(at + 46 + m)
+        at += len(s)
+    if not streams:
+        return []
+    buf = np.frombuffer(b"".join(streams) + bytes(8), dtype=np.uint8)
+    frames = np.array([len(p) for p in points])
+    ends = np.cumsum([len(s) for s in streams])
+    start = np.concatenate([b + p["offset"].astype(np.int64) for b, p in zip(base, points, strict=True)])
+    n = np.concatenate([p["n"].astype(np.int64) for p in points])
+    sample = np.concatenate([p["sample"].astype(np.int64) for p in points])
+    last = np.cumsum(frames) - 1
+    stop = np.append(start[1:], 0)
+    stop[last] = ends
+    for i, (b, e) in enumerate(zip(start, start + 16, strict=True)):
+        head = _frame_header(int(sample[i]) // BLOCK, int(n[i]))
+        if buf[b:e].tobytes()[: len(head)] != head:
+            raise ValueError("frame header does not match the seek table")
+        start[i] += len(head)
+        sample[i] = b
+    crc = _crc16(buf, sample, stop - sample - 2)
+    if (crc != (buf[stop - 2].astype(np.uint32) << 8 | buf[stop - 1])).any():
+        raise ValueError("frame checksum mismatch")
+
+    whole = []
+    for a in range(0, len(n), FRAMES):
+        z = min(a + FRAMES, len(n))
+        first, last_ = int(sample[a]), int(stop[z - 1])
+        whole.append(_frames(buf[first : last_ + 8], start[a:z] - first, n[a:z]))
+    flat = np.concatenate(whole)
     out, first, done = [], 0, 0
     for s, p, m in zip(streams, points, frames, strict=True):
         total = int(p["n"].sum())
@@ -354,7 +375,11 @@ def _chunks(sizes: list[int], most: int = BATCH_BYTES) -> Iterator[tuple[int, in
 
 
 def to_media(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, n_bytes and media (a FLAC stream of the text's UTF-8 bytes and zeros up to a multiple of 64) of each row; a null text is empty."""
+    """key, n_bytes and media (a FLAC stream of the text's UTF-8 bytes and zeros up to a multiple of 64) of each row.
+
+    A null text is empty; equal texts have equal streams, and repeated rows are returned each; an empty table gives none; other columns are not read,
+    whatever their names. A long text is coded FRAMES frames at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,6 +393,25 @@ def to_media(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, media binary")
 
 
+def to_pcm(media: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, n_bytes, media_bytes, media_sha256 and blocks (sample_offset, pcm) of each stream: what is read back from it, block by block, all checksums verified."""
+    kind = media.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, streams = batch.column(0), batch.column(1), batch.column(2).to_pylist()
+            for a, b in _chunks([len(s) for s in streams]):
+                own = streams[a:b]
+                back = decode(own)
+                each = [pcm[o : o + m] for pcm, at, size in back for o, m in zip(at.tolist(), size.tolist(), strict=True)]
+                items = pa.StructArray.from_arrays([pa.array(np.concatenate([at for _, at, _ in back])), pa.array(each, pa.binary())], names=["sample_offset", "pcm"])
+                blocks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(at) for _, at, _ in back])), pa.int32()), items)
+                digest = pa.array([hashlib.sha256(s).hexdigest() for s in own])
+                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), sizes.slice(a, b - a), pa.array([len(s) for s in own], pa.int64()), digest, blocks], names=[key, "n_bytes", "media_bytes", "media_sha256", "blocks"])
+
+    return media.select(key, "n_bytes", "media").mapInArrow(run, f"{key} {kind}, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<sample_offset:bigint,pcm:binary>>")
+
+
 def to_blocks(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """A row for each block of each stream: key, block, sample_offset, pcm (unsigned 8-bit samples)."""
 
@@ -388,33 +432,27 @@ def feature(pcm: bytes) -> str:
     return f"sum={x.sum()};energy={(x * x).sum()};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};travel={np.abs(np.diff(x)).sum()};peak={np.abs(x).max()}"
 
 
-def media_features(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Digests and a feature of each stream, computed from what is read back from it."""
-    schema = f"{key} {media.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def pcm_features(pcm: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Digests and a feature of each row of to_pcm(), computed from its blocks in the order of their offsets."""
+    schema = f"{key} {pcm.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_blocks int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, streams = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-            for a, b in _chunks([len(s) for s in streams]):
-                own = streams[a:b]
-                pcm = [p for p, _, _ in decode(own)]
-                cols = [
-                    keys.slice(a, b - a),
-                    sizes.slice(a, b - a),
-                    pa.array([len(p) for p in pcm], pa.int64()),
-                    pa.array([hashlib.sha256(p).hexdigest() for p in pcm]),
-                    pa.array([zlib.crc32(p[-64:]) for p in pcm], pa.int64()),
-                    pa.array([len(s) for s in own], pa.int64()),
-                    pa.array([hashlib.sha256(s).hexdigest() for s in own]),
-                    pa.array([feature(p) for p in pcm]),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select(key, "n_bytes", "media").mapInArrow(run, schema)
+            blocks = batch.column(4)
+            for a in range(batch.num_rows):
+                own = blocks[a].values
+                offsets, parts = own.field("sample_offset").to_numpy(), own.field("pcm").to_pylist()
+                if (offsets != np.append(0, np.cumsum([len(p) for p in parts]))[:-1]).any():
+                    raise ValueError("blocks do not follow each other")
+                whole = b"".join(parts)
+                cols = [pa.array([len(whole)]), pa.array([hashlib.sha256(whole).hexdigest()]), pa.array([zlib.crc32(whole[-64:])], pa.int64()), batch.column(2).slice(a, 1), batch.column(3).slice(a, 1), pa.array([feature(whole)]), pa.array([len(parts)], pa.int32())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1), batch.column(1).slice(a, 1), *cols], names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_blocks"])
+
+    return pcm.select(key, "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(run, schema)
 
 
 def flac_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_features(to_media(table(spark, sf_dir, "documents")))
+    return pcm_features(cut(to_pcm(to_media(table(spark, sf_dir, "documents"))), "pcm", "zstd"))
 
 
 QUERIES = {"op6_flac_media": flac_documents}
