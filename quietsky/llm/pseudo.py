@@ -27,6 +27,10 @@ CHUNK = 1 << 14
 #: Rows of a block, numbered by 16 bits, and the rare words after which it ends.
 BLOCK = 1 << 14
 BLOCK_WORDS = 1 << 19
+#: Logarithm of the odds of each letter of a word that no other document has.
+LETTER = -float(np.log(32))
+#: Parts in which a task's weights are summed first.
+PARTS = 64
 
 
 @dataclass(frozen=True)
@@ -60,12 +64,22 @@ class _Memo(dict):
     def __init__(self, vocab: Vocabulary):
         super().__init__(vocab.ids)
         self.vocab = vocab
+        #: Bytes of the rare words, by code.
+        self.sizes: dict[int, int] = {}
+
+    def trim(self) -> None:
+        """Forgets rare words once there are many; only between blocks."""
+        if len(self.sizes) > 600_000:
+            self.clear()
+            self.update(self.vocab.ids)
+            self.sizes.clear()
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
             self.update(self.vocab.ids)
         value = self[word] = _code(word)
+        self.sizes[value] = len(word)
         return value
 
 
@@ -131,8 +145,8 @@ def blocks(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFrame
     """Tokens as encoded() makes them, and the places of rare words, in one table.
 
     A row of docs becomes key, block, place (its number within the block), ids and lost: the logarithms of the bucket
-    counts of its rare words, summed. A rare word of a block becomes block, word (its hash) and ids, the place of
-    each of its occurrences. Blocks are runs of a task's rows of bounded size.
+    counts of its rare words, summed. A rare word of a block becomes block, word (its hash), ids, the place of each of its
+    occurrences, and lost, the logarithm of its odds if it is spelled by letters. Blocks are runs of a task's rows of bounded size.
     """
     words = docs.sparkSession.sparkContext.broadcast(vocab)
     kind = f"{key} {docs.schema[key].dataType.simpleString()}"
@@ -157,7 +171,9 @@ def blocks(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFrame
             for a in range(0, len(first), 20_000):
                 some, cuts = code[first[a : a + 20_000]], ends[a : a + 20_001]
                 ids = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((cuts - cuts[0]).tobytes()), pa.py_buffer(at[cuts[0] // 2 : cuts[-1] // 2].tobytes())])
-                yield out(pa.nulls(len(some), like), pa.array(some), pa.nulls(len(some), pa.int32()), ids, pa.nulls(len(some), pa.float64()))
+                spelled = LETTER * (1 + np.fromiter(map(memo.sizes.__getitem__, some.tolist()), dtype=np.float64, count=len(some)))
+                yield out(pa.nulls(len(some), like), pa.array(some), pa.nulls(len(some), pa.int32()), ids, pa.array(spelled))
+            memo.trim()
 
         like = None
         for batch in batches:
@@ -186,25 +202,37 @@ def blocks(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFrame
     return docs.select(key, "text").mapInArrow(run, f"{kind}, block long, word long, place int, ids binary, lost double")
 
 
-def word_shares(parts: DataFrame) -> DataFrame:
-    """block, place and gained: the logarithms of the corpus counts of a row's rare words, summed, for rows that have any.
+def word_shares(parts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """block, place, gained and unseen, for rows that have rare words.
 
-    Counts are summed by word over all blocks, so a word is as many rows as there are blocks with it; then by block.
+    gained: the logarithms of the counts of a row's rare words in all other documents, summed. A masked document does not vouch for its own
+    words: one that no other row has is spelled by letters within its bucket, and counts as unseen. Counts are summed by word over all
+    blocks, so a word is as many rows as there are blocks with it; then by block.
     """
+    shared = parts.sparkSession.sparkContext.broadcast(vocab.buckets)  # one number for each bucket
     held = F.sum((F.length("ids") / 2).cast("long")).over(W.partitionBy("word"))
-    counted = parts.where("word is not null").select("block", "ids", F.log(held.cast("double")).alias("log_n"))
+    counted = parts.where("word is not null").select("block", "ids", held.alias("n"), "word", "lost")
 
     def gained(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(BLOCK), np.zeros(BLOCK, dtype=bool)
+        total, unseen, seen = np.zeros(BLOCK), np.zeros(BLOCK, dtype=np.int64), np.zeros(BLOCK, dtype=bool)
+        with np.errstate(divide="ignore"):
+            bucket = np.log(shared.value)
         for batch in batches:
             ids = batch.column(1).to_pylist()
             at = np.frombuffer(b"".join(ids), dtype=np.uint16)
-            total += np.bincount(at, np.repeat(batch.column(2).to_numpy(zero_copy_only=False), [len(x) // 2 for x in ids]), BLOCK)
+            row = np.repeat(np.arange(len(ids)), [len(x) // 2 for x in ids])
+            first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])))  # a word's places ascend
+            own = np.diff(np.append(first, len(at)))
+            n, word, spelled = (batch.column(i).to_numpy(zero_copy_only=False)[row[first]] for i in (2, 3, 4))
+            other = n - own
+            value = np.where(other > 0, np.log(np.maximum(other, 1)), bucket[word % RARE] + spelled)
+            total += np.bincount(at[first], own * value, BLOCK)
+            unseen += np.bincount(at[first], own * (other == 0), BLOCK).astype(np.int64)
             seen[at] = True
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(total[at])], names=["block", "place", "gained"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(total[at]), pa.array(unseen[at])], names=["block", "place", "gained", "unseen"])
 
-    return counted.groupBy("block").applyInArrow(gained, "block long, place int, gained double")
+    return counted.groupBy("block").applyInArrow(gained, "block long, place int, gained double, unseen long")
 
 
 def windows(t: np.ndarray, at: np.ndarray, n_tokens: int) -> np.ndarray:
@@ -307,18 +335,21 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, rate: float
             v = _flat(p)
             parts = [v[a : a + CHUNK].tobytes() for a in range(0, len(v), CHUNK)]
             if seen + size:
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([float(seen + size)] * len(parts)), pa.array(parts, pa.binary())], names=["chunk", "n", "w"])
+                task = TaskContext.get().partitionId() % PARTS
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task] * len(parts), pa.int32()), pa.array([float(seen + size)] * len(parts)), pa.array(parts, pa.binary())], names=["chunk", "part", "n", "w"])
 
         def mean(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, weight = 0.0, 0.0
             for batch in rows:
-                for m, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for m, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     total = total + m * np.frombuffer(w, dtype=np.float32).astype(np.float64)
                     weight += m
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["chunk", "n", "w"])
+            part = key[1].as_py() if len(key) > 1 else 0
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([part], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["chunk", "part", "n", "w"])
 
-        schema = "chunk int, n double, w binary"
-        got = docs.select("ids").mapInArrow(run, schema).groupBy("chunk").applyInArrow(mean, schema).collect()  # one model
+        schema = "chunk int, part int, n double, w binary"
+        sent = docs.select("ids").mapInArrow(run, schema)
+        got = sent.groupBy("chunk", "part").applyInArrow(mean, schema).groupBy("chunk").applyInArrow(mean, schema).collect()  # one model
         if not got:
             break
         common = common.copy()
@@ -373,17 +404,20 @@ def score(docs: DataFrame, p: list[np.ndarray], vocab: Vocabulary, key: str = "d
 
 
 def score_words(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
-    """As score() by a network that learns from docs, with every rare word by its own count in docs.
+    """As score() by a network that learns from docs, with every rare word by its count in the other rows of docs, and unseen, how many words have none.
 
-    The network gives a rare word the mass of its bucket; of that the word has its own count over the bucket's. vocab
-    is that of docs. The counts stay in Spark, as many as there are words.
+    The network gives a rare word the mass of its bucket; of that the word has its own count over the bucket's, or, if no other row has
+    it, the odds of its letters. So a text that is nowhere else scores lower than one that repeats. vocab is that of docs. The counts stay
+    in Spark, as many as there are words. Null and empty texts have no tokens, pll 0 and a null mean; repeated rows are returned each and vouch
+    for each other; a text of any length is one row; an empty table gives none.
     """
     parts = cut(blocks(docs, vocab, key), "tokens")
     ids = parts.where("word is null").select(F.struct(key, "block", "place", "lost").alias("at"), "ids")
     plain = score(ids, train(ids, vocab, rounds), vocab, "at").select("at.*", "n_tokens", "pll")
     pll = F.col("pll") + F.coalesce(F.col("gained") - F.col("lost"), F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
-    return plain.join(word_shares(parts), ["block", "place"], "left").select(key, "n_tokens", pll.alias("pll")).withColumn("mean_pll", mean)
+    found = plain.join(word_shares(parts, vocab), ["block", "place"], "left").select(key, "n_tokens", pll.alias("pll"), F.coalesce("unseen", F.lit(0)).alias("unseen"))
+    return found.select(key, "n_tokens", "pll", mean.alias("mean_pll"), "unseen")
 
 
 def score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
