@@ -74,7 +74,9 @@ def mix(docs: DataFrame, *, key: str = "doc_id", weights: tuple = WEIGHTS, max_r
     where the source's words are used up get one copy more, so a source ends within half a document of its target.
     Ranks are cut by two histograms of that order (bounded bins for each source), and only the bin that holds the
     cut is sorted: no task gets a whole source. Null sources are one source, the last; null or repeated keys
-    share their random number and are told apart by size; empty documents take nothing; an empty table gives none.
+    share their random number and are told apart by size, and of rows that are alike in all three some may be taken and others not; empty
+    documents take nothing; an empty table gives none. Only key, source and size are read, whatever other columns docs has; how long a text is
+    matters by its size alone.
     """
     docs = cut(docs.select(key, "source", "size"), "mix-docs").withColumn("affinity", affinity(F.col("size")))
     strata = docs.groupBy("source", "affinity").agg(F.sum("size").alias("words"))

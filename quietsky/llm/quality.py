@@ -130,7 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[flo
 def score_quality(docs: DataFrame, model: tuple[float, list[tuple[float, tuple]]], keep: list[str]) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from THRESHOLD on) to the columns `keep` of docs; only the text counts.
 
-    Null and empty texts are scored as empty ones; repeated rows are returned each; an empty table gives none.
+    Null and empty texts are scored as empty ones; equal texts score alike; repeated rows are returned each; an empty table gives none. A long text
+    is one row, of which the words are held at once. Columns of docs other than text and `keep` are not read, whatever their names.
     """
     stats = statistics(F.col("text"))
     wide = docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], *[c.cast("double").alias(k) for k, c in stats.items()])
