@@ -358,6 +358,56 @@ def uvcontsub_full(spark, d):
     return _kernel_run(spark, d, [{"name": "fit", "task": "uvcontsub_flagger", "kwargs": {"sigma": 13.0}}])
 
 
+def _threshold_ctes(name: str, src: str, keys: str, part: str, along: str, ends: list[int]) -> str:
+    """CTEs up to {name}(keys, hit): SumThreshold of src(keys, x, flag) by windows of 1, 2, 4 and 8 along an axis, with a limit for each stretch between ends."""
+    stretches = ", ".join(f"({k}, {a}, {b}, {max(a - 7, 0)}, {min(b + 7, ends[-1])})" for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)))
+    part = f"{part}, k"
+    steps = [
+        f"""{name}_m as (select {keys}, x, flag, k, {along} >= a and {along} < b own from {src} join (values {stretches}) z(k, a, b, lo, hi) on {along} >= z.lo and {along} < z.hi),
+{name}_h0 as materialized (select *, coalesce(4.5 * 1.4826 * median(case when not flag and own then abs(x) end) over (partition by {part}), 'inf'::double) t0, false hi, false lo from {name}_m)"""
+    ]
+    for i, w in enumerate((1, 2, 4, 8)):
+        t = f"t0 / pow(1.3, {i})"
+        steps.append(
+            f"""{name}_a{i} as (select *, case when hi and x > {t} then {t} when lo and x < -{t} then -{t} else x end y from {name}_h{i}),
+{name}_b{i} as (select *, case when count(*) over w = {w} then sum(y) over w / {w} end m from {name}_a{i} window w as (partition by {part} order by {along} rows between current row and {w - 1} following)),
+{name}_h{i + 1} as materialized (select {keys}, x, flag, k, own, t0, hi or bool_or(coalesce(m > {t}, false)) over w hi, lo or bool_or(coalesce(-m > {t}, false)) over w lo from {name}_b{i} window w as (partition by {part} order by {along} rows between {w - 1} preceding and current row))"""
+        )
+    return ", ".join([*steps, f"{name} as materialized (select {keys}, hi or lo hit from {name}_h4 where own)"])
+
+
+def _background_ctes(name: str, src: str, k1: str, k2: str) -> str:
+    """CTEs up to {name}(bl, time_idx, chan, x, flag): what of src's re stands out from its background, after one iteration."""
+    return f"""{_smooth(src, f"{name}_s", k1, k2)},
+{name}_x as materialized (select bl, time_idx, chan, re, flag kept, flag or coalesce(abs(re - bg) > 1.4826 * 2.0 * median(case when not flag then abs(re - bg) end) over (partition by bl, chan // 16), false) flag from {name}_s),
+{_smooth(f"{name}_x", f"{name}_z", k1, k2)}, {_LERP.format(out=f"{name}_l", cols="bl, time_idx, chan, re, kept", v="bg", src=f"{name}_z")},
+{name} as materialized (select bl, time_idx, chan, re - y x, kept flag from {name}_l)"""
+
+
+@query(
+    f"""with {_E1}, {_kernel(0, "k0")}, {_kernel(1, "k1")}, {_kernel(2, "k2")},
+i0 as materialized (select bl, time_idx, chan, re is null missing, flag or re is null flag, case when flag or re is null then 0 else re end re from e1),
+v as materialized (select bl, 0 time_idx, chan, coalesce(median(case when not flag then re end), 0) re, count(*) filter (not flag) = 0 flag from i0 group by bl, chan),
+{_background_ctes("p", "v", "k0", "k2")}, {_threshold_ctes("ps", "p", "bl, time_idx, chan", "bl, time_idx", "chan", ENDS)},
+i1 as materialized (select i.bl, i.time_idx, i.chan, re, missing, flag or hit flag, hit from i0 i join ps on ps.bl = i.bl and ps.chan = i.chan),
+{_background_ctes("b", "(select bl, time_idx, chan, re, flag from i1)", "k1", "k2")},
+{_threshold_ctes("ts", "b", "bl, time_idx, chan", "bl, chan", "time_idx", [0, 1 << 30])},
+b2 as materialized (select b.bl, b.time_idx, b.chan, x, flag or hit flag from b join ts using (bl, time_idx, chan)),
+{_threshold_ctes("fs", "b2", "bl, time_idx, chan", "bl, time_idx", "chan", ENDS)},
+g as (select i1.bl, i1.time_idx, i1.chan, e1.flag before, missing, i1.hit or ts.hit or fs.hit g from i1 join ts using (bl, time_idx, chan) join fs using (bl, time_idx, chan) join e1 using (bl, time_idx, chan)),
+g1 as materialized (select *, bool_or(g) over (partition by bl, chan order by time_idx rows between 1 preceding and 1 following) a from g),
+g2 as materialized (select *, bool_or(a) over (partition by bl, time_idx order by chan rows between 1 preceding and 1 following) f from g1)
+select bl, time_idx, chan, before or f or missing or avg(f::int::double) over (partition by bl, time_idx) > 0.8 or avg(f::int::double) over (partition by bl, chan) > 0.6 flag from g2"""
+)
+def sum_threshold_one_major(spark, d):
+    """The whole SumThreshold flagger, in one major iteration with four stretches of channels; the input's flags stay."""
+    own = {"num_major_iterations": 1, "freq_chunks": 4, "spike_width_time": 2.0, "spike_width_freq": 3.0}
+    known = strategy.instrument(fixtures.channels(spark), None, None)
+    rows = fixtures.spectra_rows(spark, d)
+    new = strategy.flag_baselines(rows, [{"name": "st", "task": "sum_threshold", "kwargs": own}], known, ["bl", "time_idx"])
+    return packing.flag_samples(new).select(*CELL, "flag")
+
+
 @query()
 def strategy_default(spark, d):
     return _kernel_run(spark, d, strategy.DEFAULT)

@@ -46,7 +46,7 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spectra_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The samples of spectra() as rows, with data and flag as [chan][corr]."""
+    """The samples of spectra() as rows, with data and flag as [chan][corr]; each baseline is a scan, so that its window has its own times alone."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
     t, v = F.col("time_idx"), F.col("vec_id")
     numbered = e.withColumn("time_idx", F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1)
@@ -55,7 +55,7 @@ def spectra_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         amp = F.abs(2 + x.cast("double")) + F.when(c == 17, 3.0).otherwise(0.0) + F.when(t.between(20, 24) & c.between(40, 43), 1.5).otherwise(0.0) + F.when((t % 13 == 7) & (c == t * 5 % 64), 2.0).otherwise(0.0)
         return F.array(F.struct(F.when((v % 37 == 0) & (c == 5), float("nan")).when((v % 41 == 0) & (c == 9), 0.0).otherwise(amp).alias("re"), F.lit(0.0).alias("im")))
 
-    group = [F.lit(0).alias(g) for g in ("field_id", "data_desc_id", "scan_number")]
+    group = [F.lit(0).alias("field_id"), F.lit(0).alias("data_desc_id"), F.col("label").alias("scan_number")]
     flag = F.transform("embedding", lambda x, c: F.array((c >= 60) & (t % 2 == 0)))
     return numbered.select(*group, F.col("label").alias("bl"), _pair(F.col("label"), 0).alias("antenna1"), _pair(F.col("label"), 1).alias("antenna2"), "time_idx", v.alias("row_id"), t.cast("double").alias("time"), F.transform("embedding", sample).alias("data"), flag.alias("flag"))
 
