@@ -11,12 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quietsky.llm.common import cut, table
+from quietsky.llm.common import apart, cut, table
 
 SKETCH_BITS = 21
 CHUNK = 1 << 14
-BITMAP_BITS = 23
 MOST_MATCHES = 4
+#: Words of 64 bits in the parity bitmap of a set.
+PARITY = 4
+#: Pairs that meet one copy of a set.
+PAIRS_A_SET = 1000
+_BITS = tuple(f"bits{j}" for j in range(PARITY))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -49,6 +53,17 @@ def shingles(text: bytes | None, width: int, words: _Words) -> np.ndarray:
     return np.unique(_mixed(s))
 
 
+def _name(s: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return xxhash.xxh128_digest(s.tobytes(), seed=len(s))
+
+
+def _parity(s: np.ndarray) -> bytes:
+    """A bitmap with one bit flipped for each shingle. The ones in the xor of two sets' never exceed what one set has and the other lacks."""
+    bit = (s >> np.uint64(8)) & np.uint64(64 * PARITY - 1)
+    return np.packbits(np.bincount(bit.astype(np.int64), minlength=64 * PARITY) & 1).tobytes()
+
+
 def _slots(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -96,7 +111,7 @@ def frequency_levels(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray, stands: np.ndarray) -> DataFrame:
-    """doc_id, n, node (digest of the set), matches and tokens: the prefix of the document's shingles, rarest level first.
+    """doc_id, n, name (digest of the set), matches, parity and tokens: the prefix of the document's shingles, rarest level first.
 
     With m required matches the prefix holds n - ceil(percent * n / 100) + m shingles, and two documents that link
     share m of them. m is the number, up to MOST_MATCHES, for which the estimated candidates are fewest.
@@ -110,11 +125,12 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray, stan
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for a in range(0, len(texts), 1000):
-                n, node, matches, size, tokens = [], [], [], [], []
+                n, name, parity, matches, size, tokens = [], [], [], [], [], []
                 for text in texts[a : a + 1000]:
                     s = shingles(text, width, words)
                     n.append(len(s))
-                    node.append(xxhash.xxh64_intdigest(s.tobytes(), seed=len(s)))
+                    name.append(_name(s))
+                    parity.append(_parity(s))
                     if not len(s):
                         matches.append(1)
                         size.append(0)
@@ -131,10 +147,11 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray, stan
                     tokens.append(s[order[: first + m]])
                 flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, dtype=np.int64)
                 offsets = pa.array(np.append(0, np.cumsum(size)), pa.int32())
-                cols = [batch.column(0).slice(a, 1000), pa.array(n, pa.int32()), pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(matches, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "node", "matches", "tokens"])
+                bits = np.frombuffer(b"".join(parity), dtype=np.int64).reshape(-1, PARITY)
+                cols = [batch.column(0).slice(a, 1000), pa.array(n, pa.int32()), pa.array(name, pa.binary()), pa.array(matches, pa.int32()), *(pa.array(bits[:, j]) for j in range(PARITY)), pa.ListArray.from_arrays(offsets, pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "name", "matches", *_BITS, "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, node long, matches int, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n int, name binary, matches int, {', '.join(f'{b} long' for b in _BITS)}, tokens array<long>")
 
 
 def _prefix(n: Column, matches: Column, percent: int) -> Column:
@@ -142,6 +159,11 @@ def _prefix(n: Column, matches: Column, percent: int) -> Column:
     return n - F.floor((percent * n + 99) / 100) + matches
 
 
+def _overlap(na: Column, nb: Column, percent: int) -> Column:
+    """The least number of shingles that two sets which link share."""
+    return F.floor((percent * (na + nb) + (100 + percent) - 1) / (100 + percent))
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """Filters on one shared token at place i of n in each: by length, prefix, position, and by what each shares with any other.
 
@@ -151,7 +173,7 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     """
     na, nb, ia, ib = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}i", f"{b}i"))
     m = F.least(f"{a}matches", f"{b}matches")
-    overlap = F.floor((percent * (na + nb) + (100 + percent) - 1) / (100 + percent))
+    overlap = _overlap(na, nb, percent)
     return (
         (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
         & (ia < _prefix(na, m, percent))
@@ -162,6 +184,12 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     )
 
 
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether the parity bitmaps differ in no more bits than sets that link differ in shingles."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    return sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in _BITS), F.lit(0)) <= na + nb - 2 * _overlap(na, nb, percent)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of each component of edges(a, b). Labels pass along edges and then to their own label's, until none changes."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -177,37 +205,39 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node and its shingles, for the nodes that wanted(doc_id) stand for, and perhaps some more.
-
-    A bitmap of fixed size picks the documents to read, so texts are not shuffled; where it is full it only lets more through.
-    """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS)) + 1
-    ones = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
-    at = F.bitmap_bit_position(F.col("s")).cast("int")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    """wanted(name, doc_id, and others) with tokens, the shingles of the set of that name. A bitmap picks the documents to read, so texts are not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 sets = [shingles(t, width, words) for t in batch.column(0).slice(a, 500).cast(pa.binary()).to_pylist()]
-                node = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed=len(s)) for s in sets], dtype=np.uint64).view(np.int64)
                 offsets = pa.array(np.append(0, np.cumsum([len(s) for s in sets])), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_name, sets), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["name", "tokens"])
+
+    may, _ = apart(docs.where("doc_id is not null").select("doc_id", "text"), F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id").alias("h")).distinct())
+    read = may.select("text").mapInArrow(run, "name binary, tokens array<long>").dropDuplicates(["name"])
+    return read.join(wanted.drop("doc_id"), "name")
 
-    # at most 2**BITMAP_BITS bits are sent to the tasks
-    rows = docs.where("doc_id is not null").select(slot.alias("s"), "text").withColumn("bucket", F.bitmap_bucket_number("s")).join(F.broadcast(ones), "bucket")
-    return rows.where(F.bit_get(byte, F.pmod(at, F.lit(8))) == 1).select("text").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
 
+def _linked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs(a, b) whose sets link, by their exact intersection.
 
-def _linked(docs: DataFrame, ids: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs(a, b) whose sets link, by their exact intersection."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(ids, "node").select("doc_id")
+    Of a pair the set in fewer pairs travels to the other one, which is there once for each PAIRS_A_SET of its pairs.
+    """
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    of = lambda end: degrees.select(F.col("node").alias(end), F.col("degree").alias(f"{end}_in"))
+    turned = pairs.join(of("a"), "a").join(of("b"), "b")
+    less = F.col("a_in") <= F.col("b_in")
+    turned = turned.select(F.when(less, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("hub"), F.greatest("a_in", "b_in").alias("pairs"))
+    turned = cut(turned.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("pairs") / PAIRS_A_SET).cast("long"))).drop("pairs"), "turned")
+    hubs = turned.select(F.col("hub").alias("node"), "hub", "part").distinct()
+    places = turned.withColumn("own", F.lit(True)).unionByName(hubs.withColumn("own", F.lit(False)))
+    wanted = cut(places.join(nodes.select("node", "name", "doc_id"), "node"), "wanted")
     sets = cut(_sets(docs, wanted, width), "sets")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    full = left.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    met = sets.where("own").select("hub", "part", "node", F.col("tokens").alias("x")).join(sets.where("not own").select("hub", "part", F.col("tokens").alias("y")), ["hub", "part"])
     same = F.size(F.array_intersect("x", "y"))
-    return full.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select("a", "b")
+    return met.where(100 * same >= percent * (F.size("x") + F.size("y") - same)).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
 
 
 def near_components(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -215,50 +245,61 @@ def near_components(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
     Two documents link when 100 * intersection >= percent * union of their distinct word shingles; a component's id is its
     smallest doc_id. Null and empty texts have no shingles and link with nothing, nor do rows with a null doc_id, whose
-    component_id is null; repeated rows are returned each; an empty table gives none. Shingles are held as 64-bit hashes.
+    component_id is null; repeated rows are returned each; an empty table gives none. Shingles are held as 64-bit hashes, sets
+    are named by 128 bits. Other columns of docs are not read, whatever their names. A text of any length is one set.
 
     Equal sets are one node from the start, however many documents hold them. Prefix tokens meet in buckets.
     First each bucket's rows are compared to one of them only, that with the fewest rarer shingles; a large group of near
     copies is mostly one component then, and its pairs are not needed. What lies in other components than most of its
-    bucket is then joined with the whole bucket, under the length, position and multi-match filters, and verified. So
-    no bucket's pairs are all made, and no link between components is lost.
+    bucket is then joined with the neighbouring length classes of the bucket, under the length, position, parity and
+    multi-match filters, and verified. So no bucket's pairs are all made, and no link between components is lost.
     """
     levels, stands = frequency_levels(docs, width)
     held = cut(prefixes(docs, width, percent, levels, stands), "prefixes")
-    nodes = held.where("n > 0 and doc_id is not null").groupBy("node", "n", "matches").agg(F.min("doc_id").alias("doc_id"), F.first("tokens").alias("tokens"))
-    nodes = cut(nodes, "nodes")
-    rows = nodes.select("node", "n", "matches", F.posexplode("tokens").alias("i", "token"))
+    nodes = held.where("n > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "matches", *_BITS, "tokens")])
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # read back, so the numbers stay
+    rows = nodes.select("node", F.posexplode("tokens").alias("i", "token"))
     met = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     # a node has at most its prefix of rows
+    held_in = rows.join(met, "token").join(nodes.select("node", "n", "matches"), "node")
     lone = _prefix(F.col("n"), F.col("matches"), percent) - F.count("*").over(W.partitionBy("node"))
     before = F.col("i") + 1 - F.row_number().over(W.partitionBy("node").orderBy("i"))
-    shared = cut(rows.join(met, "token").withColumns({"lone": lone.cast("int"), "before": before}), "shared")
+    shared = cut(held_in.withColumns({"lone": lone.cast("int"), "before": before}), "shared")
     own = ("node", "n", "i", "matches", "lone", "before")
     hubs = shared.groupBy("token").agg(F.min(F.struct("before", *[c for c in own if c != "before"])).alias("hub"))
     stars = shared.join(hubs.select("token", *[F.col(f"hub.{c}").alias(f"h_{c}") for c in own]), "token")
     stars = stars.where((F.col("node") != F.col("h_node")) & _may_link("", "h_", percent))
-    stars = cut(stars.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")).distinct(), "stars")
-    ids = nodes.select("node", "doc_id")
-    links = cut(_linked(docs, ids, stars, width, percent), "links")
+    stars = stars.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")).distinct()
+    for end in ("a", "b"):
+        stars = stars.join(nodes.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}{c}") for c in ("n", *_BITS)]), end)
+    stars = cut(stars.where(_alike("a", "b", percent)).select("a", "b"), "stars")
+    links = cut(_linked(docs, nodes, stars, width, percent), "links")
     labels = components(links)
 
-    marked = shared.join(labels, "node", "left").select("token", *own, F.coalesce("label", "node").alias("label"))
-    sizes = marked.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"))
-    marked = cut(marked.join(sizes.where("labels > 1").select("token", "most"), "token"), "marked")
-    minor = marked.where("label <> most").select("token", *[F.col(c).alias(f"l_{c}") for c in (*own, "label")])
+    labelled = nodes.select("node", *_BITS).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_label = shared.join(labelled.select("node", "label"), "node").groupBy("token", "label").agg(F.count("*").alias("c"))
+    sizes = by_label.groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("labels"))
+    marked = cut(shared.join(sizes.where("labels > 1").select("token", "most"), "token").join(labelled, "node"), "marked")
+    own = (*own, *_BITS)
+    # sets of two classes that are not neighbours are too unlike in length
+    length = F.floor(F.log("n") / (np.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n")
+    near = F.explode(F.sequence(length - 1, length + 1))
+    minor = marked.where("label <> most").withColumn("class", near).select("token", "class", *[F.col(c).alias(f"l_{c}") for c in (*own, "label")])
     once = (F.col("label") == F.col("most")) | (F.col("l_node") < F.col("node"))
-    met = minor.join(marked, (minor["token"] == marked["token"]) & (F.col("l_label") != F.col("label")) & once & _may_link("l_", "", percent))
+    fits = (F.col("l_label") != F.col("label")) & once & _may_link("l_", "", percent) & _alike("l_", "", percent)
+    met = minor.join(marked.withColumn("class", length), ["token", "class"]).where(fits)
     need = F.least("l_matches", "matches")
     pairs = met.groupBy(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b"), need.alias("need")).agg(F.count("*").alias("c"))
     pairs = cut(pairs.where("c >= need").select("a", "b").join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = cut(_linked(docs, ids, pairs, width, percent), "links")
+    more = cut(_linked(docs, nodes, pairs, width, percent), "links")
     labels = components(links.unionByName(more))
 
+    ids = nodes.select("node", "name", "doc_id")
     smallest = labels.join(ids, "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     reached = labels.join(smallest, "label").select("node", "component_id")
-    own = ids.join(reached, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    kept = held.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node")
-    linked = kept.where("n_shingles > 0 and doc_id is not null").join(own, "node").select("doc_id", "n_shingles", "component_id")
+    own = ids.join(reached, "node", "left").select("name", F.coalesce("component_id", "doc_id").alias("component_id"))
+    kept = held.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "name")
+    linked = kept.where("n_shingles > 0 and doc_id is not null").join(own, "name").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(kept.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
