@@ -8,45 +8,56 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quietsky.llm.common import table
 
 BITS = 12
 #: Documents of each language that are learned from, about; a language's are chosen by hash of doc_id.
 PER_LANGUAGE = 800
+#: And of all languages.
+MOST = 16_000
 #: A decision whose loss is not this much below the next one's, for each bit, is ambiguous.
 MARGIN = 0.15
 UNKNOWN = "und"
+#: Bytes of text whose n-grams are counted at once.
+PIECE = 1 << 20
+#: Lengths of n-grams, each with a multiplier for its hash.
+GRAMS = ((2, 0x9E3779B1), (3, 0x85EBCA77))
+
+
+def _slots(b: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """The slot of the n bytes from each place of b on."""
+    code = b[: len(b) - n + 1].astype(np.uint32)
+    for j in range(1, n):
+        code = (code << np.uint32(8)) | b[j : len(b) - n + 1 + j]
+    return ((code + np.uint32(1)) * np.uint32(salt)) >> np.uint32(32 - BITS)
 
 
 def counts(texts: list[str | None]) -> np.ndarray:
-    """Hashed counts of the byte bigrams and trigrams of each whole text, in lower case."""
+    """Hashed counts of the byte bigrams and trigrams of each whole text, in lower case.
+
+    Short texts are joined, and a long one is counted piece by piece, so memory holds the n-grams of a piece at a time.
+    """
     raw = [(t or "").lower().encode() for t in texts]
     width = 1 << BITS
     out = np.zeros((len(raw), width), dtype=np.float32)
     begin = 0
-    while begin < len(raw):  # joined up to 1 MB, or one text
+    while begin < len(raw):
         end, total = begin, 0
-        while end < len(raw) and (end == begin or total + len(raw[end]) < 1 << 20) and end - begin < 256:
+        while end < len(raw) and (end == begin or total + len(raw[end]) < PIECE) and end - begin < 256:
             total += len(raw[end])
             end += 1
-        size = np.array([len(r) for r in raw[begin:end]])
-        b = np.frombuffer(b"".join(raw[begin:end]), dtype=np.uint8).astype(np.uint32)
-        doc = np.repeat(np.arange(end - begin), size)
-        slots = []
-        for n, salt in ((2, 0x9E3779B1), (3, 0x85EBCA77)):
-            if len(b) < n:
-                continue
-            code = b[: len(b) - n + 1].copy()
-            for j in range(1, n):
-                code = (code << 8) | b[j : len(b) - n + 1 + j]
-            own = doc[: len(code)]
-            whole = own == doc[n - 1 :]
-            slot = ((code + np.uint32(1)) * np.uint32(salt)) >> np.uint32(32 - BITS)
-            slots.append((own * width + slot)[whole])
-        if slots:
-            out[begin:end] = np.bincount(np.concatenate(slots), minlength=(end - begin) * width).reshape(end - begin, width)
+        if end == begin + 1:
+            for n, salt in GRAMS:
+                for a in range(0, total - n + 1, PIECE):
+                    b = np.frombuffer(raw[begin], dtype=np.uint8, count=min(PIECE + n - 1, total - a), offset=a)
+                    out[begin] += np.bincount(_slots(b, n, salt), minlength=width)
+        else:
+            b = np.frombuffer(b"".join(raw[begin:end]), dtype=np.uint8)
+            doc = np.repeat(np.arange(end - begin), [len(r) for r in raw[begin:end]])
+            slots = [(doc[: len(b) - n + 1] * width + _slots(b, n, salt))[doc[: len(b) - n + 1] == doc[n - 1 :]] for n, salt in GRAMS if len(b) >= n]
+            if slots:
+                out[begin:end] = np.bincount(np.concatenate(slots), minlength=(end - begin) * width).reshape(end - begin, width)
         begin = end
     return out
 
@@ -93,18 +104,18 @@ def decide(x: np.ndarray, w: np.ndarray, code: np.ndarray) -> tuple[np.ndarray,
     return best, 1 / share.sum(axis=1), (nearest[:, 1] - nearest[:, 0]) < MARGIN * code.shape[1]
 
 
-def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, codewords and weights, from labelled(doc_id, text, lang).
 
-    Learns from about per_language documents of each language, chosen by hash; their n-gram counts are made in tasks, and
-    the fit, on that bounded sample, on the driver.
+    Learns from about per_language documents of each language, and fewer of each where all would be over `most`, chosen by
+    hash; their n-gram counts are made in tasks, and the fit, on that bounded sample, on the driver.
     """
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     code = codewords(len(langs))
     if code.shape[1] == 0:
         return langs, code, np.zeros(((1 << BITS) + 1, 0), dtype=np.float32)
-    share = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, per_language / sizes[k]))])
+    share = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, min(per_language, most / len(langs)) / sizes[k]))])
     uniform = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
     sample = labelled.where(uniform < F.element_at(share, F.col("lang"))).select("lang", "text")
 
@@ -125,32 +136,35 @@ def hash_of(key: str) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], key: str = "doc_id") -> DataFrame:
-    """key, lang_pred, score and ambiguous of each row of docs(key, text).
+def language_of(text: Column, model: tuple[list[str], np.ndarray, np.ndarray], spark: SparkSession) -> Column:
+    """A struct of lang_pred, score and ambiguous for each text.
 
-    Only the text counts; key may be any column, a struct of the whole row for one. Null texts and texts without a letter are `und` with score 0, and so is everything if
-    nothing was learned. Equal texts get equal results; repeated rows are returned each; an empty table gives none.
+    Only the text goes to the Python workers, and a few bytes come back; the other columns of the row stay where they are.
+    Null texts and texts without a letter are `und` with score 0, and so is everything if nothing was learned. Equal texts get equal
+    results, so repeated rows and ties between languages (the first by name) have one answer. Long texts are counted piece by piece.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # one row for each n-gram slot, one column for each bit
+    shared = spark.sparkContext.broadcast(model)  # one row for each n-gram slot, one column for each bit
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("lang_pred string, score double, ambiguous boolean")
+    def run(text: pa.Array) -> pa.Array:
         langs, code, w = shared.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(a, 256).to_pylist()
-                known = [bool(langs) and t is not None and any(map(str.isalpha, t)) for t in texts]
-                x = features(counts([t if k else "" for t, k in zip(texts, known, strict=True)]))
-                best, score, near = decide(x, w, code) if langs else (np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool))
-                cols = [
-                    batch.column(0).slice(a, 256),
-                    pa.array([langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]),
-                    pa.array([float(s) if k else 0.0 for s, k in zip(score, known, strict=True)]),
-                    pa.array([bool(n) and k for n, k in zip(near, known, strict=True)]),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=[key, "lang_pred", "score", "ambiguous"])
-
-    schema = T.StructType().add(docs.schema[key]).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return docs.select(key, "text").mapInArrow(run, schema)
+        out: tuple[list, list, list] = ([], [], [])
+        for a in range(0, len(text), 256):
+            texts = text.slice(a, 256).to_pylist()
+            known = [bool(langs) and t is not None and any(map(str.isalpha, t)) for t in texts]
+            x = features(counts([t if k else "" for t, k in zip(texts, known, strict=True)]))
+            best, score, near = decide(x, w, code) if langs else (np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool))
+            out[0].extend(langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True))
+            out[1].extend(np.where(known, score, 0.0).tolist())
+            out[2].extend((near & known).tolist())
+        return pa.StructArray.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())], names=["lang_pred", "score", "ambiguous"])
+
+    return run(text)
+
+
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], key: str = "doc_id") -> DataFrame:
+    """key, lang_pred, score and ambiguous of each row of docs(key, text), as language_of() has them; an empty table gives none."""
+    return docs.select(key, language_of(F.col("text"), model, docs.sparkSession).alias("found")).select(key, "found.*")
 
 
 def learned(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
