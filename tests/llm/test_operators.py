@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -76,6 +77,66 @@ def test_ring_moves_little():
         ring.deal(counts, 24, 8, 0.9)
 
 
+def walked(keys, n_shards, vnodes, cells, load_factor):
+    """A plain walk: keys in ring order, first to their own shard, then, where it is full, clockwise; (cell, rank) to shard."""
+    total = len(keys)
+    room = [total // n_shards + (s < total % n_shards) if load_factor == 1 else int(np.ceil(load_factor * total / n_shards)) for s in range(n_shards)]
+    nodes = sorted((int.from_bytes(hashlib.blake2b(f"{s}/{v}".encode(), digest_size=8).digest(), "big"), s) for s in range(n_shards) for v in range(vnodes))
+    nodes = [(p * cells >> 64, s) for p, s in nodes]
+    own = lambda cell: next((i for i, (c, _) in enumerate(nodes) if c >= cell), 0)
+    out, late = {}, []
+    for cell, rank in sorted(keys):
+        s = nodes[own(cell)][1]
+        if room[s]:
+            room[s] -= 1
+            out[cell, rank] = s
+        else:
+            late.append((cell, rank))
+    for cell, rank in late:
+        i = own(cell)
+        while not room[nodes[i % len(nodes)][1]]:
+            i += 1
+        s = nodes[i % len(nodes)][1]
+        room[s] -= 1
+        out[cell, rank] = s
+    return out
+
+
+@pytest.mark.parametrize("load", [1.0, 1.25])
+def test_ring_equals_a_plain_walk(load):
+    counts = np.bincount(np.random.default_rng(3).integers(0, 256, 700), minlength=256)
+    counts[17] += 200  # a hot key
+    want = walked([(c, r) for c in range(256) for r in range(counts[c])], 7, 16, 256, load)
+    got, slots = {}, Counter()
+    for c, lo, hi, s, base in ring.deal(counts, 7, 16, load):
+        got |= {(c, r): s for r in range(lo, hi)}
+        slots.update((s, base + i) for i in range(hi - lo))
+    assert got == want and max(slots.values()) == 1
+    n = Counter(got.values())
+    assert all((s, i) in slots for s in n for i in range(n[s]))
+
+
+def test_ring_moves_little_at_even_counts():
+    counts = np.bincount(np.random.default_rng(1).integers(0, 4096, 50_000), minlength=4096)
+    a, b = ({(c, r): s for c, lo, hi, s, _ in ring.deal(counts, n, 128, 1.0) for r in range(lo, hi)} for n in (24, 25))
+    assert sum(a[k] != b[k] for k in a) / len(a) < 0.3  # a modulus would move 96 %
+
+
+def test_ring_expands_a_hot_row_by_runs(spark, monkeypatch):
+    monkeypatch.setattr(ring, "RUN", 7)
+    df = spark.createDataFrame([(5,)] * 100 + [(i,) for i in range(60)], "k long")
+    out = ring.ring_shards(df, ["k"], 4, cells=64).toPandas()
+    assert len(out) == 160 and (out.k == 5).sum() == 101 and set(out.groupby("shard").size()) == {40}
+    assert all(sorted(g["slot"]) == list(range(40)) for _, g in out.groupby("shard"))
+
+
+def test_ring_clashing_names_and_long_keys(spark):
+    df = spark.createDataFrame([(i, i % 3, f"{i}" * 5000) for i in range(40)], "shard_ long, _n long, _at string")
+    out = ring.ring_shards(df, ["_at"], 4, cells=64)
+    assert out.columns == ["shard_", "_n", "_at", "shard", "slot"] and out.count() == 40
+    assert rows(out.select("shard_", "_n", "_at")) == rows(df)
+
+
 def test_ring_empty(spark):
     assert ring.ring_shards(spark.createDataFrame([], "k long"), ["k"], 4).count() == 0
 
@@ -184,6 +245,34 @@ def test_codewords_are_apart():
         assert min(apart) >= min(4, 2 ** max(0, n - 2)) and len(code) == n
 
 
+def test_decoding_equals_plain_arithmetic(spark):
+    texts = ["the cat and the dog", "le chat et le chien", "der hund und die katze", "x", "été über"]
+    rng = np.random.default_rng(8)
+    code = language.codewords(4)
+    langs, w = ["a", "b", "c", "d"], rng.normal(0, 2, ((1 << language.BITS) + 1, code.shape[1])).astype(np.float32)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], DOCS)
+    for r in language.identify(docs, (langs, code, w)).collect():
+        raw = texts[r["doc_id"]].lower().encode()
+        n = Counter()
+        for size, salt in language.GRAMS:
+            for i in range(len(raw) - size + 1):
+                n[((int.from_bytes(raw[i : i + size], "big") + 1) * salt & 0xFFFFFFFF) >> (32 - language.BITS)] += 1
+        norm = sum(n.values()) ** 0.5 or 1
+        bits = [sum(x**0.5 / norm * float(w[slot, j]) for slot, x in n.items()) + float(w[-1, j]) for j in range(code.shape[1])]
+        loss = [sum(np.log1p(np.exp(-f * c)) if -f * c < 50 else -f * c for f, c in zip(bits, code[k], strict=True)) for k in range(4)]
+        assert r["lang_pred"] == langs[int(np.argmin(loss))]
+        assert r["score"] == pytest.approx(1 / sum(np.exp(min(loss) - x) for x in loss), rel=1e-3)
+        near = sorted(loss)
+        assert r["ambiguous"] == (near[1] - near[0] < language.MARGIN * code.shape[1])
+
+
+def test_long_texts_are_counted_by_pieces(monkeypatch):
+    texts = ["abc déf " * 400, "zz", "", "q" * 2999, None]
+    whole = language.counts(texts)
+    monkeypatch.setattr(language, "PIECE", 100)
+    assert (language.counts(texts) == whole).all() and whole[0].sum() == 2 * len(texts[0].encode()) - 3
+
+
 def test_language_odd(spark, odd):
     model = language.train(odd.where("doc_id is not null"))  # one language
     got = language.identify(odd, model)
@@ -212,6 +301,89 @@ def test_flac_round_trip_and_checksums():
             flac.decode([bytes(bad)])
 
 
+def plain_decode(s):
+    """The samples of a FLAC stream of mono 8-bit frames, bit by bit, by the format's own description."""
+    assert s[:4] == b"fLaC"
+    at, last = 4, False
+    while not last:
+        last, n = bool(s[at] & 128), int.from_bytes(s[at + 1 : at + 4], "big")
+        at += 4 + n
+    out = []
+    bits = "".join(f"{b:08b}" for b in s[at:])
+    p = 0
+
+    def take(n):
+        nonlocal p
+        v = int(bits[p : p + n], 2) if n else 0
+        p += n
+        return v
+
+    def signed(n):
+        v = take(n)
+        return v - (1 << n) if v >> (n - 1) else v
+
+    while p < len(bits):
+        first = p // 8
+        assert take(14) == 0x3FFE and take(2) == 0
+        size, rate, channel, depth, zero = take(4), take(4), take(4), take(3), take(1)
+        assert (rate, channel, depth, zero) == (4, 0, 1, 0)
+        lead = take(8)
+        more = 0 if lead < 128 else f"{lead:08b}".index("0") - 1
+        number = lead & (0x7F if not more else (1 << (6 - more)) - 1)
+        for _ in range(more):
+            number = number << 6 | take(8) & 63
+        assert number == len(out) // 1024
+        n = take(16) + 1 if size == 7 else 256 << (size - 8)
+        crc = 0
+        for b in s[at + first : at + p // 8]:
+            crc ^= b
+            for _ in range(8):
+                crc = crc << 1 & 255 ^ (7 if crc >> 7 else 0)
+        assert take(8) == crc and take(1) == 0
+        kind, wasted = take(6), take(1)
+        assert not wasted
+        if kind == 0:
+            x = [signed(8)] * n
+        elif kind == 1:
+            x = [signed(8) for _ in range(n)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            x = [signed(8) for _ in range(order)]
+            shift = 0
+            if kind < 32:
+                coef = [[], [1], [2, -1], [3, -3, 1], [4, -6, 4, -1]][order]
+            else:
+                width, shift = take(4) + 1, take(5)
+                coef = [signed(width) for _ in range(order)]
+            assert take(2) == 0
+            parts = take(4)
+            for part in range(1 << parts):
+                k = take(4)
+                for _ in range((n >> parts) - (order if part == 0 else 0)):
+                    q = 0
+                    while not take(1):
+                        q += 1
+                    u = q << k | take(k)
+                    x.append((u >> 1 ^ -(u & 1)) + (sum(c * x[-1 - j] for j, c in enumerate(coef)) >> shift))
+        p = -(-p // 8) * 8
+        crc = 0
+        for b in s[at + first : at + p // 8]:
+            crc ^= b << 8
+            for _ in range(8):
+                crc = (crc << 1 ^ (0x8005 if crc >> 15 else 0)) & 0xFFFF
+        assert take(16) == crc
+        out += x
+    assert hashlib.md5(bytes(v & 255 for v in out)).digest() == s[26:42]
+    return bytes((v + 128) & 255 for v in out)
+
+
+def test_flac_is_read_by_a_plain_decoder():
+    rng = random.Random(9)
+    payloads = [bytes(64), b"a" * 2112, bytes(rng.randrange(256) for _ in range(1152)), ("The tion of it was there. " * 130).encode(), bytes(int(128 + 90 * np.sin(i / 20)) for i in range(2304)), bytes([0, 255] * 544)]
+    payloads = [p + bytes(-len(p) % 64) for p in payloads]
+    assert [plain_decode(s) for s in flac.encode(payloads)] == payloads
+
+
 def test_flac_frames_follow_the_format():
     s = flac.encode([bytes(range(64)) * 20])[0]
     assert s[:4] == b"fLaC" and s[4] == 0 and int.from_bytes(s[5:8], "big") == 34 and s[42] == 0x83
@@ -221,7 +393,7 @@ def test_flac_frames_follow_the_format():
 
 
 def test_media_odd(spark, odd):
-    got = flac.media_features(flac.to_media(odd)).toPandas()
+    got = flac.pcm_features(flac.to_pcm(flac.to_media(odd))).toPandas()
     assert len(got) == len(ODD) and (got["payload_bytes"] % 64 == 0).all() and (got["payload_bytes"] > 0).all()
     assert got[got.doc_id == 4]["media_sha256"].nunique() == 1
     assert got[got.doc_id == 1]["payload_sha256"].iloc[0] == hashlib.sha256(bytes(64)).hexdigest()
@@ -252,6 +424,33 @@ def test_quality_rules_are_sparse_and_find_a_conjunction():
     assert quality.fit(x[:5], y[:5].astype(float))[1] == [] and quality.fit(x, np.ones(3000))[1] == []
 
 
+def plain_statistics(text):
+    import regex
+
+    text = text or ""
+    words = regex.split(r"[\x20\x09-\x0D]+", text)
+    lines, n = text.split("\n"), len(words)
+    rate = lambda p: len(regex.findall(p, text)) / n
+    again = sum(a == b for a, b in zip(words, words[1:]))  # noqa: B905
+    return [
+        len(regex.findall(r"[^\x20\x09-\x0D]+", text)), len(text) / n, len(set(words)) / n, again / n, rate(r"[#$%&*]{2,}"), rate("!!"), rate(r"\|"),
+        rate("[A-Z]{2,}"), rate("[0-9]+"), rate(r"\."), n / len(lines), len(set(lines)) / len(lines),
+    ]
+
+
+@has_data
+def test_compiled_rules_equal_direct_evaluation(spark, odd):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(odd.select(F.col("doc_id") + 100_000, "text").toDF("doc_id", "text"))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    bias, rules = quality.learned(spark.read.parquet(f"{DATA}/documents.parquet"), labels)
+    assert rules
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in quality.score_quality(docs, (bias, rules), ["doc_id"]).collect():
+        x = plain_statistics(text[r["doc_id"]])
+        want = 1 / (1 + np.exp(-(bias + sum(w for w, path in rules if all((x[f] <= t) == low for f, t, low in path)))))
+        assert r["score"] == pytest.approx(want, abs=1e-9) and r["predicted"] == (want >= quality.THRESHOLD)
+
+
 def test_quality_odd(spark, odd):
     model = (1.0, [(0.5, ((0, 3.0, True),)), (-0.25, ((2, 0.5, False), (7, 0.1, True)))])
     got = quality.score_quality(odd, model, ["doc_id", "source"])
@@ -312,12 +511,52 @@ def test_masked_likelihood_tells_rare_words_apart(spark, monkeypatch, block, wor
         bucket[pseudo._code(w) % pseudo.RARE] += c if w not in vocab.ids else 0
     for i, t in enumerate(texts):
         rare = [w for w in (t or "").encode().split() if w not in vocab.ids]
-        own = sum(np.log(n[w] / bucket[pseudo._code(w) % pseudo.RARE]) for w in rare)
+        other = {w: n[w] - c for w, c in Counter(rare).items()}
+        own = sum(np.log(other[w] / bucket[pseudo._code(w) % pseudo.RARE]) if other[w] else -np.log(32) * (1 + len(w)) for w in rare)
+        assert got[i]["unseen"] == sum(other[w] == 0 for w in rare)
         assert abs(got[i]["pll"] - plain[i]["pll"] - own) < 1e-3 * max(1, got[i]["n_tokens"]), (i, t)
         assert got[i]["n_tokens"] == len((t or "").split()) and (got[i]["mean_pll"] is None) == (not t)
     assert n[b"twice3"] == 3 and n[b"junk3x"] == 1
 
 
+def test_gradient_steps_are_those_of_the_loss():
+    rng = np.random.default_rng(6)
+    n_tokens, n = 30, 40
+    p = [x.astype(np.float64) + rng.normal(0, 0.3, x.shape) for x in pseudo.initial(n_tokens)]
+    context, goal = rng.integers(0, n_tokens + 1, (n, 2 * pseudo.REACH)), rng.integers(0, pseudo.CLASSES, n)
+
+    def loss(q):
+        out = 0.0
+        for c, g in zip(context, goal, strict=True):  # token by token
+            h = np.tanh(sum(q[0][t] * q[1][j] for j, t in enumerate(c)))
+            z = h @ q[2] + q[3]
+            out -= z[g] - np.log(np.exp(z).sum())
+        return out / n
+
+    after = [x.copy() for x in p]
+    pseudo.step(after, context, goal, 1e-3)
+    for k, place in [(0, (int(context[0, 0]), 3)), (0, (int(context[7, 2]), 0)), (1, (1, 5)), (2, (4, int(goal[3]))), (3, (int(goal[0]),))]:
+        up, down = [x.copy() for x in p], [x.copy() for x in p]
+        up[k][place] += 1e-5
+        down[k][place] -= 1e-5
+        slope = (loss(up) - loss(down)) / 2e-5
+        moved = (after[k][place] - p[k][place]) / (-1e-3 * (40 if k == 0 else 1))
+        assert moved == pytest.approx(slope, rel=1e-3, abs=1e-7)
+
+
+@has_data
+def test_doubled_documents_score_apart(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").where("text is not null")
+    alone = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1").select("doc_id", "text")
+    twice = alone.where("doc_id % 10 = 0 and length(text) > 200")
+    both = alone.unionByName(twice.withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    got = pseudo.score_words(both, pseudo.vocabulary(both)).toPandas().dropna()
+    doubled = set(r[0] for r in twice.select("doc_id").collect())
+    clean = got[~got.doc_id.isin(doubled) & (got.doc_id < 1_000_000)]
+    limit = clean["mean_pll"].quantile(0.9)
+    assert (got[got.doc_id.isin(doubled)]["mean_pll"] > limit).mean() > 0.25  # by chance a tenth
+
+
 def test_masked_likelihood_odd(spark, odd):
     vocab = pseudo.vocabulary(odd, 3)
     assert list(vocab.ids) == [b"word", b"x", b"--"]
@@ -484,6 +723,82 @@ def test_pieces_odd(spark, odd):
     assert sentence.encode(odd.limit(0), vocab).count() == 0
 
 
+def best_score(word, vocab):
+    """The highest summed score of a word's paths, place by place."""
+    scores = {p: x for p, _, x in vocab.pieces}
+    best = [0.0] + [float("-inf")] * len(word)
+    for end in range(1, len(word) + 1):
+        for start in range(max(0, end - vocab.longest), end):
+            piece = word[start:end]
+            if piece in scores or end == start + 1:
+                best[end] = max(best[end], best[start] + scores.get(piece, vocab.unknown))
+    return best[-1]
+
+
+def test_long_words_go_by_chunks(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    vocab, rng = sentence.load(), random.Random(5)
+    letters = "".join(rng.choice("aeiounrstl") for _ in range(200_000))
+    words = {1: letters, 2: "a" * 129, 3: "ab" * 700, 4: "thethere" * 40 + "漢\U0001f600", 5: "there", 6: "x" * 128, 7: letters[:143], 8: letters[:144], 9: letters[5:262]}
+    spark.createDataFrame(list(words.items()), "k long, word string").repartition(3).write.parquet(str(tmp_path / "words"))
+    own = spark.read.parquet(str(tmp_path / "words"))
+    score, text = {i: x for _, i, x in vocab.pieces}, {i: p for p, i, _ in vocab.pieces}
+    begin = time.perf_counter()
+    got = {r["k"]: r["ids"] for r in sentence.lattice(own, ["k"], vocab).collect()}
+    assert time.perf_counter() - begin < 90 and set(got) == set(words)
+    for k, ids in got.items():
+        assert "".join(text[i] if i >= 0 else chr(-1 - i) for i in ids) == words[k]
+        assert sum(score.get(i, vocab.unknown) for i in ids) == pytest.approx(best_score(words[k], vocab), rel=1e-12)
+    whole = sentence.encode(own.select("k", F.col("word").alias("text")), vocab, key="k", common=3)
+    assert whole.count() == len(words) and whole.where("not roundtrip").count() == 0
+
+
 def test_packed_numbers():
     v = np.array([0, 1, 127, 128, 16383, 16384, 1 << 20, 1 << 22, 5])
     assert sentence._unpacked(sentence._packed(v)).tolist() == v.tolist() and sentence._packed(v[:0]) == b""
+
+
+def test_top_k_takes_any_finite_vector(spark):
+    rng = random.Random(12)
+    big = [3e5, -2.0**40, 1e30, 7.0, -1e12, 2.0**31]
+    vectors = [(i, [rng.choice(big) if i % 7 == 0 else float(rng.randrange(-90, 90)) / 64 for _ in range(5)]) for i in range(60)]
+    vectors += [(100, [float("nan")] + [1.0] * 4), (120, None), (140, [1.0, None, 1.0, 1.0, 1.0]), (160, []), (60, [1.0] * 5), (60, [1.0] * 5)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").select("vec_id", voronoi.quantised(F.col("embedding")).alias("v"))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in voronoi.top_k(df, F.col("vec_id") % 20 == 0, k=4, n_pivots=5).where("query_id < 60").collect()}
+    fine = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)]
+    for q, v in fine:
+        if q % 20 == 0 and q < 60:
+            each = sorted((-min(voronoi.MOST, max(voronoi.LEAST, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in fine if i != q)[:4]
+            assert [got[q, r + 1] for r in range(4)] == [(i, -s) for s, i in each]
+
+
+INTERNAL = ["_n", "_at", "_cell", "_rank", "_w", "_cap", "_level", "odds", "rest", "certain", "affinity", "words", "candidates", "hash", "c", "base", "live", "node", "name", "token", "tokens", "n", "block", "parts", "ids",
+            "place", "lost", "row", "s", "bucket", "bits", "found", "score", "lang_pred", "media", "blocks", "word", "h", "again", "digits", "_k", "_id", "_y"]
+
+
+@pytest.mark.parametrize("which", ["mix", "secrets", "language", "media", "quality", "likelihood", "jaccard", "pieces"])
+def test_other_columns_do_not_matter(spark, odd, which):
+    def run(df):
+        if which == "mix":
+            return mixing.mix(df.withColumn("size", F.length(F.coalesce("text", F.lit(""))).cast("long")))
+        if which == "secrets":
+            return secrets.scan_secrets(df)
+        if which == "language":
+            return language.identify(df, language.learned(df))
+        if which == "media":
+            return flac.pcm_features(flac.to_pcm(flac.to_media(df)))
+        if which == "quality":
+            return quality.score_quality(df, (1.0, [(0.5, ((0, 3.0, True),))]), ["doc_id", "source"])
+        if which == "likelihood":
+            return pseudo.score(df, pseudo.initial(len(vocab.classes)), vocab)
+        if which == "jaccard":
+            return jaccard.near_components(df)
+        return sentence.encode(df, sentence.load(), packed=True)
+
+    if which == "pieces":
+        pytest.importorskip("public_tokenizers")
+    some = odd.where("doc_id is null or doc_id <> 6")
+    vocab = pseudo.vocabulary(some, 3)
+    wide = some.withColumns({c: F.lit(c) for c in INTERNAL if not (which == "likelihood" and c == "ids")})
+    text = lambda df: Counter(str(r) for r in df.collect())
+    assert text(run(wide)) == text(run(some))

@@ -88,6 +88,25 @@ def test_clashing_extra_columns(spark, docs):
     assert more.count() > 0 and more.where("score <> 'x' or copies <> 2").count() == 0
 
 
+@has_data
+def test_columns_named_like_the_stages_own(spark, docs):
+    names = ["_k", "_d", "_o", "_h", "_s", "_live", "_copies", "_rows", "_number", "k", "n", "component_id", "row", "bucket", "bits", "h", "node", "_copy", "_c", "_w"]
+    more = docs.where("doc_id < 40 or doc_id > 9000").withColumns({c: F.lit(c) for c in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        more = stage(spark, more, DATA)
+        assert more.columns == [*COLUMNS, *names]
+    got = more.collect()
+    assert got and all(r[c] == c for r in got for c in names)
+
+
+def test_shared_copies_are_all_given(spark):
+    own = spark.createDataFrame([(7, f"word{i} and some more", "en", "a", 1) for i in range(5)] + [(i, "one two three four " * 30, "en", "b", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = corpus_pipeline.mixing.mix(own.select("doc_id", "source", corpus_pipeline.word_count(F.col("text")).alias("size")))
+    got = dict(corpus_pipeline.STAGES)["mixing to target weights"](spark, own, DATA)
+    by = lambda df: {r["doc_id"]: r["n"] for r in df.groupBy("doc_id").agg(F.sum("copies").alias("n")).where("n > 0").collect()}
+    assert by(got.withColumn("copies", F.lit(1))) == by(want)
+
+
 def test_the_rest_works_without_these(tmp_path):
     for name in ("quietsky", "__spark_entry__.py"):
         source = ROOT / name
