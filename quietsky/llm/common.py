@@ -50,12 +50,18 @@ def cut(df: DataFrame, what: str, compression: str = "none") -> DataFrame:
 
 
 def bucketed(df: DataFrame, what: str, column: str, compression: str = "zstd") -> DataFrame:
-    """As cut(), as a table dealt by the hash of a column into as many buckets as a shuffle has parts, so that a join on it need not shuffle the table."""
+    """As cut(), as a table dealt by the hash of a column into as many buckets as a shuffle has parts, so that a join on it need not shuffle the table.
+
+    Only a catalog can describe buckets, so the table has an entry there until it has been looked up; its files stay in the shared folder, as those of cut() do.
+    """
     spark = df.sparkSession
     name = f"quietsky_{what}_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("compression", compression).option("path", f"{shared_dir(spark)}/{name}").bucketBy(parts, column).saveAsTable(name)
-    return spark.table(name)
+    try:
+        return spark.table(name)
+    finally:
+        spark.sql(f"drop table {name}")  # of a table with a path of its own the files stay
 
 
 @contextmanager

@@ -20,6 +20,8 @@ MOST_MATCHES = 4
 PARITY = 4
 #: Pairs that meet one copy of a set.
 PAIRS_A_SET = 1000
+#: Rows of a bucket's length class that one row of another component is compared to in a task.
+ROWS_A_PART = 256
 _BITS = tuple(f"bits{j}" for j in range(PARITY))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -252,7 +254,9 @@ def near_components(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     First each bucket's rows are compared to one of them only, that with the fewest rarer shingles; a large group of near
     copies is mostly one component then, and its pairs are not needed. What lies in other components than most of its
     bucket is then joined with the neighbouring length classes of the bucket, under the length, position, parity and
-    multi-match filters, and verified. So no bucket's pairs are all made, and no link between components is lost.
+    multi-match filters, and verified. A large class of a bucket is dealt to parts by node, and what meets it goes to all of them, so a token that
+    very many sets hold is many tasks; joins by token alone have one row on their other side, so Spark splits them where they are skewed.
+    So no bucket's pairs are all made, and no link between components is lost.
     """
     levels, stands = frequency_levels(docs, width)
     held = cut(prefixes(docs, width, percent, levels, stands), "prefixes")
@@ -284,10 +288,15 @@ def near_components(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     # sets of two classes that are not neighbours are too unlike in length
     length = F.floor(F.log("n") / (np.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n")
     near = F.explode(F.sequence(length - 1, length + 1))
-    minor = marked.where("label <> most").withColumn("class", near).select("token", "class", *[F.col(c).alias(f"l_{c}") for c in (*own, "label")])
+    classed = marked.withColumn("class", length)
+    large = classed.groupBy("token", "class").agg(F.ceil(F.count("*") / ROWS_A_PART).cast("int").alias("parts")).where("parts > 1")
+    large = cut(large, "large")
+    dealt = classed.join(large, ["token", "class"], "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    minor = marked.where("label <> most").withColumn("class", near).join(large, ["token", "class"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    minor = minor.select("token", "class", "part", *[F.col(c).alias(f"l_{c}") for c in (*own, "label")])
     once = (F.col("label") == F.col("most")) | (F.col("l_node") < F.col("node"))
     fits = (F.col("l_label") != F.col("label")) & once & _may_link("l_", "", percent) & _alike("l_", "", percent)
-    met = minor.join(marked.withColumn("class", length), ["token", "class"]).where(fits)
+    met = minor.join(dealt, ["token", "class", "part"]).where(fits)
     need = F.least("l_matches", "matches")
     pairs = met.groupBy(F.least("l_node", "node").alias("a"), F.greatest("l_node", "node").alias("b"), need.alias("need")).agg(F.count("*").alias("c"))
     pairs = cut(pairs.where("c >= need").select("a", "b").join(stars, ["a", "b"], "left_anti"), "pairs")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietsky.llm.common import cut, table
+from quietsky.llm.common import apart, cut, table
 
 #: Kinds in their order, each with its pattern, the group that holds the value, and the value's least length.
 ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -58,11 +61,11 @@ def ownership(candidates: DataFrame, max_owners: int, max_repositories: int) ->
     return by_hash.withColumn("owned", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
 
 
-def scan_secrets(docs: DataFrame, *, key: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int = 20, every_base: bool = True) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, key: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int = 20) -> DataFrame:
     """One row for each row of docs(key, owner, text): key, owner, text_hash, base, live and examples.
 
-    base: spans of assignments, access keys and long hex runs. Their values, and other long words with letters and
-    digits, are candidates; without every_base, only values of 20 characters or more with letters and digits are. Their hashes are counted over the whole corpus by distinct repositories (documents) and
+    base: spans of assignments, access keys and long hex runs. All their values, and other long words with letters and
+    digits, are candidates. Their hashes are counted over the whole corpus by distinct repositories (documents) and
     owners (sources). A candidate that more than max_owners owners or max_repositories documents hold is a copied
     example; the others become live spans. Base spans stay in either case.
     A null or empty text has no spans; a null owner is an owner, a null key a document; repeated rows are counted once
@@ -77,21 +80,23 @@ def scan_secrets(docs: DataFrame, *, key: str = "doc_id", owner: str = "source",
     def candidate(s: Column) -> Column:
         return F.struct((s["end"] - F.length(s["value"])).alias("start"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash"))
 
-    def looking(column: str) -> Column:
-        return F.filter(column, lambda s: live_looking(s["value"]))
-
-    looks = F.concat("base" if every_base else looking("base"), looking("words"))
+    looks = F.concat("base", F.filter("words", lambda s: live_looking(s["value"])))
     light = light.withColumn("candidates", F.array_sort(F.array_distinct(F.transform(looks, candidate))))
     light = light.withColumn("base", F.transform("base", lambda s: s.dropFields("value"))).drop("words")
     light = cut(light, "secrets")
     own = [key, "owner", "text_hash", "base", "candidates"]
     rows = light.where(F.size("candidates") > 0).groupBy(*own).agg(F.count("*").alias("_n"))
+    rows = cut(rows, "candidates")
     each = rows.withColumn("c", F.explode("candidates")).withColumn("hash", F.col("c.hash"))
     verdicts = ownership(each.withColumn("repository", F.col(key)), max_owners, max_repositories)
+    # an owned hash is in few documents, so of a join on these none is hot; what is not owned is counted by subtraction
+    owned = cut(verdicts.where("owned").select("hash"), "owned")
     span = F.struct(F.col("c.start").alias("start"), F.lit(3).alias("kind"), F.col("c.end").alias("end"))
-    judged = each.join(verdicts, "hash").groupBy(*own).agg(
-        F.first("_n").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("owned"), span))).alias("live"), F.count(F.when(~F.col("owned"), 1)).alias("examples")
-    )
+    may, _ = apart(each.select(*own, "c", "hash"), F.xxhash64("hash"), owned.select(F.xxhash64("hash").alias("h")))
+    live = may.join(owned, "hash").groupBy(*own).agg(F.array_sort(F.collect_list(span)).alias("live"))
+    same = reduce(and_, [rows[c].eqNullSafe(live[c]) for c in own])
+    judged = rows.join(live, same, "left").select(*[rows[c] for c in own], "_n", F.coalesce(live["live"], F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("live"))
+    judged = judged.withColumn("examples", (F.size("candidates") - F.size("live")).cast("long"))
     judged = judged.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     out = [key, "owner", "text_hash", "base", "live", "examples"]
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
@@ -111,7 +116,7 @@ def redact(text: Column, live: Column, mark: str = "[SECRET]") -> Column:
 
 
 def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_secrets(table(spark, sf_dir, "documents"), every_base=False)  # as the SQL below
+    found = scan_secrets(table(spark, sf_dir, "documents"))
 
     def of(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
@@ -137,7 +142,7 @@ with d as (select doc_id, source, coalesce(text, '') t from documents),
 b as ({_sql_spans(0, ASSIGN, 2, 8)} union all {_sql_spans(1, ACCESS, 0, 16)} union all {_sql_spans(2, HEX, 0, 32)}),
 w as (select * from b union all {_sql_spans(3, WORDS, 0, 24)}),
 c as (select distinct doc_id, source, "end" - length("value") "start", "end", sha256("value") hash from w
-  where length("value") >= 20 and regexp_matches("value", '[0-9]') and regexp_matches("value", '[A-Za-z]')),
+  where kind < 3 or (length("value") >= 20 and regexp_matches("value", '[0-9]') and regexp_matches("value", '[A-Za-z]'))),
 o as (select hash, count(distinct coalesce(source, '')) + count(distinct case when source is null then 1 end) owners, count(distinct doc_id) repositories from c group by hash),
 l as (select c.*, owners <= 2 and repositories <= 20 owned from c join o using (hash)),
 n as (select unnest(['assign', 'access', 'hex', 'live']) name, unnest([0, 1, 2, 3]) kind),
