@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quietsky.functions.boxes import PASSES, low_pass, radius
+from quietsky.functions.boxes import PASSES, radius
 from quietsky.operators.kernels import MAD_NORMAL
+from quietsky.operators.medians import medians
+from quietsky.sources.scratch import cut
 from quietsky.sources.tables import GROUP
 
 PRODUCT = [*GROUP, "bl", "corr"]
@@ -37,13 +39,13 @@ def average_freq(df: DataFrame, k: int) -> DataFrame:
 
 def time_median(df: DataFrame) -> DataFrame:
     """Median over time of what is unflagged; 0 and flagged where there is nothing."""
-    out = df.groupBy(*PRODUCT, "chan").agg(F.median(F.when(~F.col("flag"), F.col("amp"))).alias("amp"))
+    out = medians(df, [*PRODUCT, "chan"], F.when(~F.col("flag"), F.col("amp"))).withColumnRenamed("median", "amp")
     return out.withColumn("flag", F.col("amp").isNull()).withColumn("amp", F.coalesce("amp", F.lit(0.0)))
 
 
 def median_abs(df: DataFrame, by: list[str]) -> DataFrame:
     """Median of the absolute values of what is unflagged; null where there is nothing."""
-    return df.groupBy(*by).agg(F.median(F.when(~F.col("flag"), F.abs("amp"))).alias("median_abs"))
+    return medians(df, by, F.when(~F.col("flag"), F.abs("amp"))).withColumnRenamed("median", "median_abs")
 
 
 def interpolated(df: DataFrame, column: str) -> DataFrame:
@@ -130,10 +132,12 @@ def convolve_flags(df: DataFrame, axis: str, w: int, threshold: float, keys: lis
     return df.withColumn("_over", F.coalesce(over, F.lit(False))).withColumn("hit", F.max("_over").over(line.rowsBetween(1 - w, 0))).drop("_over")
 
 
-def sum_threshold(df: DataFrame, axis: str, windows: list[int], nsigma: float, rho: float, ends: list[int]) -> DataFrame:
+def sum_threshold(df: DataFrame, axis: str, windows: list[int], nsigma: float, rho: float, ends: list[int], slice_: int | None = None) -> DataFrame:
     """Adds hit by SumThreshold along an axis; ends are the ends of its stretches, from 0 to the number of places.
 
     A sample is sent to the stretches whose windows reach it; each has its own limit. Flags count only for the limit.
+    With slice_, each stretch is cut into slices of so many places, solved in tasks of their own with as many neighbours as all windows together reach, under the
+    limit of the whole stretch; the hits are the same, and no task holds a line.
     """
     along, across = AXES[axis]
     n, reach = ends[-1], max(windows, default=1) - 1
@@ -144,9 +148,21 @@ def sum_threshold(df: DataFrame, axis: str, windows: list[int], nsigma: float, r
     stretches = [(k, a, b, max(a - reach, 0), min(b + reach, n)) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
     to = F.array(*[F.when((place >= lo) & (place < hi), F.struct(F.lit(k).alias("k"), ((place >= a) & (place < b)).alias("own"))) for k, a, b, lo, hi in stretches])
     sent = df.withColumn("_s", F.explode(F.filter(to, lambda s: s.isNotNull())))
-    part = W.partitionBy(*PRODUCT, across, F.col("_s.k"))
-    line = part.orderBy(along)
-    middle = F.median(F.when(~F.col("flag") & F.col("_s.own"), F.abs("amp"))).over(part)
+    counts = F.when(~F.col("flag") & F.col("_s.own"), F.abs("amp"))
+    keys = [*PRODUCT, across, F.col("_s.k")]
+    if slice_ is None:
+        middle = F.median(counts).over(W.partitionBy(*keys))
+        mine = F.col("_s.own")
+    else:
+        far = sum(w - 1 for w in windows)
+        by = [*PRODUCT, across, "_k"]
+        sent = sent.withColumn("_k", F.col("_s.k"))
+        limits = medians(sent, by, counts).withColumnRenamed("median", "_mid")
+        cuts = F.sequence(F.floor(F.greatest(place - far, F.lit(0)) / slice_), F.floor((place + far) / slice_))
+        sent = sent.join(limits, by).withColumn("_cut", F.explode(cuts)).repartition(*by, "_cut")
+        keys, middle = [*by, "_cut"], F.col("_mid")
+        mine = F.col("_s.own") & (F.floor(place / slice_) == F.col("_cut"))
+    line = W.partitionBy(*keys).orderBy(along)
     now = sent.withColumns({"_t0": F.coalesce(nsigma * MAD_NORMAL * middle, F.lit(float("inf"))), "_high": F.lit(False), "_low": F.lit(False)})
     for w in windows:
         t, x = F.col("_t0") / rho ** math.log2(w), F.col("amp")
@@ -156,7 +172,7 @@ def sum_threshold(df: DataFrame, axis: str, windows: list[int], nsigma: float, r
         now = now.withColumn("_m", F.when(F.count("*").over(ahead) == w, F.sum("_y").over(ahead) / w))
         now = now.withColumns({"_h": F.coalesce(F.col("_m") > F.col("_t"), F.lit(False)), "_l": F.coalesce(-F.col("_m") > F.col("_t"), F.lit(False))})
         now = now.withColumns({"_high": F.col("_high") | F.max("_h").over(behind), "_low": F.col("_low") | F.max("_l").over(behind)})
-    return now.where("_s.own").withColumn("hit", F.col("_high") | F.col("_low")).select(*df.columns, "hit")
+    return now.where(mine).withColumn("hit", F.col("_high") | F.col("_low")).select(*df.columns, "hit")
 
 
 def smeared(df: DataFrame, axis: str, extend: int) -> DataFrame:
@@ -178,23 +194,39 @@ def unaveraged(df: DataFrame, flags: DataFrame, k: int, extend: int, time_frac:
     return full.withColumn("flag", F.col("flag") | (F.col("_row") > freq_frac) | (F.col("_col") > time_frac)).drop("_row", "_col")
 
 
+def low_terms(mean: DataFrame, n_chan: int, degrees: int) -> DataFrame:
+    """PRODUCT and _terms: the first Fourier coefficients of mean(PRODUCT, chan, re, im), each a sum over channels: a row for each plane."""
+    turn = lambda k: 2 * math.pi / n_chan * F.pmod(F.col("chan") * k, F.lit(n_chan))
+    parts = []
+    for k in range(min(degrees, n_chan)):
+        c, s = F.cos(turn(k)), F.sin(turn(k))
+        parts.append(F.struct(F.sum(F.col("re") * c + F.col("im") * s).alias("re"), F.sum(F.col("im") * c - F.col("re") * s).alias("im")))
+    return mean.groupBy(*PRODUCT).agg(F.array(*parts).alias("_terms"))
+
+
+def _clipped(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds the median of what is unflagged as a column, joined by plane."""
+    return df.join(medians(df, by, F.when(~F.col("flag"), F.col(value))).withColumnRenamed("median", name), by)
+
+
 def fit_and_clip(df: DataFrame, n_chan: int, degrees: int, sigma: float, keep: bool) -> DataFrame:
     """One cycle of the fit-and-clip flagger on samples with re and im; new flags are added if keep, else they replace the old ones.
 
-    The low Fourier terms of the mean spectrum are a circular convolution: each channel's mean is sent to all channels.
+    Means by channel give each plane's low Fourier terms as sums, from which every channel's mean is made again; medians are selected. So
+    there is no row but the samples, a mean for each channel and one row of terms for each plane.
     """
     ok = ~F.col("flag") & ~F.isnan("re") & ~F.isnan("im")
-    mean = df.groupBy(*PRODUCT, "chan").agg(*[F.coalesce(F.avg(F.when(ok, F.col(p))), F.lit(0.0)).alias(p) for p in ("re", "im")])
-    h = low_pass(n_chan, degrees)
-    pulse = F.array(*[F.struct(F.lit(float(z.real)).alias("re"), F.lit(float(z.imag)).alias("im")) for z in h])
-    sent = mean.select(*PRODUCT, "re", "im", F.col("chan").alias("_c"), F.posexplode(pulse).alias("_m", "_h"))
-    r, i, hr, hi = F.col("re"), F.col("im"), F.col("_h.re"), F.col("_h.im")
-    smooth = sent.groupBy(*PRODUCT, ((F.col("_c") + F.col("_m")) % n_chan).alias("chan")).agg(F.sum(r * hr - i * hi).alias("_sr"), F.sum(r * hi + i * hr).alias("_si"))
+    mean = df.groupBy(*PRODUCT, "chan").agg(*[F.coalesce(F.avg(F.when(ok, F.col(p))), F.lit(0.0)).alias(p) for p in ("re", "im")], F.min("flag").alias("_all"))
+    terms = low_terms(mean, n_chan, degrees).join(mean.groupBy(*PRODUCT).agg(F.min("_all").alias("_done")), PRODUCT)
+    angle = lambda k: 2 * math.pi / n_chan * F.pmod(F.col("chan") * k, F.lit(n_chan))
+    turned = F.transform("_terms", lambda z, k: F.struct((z["re"] * F.cos(angle(k)) - z["im"] * F.sin(angle(k))).alias("re"), (z["re"] * F.sin(angle(k)) + z["im"] * F.cos(angle(k))).alias("im")))
+    total = lambda part: F.aggregate("_z", F.lit(0.0), lambda a, z: a + z[part]) / n_chan
+    smooth = mean.select(*PRODUCT, "chan").join(terms, PRODUCT).withColumn("_z", turned).select(*PRODUCT, "chan", "_done", total("re").alias("_sr"), total("im").alias("_si"))
     dr, di = F.col("re") - F.col("_sr"), F.col("im") - F.col("_si")
-    plane = W.partitionBy(*PRODUCT)
-    out = df.join(smooth, [*PRODUCT, "chan"]).withColumn("_away", F.when(~F.isnan("re") & ~F.isnan("im"), F.sqrt(dr * dr + di * di)))
-    out = out.withColumn("_off", F.abs(F.col("_away") - F.median(F.when(~F.col("flag"), F.col("_away"))).over(plane)))
-    mad = F.median(F.when(~F.col("flag"), F.col("_off"))).over(plane)
-    done = F.min("flag").over(plane)  # a plane that is flagged whole stays so
-    new = F.coalesce(F.col("_away") > sigma * mad, F.lit(False))
-    return out.withColumn("flag", done | (F.col("flag") | new if keep else new)).select(df.columns)
+    away = F.when(~F.isnan("re") & ~F.isnan("im"), F.sqrt(dr * dr + di * di))
+    out = cut(df.join(smooth, [*PRODUCT, "chan"]).withColumn("_away", away).drop("_sr", "_si"), "away")
+    out = _clipped(out, PRODUCT, "_away", "_mid").withColumn("_off", F.abs(F.col("_away") - F.col("_mid")))
+    out = _clipped(out, PRODUCT, "_off", "_mad")
+    new = F.coalesce(F.col("_away") > sigma * F.col("_mad"), F.lit(False))
+    # a plane that is flagged whole stays so
+    return out.withColumn("flag", F.col("_done") | (F.col("flag") | new if keep else new)).select(df.columns)

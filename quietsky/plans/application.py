@@ -30,7 +30,7 @@ class Options:
 
 def strategies_of(options: Options) -> list[dict]:
     """The file's steps, or the default ones, checked before anything is read."""
-    steps = tables.load_strategies(options.strategy_file) if options.strategy_file else strategy.DEFAULT
+    steps = strategy.DEFAULT if options.strategy_file is None else tables.load_strategies(options.strategy_file)
     strategy.checked(steps)
     return steps
 
@@ -48,7 +48,7 @@ def masks_of(spark: SparkSession, options: Options) -> DataFrame | None:
 def flag_tables(main: DataFrame, side: dict[str, DataFrame], options: Options, masks: DataFrame | None = None, strategies: list[dict] | None = None) -> DataFrame:
     """By the given strategies or those of the options, new flags of the rows of main that the options select; channels, correlations, fields and antennas come from the side tables."""
     return strategy.flag(
-        main, tables.channels_of(side), tables.correlations_of(side), strategies=strategies or strategies_of(options), mode=options.mode, scans=options.scans, fields=side["field"],
+        main, tables.channels_of(side), tables.correlations_of(side), strategies=strategies_of(options) if strategies is None else strategies, mode=options.mode, scans=options.scans, fields=side["field"],
         field_names=options.field_names, antennas=side["antenna"], masks=masks, ignore_flags=options.ignore_flags, with_model=options.subtract_column is not None,
     )
 

@@ -103,7 +103,8 @@ def flag_baselines(rows: DataFrame, strategies: list[dict], known: Instrument, k
 
     The one shuffle of data brings the rows of a baseline of a group together, as arrays; they are its window of time by channel for each
     correlation, and every step runs on that. Of several rows of one time the one with the highest row_id is in the window, and all get its flags.
-    Times that only other baselines have are NaN and flagged in it.
+    Times that only other baselines have are NaN and flagged in it, and so is what is null: a row's data or flag, a channel of it, or a number. Rows of a
+    baseline whose shapes differ raise ValueError. Without steps a row keeps the flags it has.
     """
     steps = checked(strategies)
     if not known.places and any(task == "apply_static_mask" and o.get("uvrange", "").strip() not in ("", "*") for task, o in steps):
@@ -115,12 +116,8 @@ def flag_baselines(rows: DataFrame, strategies: list[dict], known: Instrument, k
         grid = window.column("times").combine_chunks()
         times = np.sort(grid.flatten().to_numpy())
         own = window.filter(grid.is_null()).sort_by("row_id").combine_chunks()
-        data, flags = (own.column(c).combine_chunks() for c in ("data", "flag"))
-        n_chan = len(data[0])
-        n_corr = len(data[0][0])
-        values = data.flatten().flatten()
-        vis = (values.field("re").to_numpy(zero_copy_only=False) + 1j * values.field("im").to_numpy(zero_copy_only=False)).reshape(len(own), n_chan, n_corr)
-        before = flags.flatten().flatten().to_numpy(zero_copy_only=False).astype(bool).reshape(vis.shape)
+        vis, before = _planes(own.column("data").combine_chunks(), own.column("flag").combine_chunks(), field)
+        n_chan, n_corr = vis.shape[1:]
         at = np.searchsorted(times, own.column("time").to_numpy())
         new = np.zeros(vis.shape, dtype=bool)
         hits = known.hits.get(field["data_desc_id"], known.hits.get(-1, []))
@@ -140,6 +137,43 @@ def flag_baselines(rows: DataFrame, strategies: list[dict], known: Instrument, k
     return packing.gathered(rows, keep or []).groupBy(*packing.GROUP, "antenna1", "antenna2").applyInArrow(run, schema)
 
 
+def _shape(lists: pa.Array, where: dict) -> tuple[int, int]:
+    """Channels and correlations of rows of [chan][corr], null ones left out."""
+    rows = lists.drop_null()
+    channels = rows.flatten().drop_null()
+    sizes = [set(x.value_lengths().unique().to_pylist()) for x in (rows, channels)]
+    if any(len(s) > 1 for s in sizes):
+        raise ValueError(f"rows of {where} have several shapes: {sorted(sizes[0])} channels, {sorted(sizes[1])} correlations")
+    return tuple(s.pop() if s else 0 for s in sizes)
+
+
+def _planes(data: pa.Array, flags: pa.Array, where: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Values and flags as [row][chan][corr]; null is NaN and flagged."""
+    shape, other = _shape(data, where), _shape(flags, where)
+    if 0 not in shape and 0 not in other and shape != other:
+        raise ValueError(f"rows of {where} have data of {shape} and flags of {other}")
+    shape = tuple(map(max, shape, other))
+    if not (data.null_count or flags.null_count or data.flatten().null_count or flags.flatten().null_count or data.flatten().flatten().null_count):
+        values = data.flatten().flatten()
+        re, im = (values.field(part).to_numpy(zero_copy_only=False) for part in ("re", "im"))
+        return (re + 1j * im).reshape(len(data), *shape), _flags(flags.flatten().flatten()).reshape(len(data), *shape)
+    vis, before = np.full((len(data), *shape), complex(np.nan, np.nan)), np.ones((len(data), *shape), dtype=bool)
+    for i in range(len(data)):
+        for c in range(shape[0]):
+            value, flag = data[i][c].as_py() if data[i].is_valid else None, flags[i][c].as_py() if flags[i].is_valid else None
+            for k in range(shape[1]):
+                v, f = value[k] if value else None, flag[k] if flag else None
+                known = v is not None and v["re"] is not None and v["im"] is not None
+                if known:
+                    vis[i, c, k] = complex(v["re"], v["im"])
+                before[i, c, k] = not known or f is None or f
+    return vis, before
+
+
+def _flags(flat: pa.Array) -> np.ndarray:
+    return flat.fill_null(True).to_numpy(zero_copy_only=False).astype(bool)
+
+
 def apply_strategies(windows: DataFrame, strategies: list[dict], channels: DataFrame, masks: DataFrame | None = None, antennas: DataFrame | None = None) -> DataFrame:
     """bl, antenna1, antenna2, GROUP, corr, time_idx, chan and flag after all steps, for dense samples (PRODUCT, antenna1, antenna2, time_idx, chan, re, im, flag)."""
     return packing.flag_samples(flag_baselines(packing.as_rows(windows), strategies, instrument(channels, masks, antennas), ["bl", "time_idx"]))
@@ -214,7 +248,7 @@ def flag(rows: DataFrame, channels: DataFrame, corr_types: list[int] | dict[int,
     if ignore_flags:
         rows = rows.withColumn("flag", F.transform("flag", lambda c: F.transform(c, lambda k: F.lit(False))))
     ready = quantity(rows, mode, corr_types, with_model)
-    out = packing.equalised(flag_baselines(ready, strategies or DEFAULT, instrument(channels, masks, antennas)))
+    out = packing.equalised(flag_baselines(ready, DEFAULT if strategies is None else strategies, instrument(channels, masks, antennas)))
     if mode != "standard":
         own = corr_types if isinstance(corr_types, dict) else {}
         n = F.coalesce(*[F.when(F.col("data_desc_id") == d, len(c)) for d, c in own.items()]) if own else F.lit(len(corr_types))
