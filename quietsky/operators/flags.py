@@ -36,11 +36,15 @@ def dilated(mask: DataFrame, reach: int) -> DataFrame:
 def masked_channels(channels: DataFrame, masks: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, mask_id, chan: channels(chan, chan_freq, chan_width) that hold a frequency of a mask, their lower edges included.
 
-    Both tables have one row for each channel of an instrument, so the smaller one goes to all tasks.
+    Both sides are dealt to bins of the widest channel's width, a channel to each that it reaches, and joined by bin.
     """
     half = 0.5 * F.col("chan_width")
+    width = channels.agg(F.max(F.abs("chan_width"))).first()[0] or 1.0
+    reach = [F.floor((F.col("chan_freq") + sign * F.abs(half)) / width) for sign in (-1, 1)]
+    own = channels.withColumn("_bin", F.explode(F.sequence(*reach)))
+    dealt = masks.withColumn("_bin", F.floor(F.col("freq_hz") / width))
     inside = (F.col("freq_hz") >= F.col("chan_freq") - half) & (F.col("freq_hz") < F.col("chan_freq") + half)
-    return channels.join(F.broadcast(masks), inside).select(*by, "mask_id", "chan").distinct()
+    return own.join(dealt, "_bin").where(inside).select(*by, "mask_id", "chan").distinct()
 
 
 def apply_static_mask(df: DataFrame, channels: DataFrame, masks: DataFrame, antennas: DataFrame | None = None, mode: str = "or", uvrange: str = "") -> DataFrame:

@@ -91,3 +91,27 @@ def unpacked(rows: DataFrame, windows: DataFrame) -> DataFrame:
 def equalised(df: DataFrame) -> DataFrame:
     """Rows of which a channel is flagged in all correlations if it is in one; flag is [chan][corr]."""
     return df.withColumn("flag", F.transform("flag", lambda c: F.transform(c, lambda k: F.exists(c, lambda x: x))))
+
+
+def merged_chunks(df: DataFrame, by: list[str], order: str, sizes: dict[str, int]) -> DataFrame:
+    """by, chunk and the summed sizes: neighbours, in order, of df(by, order, sizes) joined while no sum is above its maximum; greedily, as grammar.merged_chunks().
+
+    df has a row for each chunk of a group, such as a scan's times, not for each sample; these lie in one array.
+    """
+    one = F.struct(F.col(order).alias("at"), *[F.col(c).cast("long").alias(c) for c in sizes])
+    lists = df.groupBy(*by).agg(F.array_sort(F.collect_list(one)).alias("_c"))
+    kind = f"struct<{', '.join(f'{c}:bigint' for c in sizes)}>"
+    empty = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("held"))
+
+    def step(so_far, c):
+        held = so_far["held"]
+        fits = held.isNotNull()
+        for name, most in sizes.items():
+            fits = fits & (held[name] + c[name] <= most)
+        joined = F.struct(*[(held[n] + c[n]).alias(n) for n in sizes])
+        alone = F.struct(*[c[n].alias(n) for n in sizes])
+        done = F.when(fits | held.isNull(), so_far["done"]).otherwise(F.concat(so_far["done"], F.array(held)))
+        return F.struct(done.alias("done"), F.when(fits, joined).otherwise(alone).alias("held"))
+
+    out = F.aggregate("_c", empty, step, lambda a: F.concat(a["done"], F.array(a["held"])))
+    return lists.select(*by, F.posexplode(out).alias("chunk", "_s")).select(*by, "chunk", *[F.col(f"_s.{c}").alias(c) for c in sizes])

@@ -1,8 +1,7 @@
 """Single steps of the SumThreshold and fit-and-clip flaggers on samples in long form, as DataFrame operations.
 
 Samples have the columns of PRODUCT, time_idx, chan, amp and flag; amp is null where there is no number. Moving windows are
-Window frames over one partitioning by PRODUCT, which every finer one accepts. Filters are passes of a box, each a difference
-of running sums. The iterated flaggers are in quietsky.operators.kernels.
+Window frames over one partitioning by PRODUCT, which every finer one accepts. Filters are passes of a box, each a moving sum. The iterated flaggers are in quietsky.operators.kernels.
 """
 
 from __future__ import annotations
@@ -20,6 +19,8 @@ from quietsky.sources.scratch import cut
 from quietsky.sources.tables import GROUP
 
 PRODUCT = [*GROUP, "bl", "corr"]
+#: Places up to which a moving sum adds its values anew.
+SLIDING = 64
 #: The column that runs along an axis, and the one that stays.
 AXES = {"time": ("time_idx", "chan"), "freq": ("chan", "time_idx")}
 
@@ -61,45 +62,46 @@ def interpolated(df: DataFrame, column: str) -> DataFrame:
 
 
 def blurred(df: DataFrame, axis: str, r: int, sums: list[str], counts: list[str], passes: int = PASSES) -> DataFrame:
-    """Sums along an axis, weighted by the box kernel, and plain counts over its support, for df's samples, which are dense.
+    """df with sums along an axis, weighted by the box kernel, and plain counts over its support, in place of these columns; samples are dense.
 
-    A pass is a difference of two places of a running sum: two window functions over one sort, whatever the radius. Each line has
-    as many empty places beyond its ends as the passes reach, for what leaves the line in one pass and comes back in the next.
+    A pass is a moving sum over 2 r + 1 places up to SLIDING, which adds nothing but its own values, so a large one nearby costs no digits; beyond, a difference of two
+    places of a running sum. Each line gets as many empty places beyond its ends as the passes reach, made from its first and last sample, for what leaves the line in one pass and
+    comes back in the next. All passes of a line share one sort.
     """
-    along, across = AXES[axis]
     if r == 0:
-        return df.select(*PRODUCT, along, across, *sums, *counts)
-    beyond, own = r * passes, df.select(*PRODUCT, along, across, *sums, *counts, F.lit(True).alias("_own"))
-    ends = df.groupBy(*PRODUCT, across).agg(F.min(along).alias("_a"), F.max(along).alias("_b"))
-    places = F.concat(F.sequence(F.col("_a") - beyond, F.col("_a") - 1), F.sequence(F.col("_b") + 1, F.col("_b") + beyond))
-    empty = [F.lit(0).cast(df.schema[c].dataType).alias(c) for c in (*sums, *counts)]
-    out = own.unionByName(ends.select(*PRODUCT, across, F.explode(places).alias(along), *empty, F.lit(False).alias("_own")))
+        return df
+    along, across = AXES[axis]
+    beyond = r * passes
     line = W.partitionBy(*PRODUCT, across).orderBy(along)
-    so_far = line.rowsBetween(W.unboundedPreceding, 0)
-
-    def within(columns: list[str], reach: int, share: float) -> dict:
-        """Sums over `reach` places to each side; F.last stands for places beyond the last one."""
-        whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        up = lambda c: F.coalesce(F.lead(f"_c{c}", reach).over(line), F.last(f"_c{c}").over(whole))
-        return {c: (up(c) - F.coalesce(F.lag(f"_c{c}", reach + 1).over(line), F.lit(0))) / share for c in columns}
-
-    running = lambda columns: {f"_c{c}": F.sum(c).over(so_far) for c in columns}
+    zero, reach = F.array(F.lit(0)), lambda a, b: F.sequence(F.lit(a), F.lit(b))
+    places = F.concat(F.when(F.lag(along).over(line).isNull(), reach(-beyond, -1)).otherwise(F.array().cast("array<int>")), zero, F.when(F.lead(along).over(line).isNull(), reach(1, beyond)).otherwise(F.array().cast("array<int>")))
+    out = df.withColumn("_places", places).withColumn("_to", F.explode("_places")).drop("_places")
+    there = F.col("_to") == 0
+    out = out.withColumns({along: F.col(along) + F.col("_to"), **{c: F.when(there, F.col(c)).otherwise(F.lit(0).cast(df.schema[c].dataType)) for c in (*sums, *counts)}})
     if counts:
-        out = out.withColumns(running(counts)).withColumns({c: v.cast("long") for c, v in within(counts, beyond, 1.0).items()})
+        out = out.withColumns({c: F.sum(c).over(line.rowsBetween(-beyond, beyond)).cast("long") if 2 * beyond < SLIDING else _difference(out, c, line, beyond) for c in counts})
     for _ in range(passes):
-        out = out.withColumns(running(sums)).withColumns(within(sums, r, 2.0 * r + 1))
-    return out.where("_own").select(*PRODUCT, along, across, *sums, *counts)
+        if 2 * r < SLIDING:
+            out = out.withColumns({c: F.sum(c).over(line.rowsBetween(-r, r)) / (2.0 * r + 1) for c in sums})
+        else:
+            out = out.withColumns({c: _difference(out, c, line, r) / (2.0 * r + 1) for c in sums})
+    return out.where("_to = 0").drop("_to")
+
+
+def _difference(df: DataFrame, column: str, line: W, reach: int) -> Column:
+    """The sum over `reach` places to each side, from running sums."""
+    upto = F.sum(column).over(line.rowsBetween(W.unboundedPreceding, reach))
+    before = F.coalesce(F.sum(column).over(line.rowsBetween(W.unboundedPreceding, -reach - 1)), F.lit(0))
+    return (upto - before).cast(df.schema[column].dataType)
 
 
 def masked_gaussian(df: DataFrame, sigma: tuple[float, float], passes: int = PASSES) -> DataFrame:
     """Adds smooth: a weighted mean over time and frequency of what is unflagged, null where the support has nothing. Samples are dense."""
     ok = ~F.col("flag")
-    own = df.withColumns({"_v": F.when(ok, F.coalesce("amp", F.lit(0.0))).otherwise(0.0), "_u": F.when(ok, 1.0).otherwise(0.0), "_n": F.when(ok, 1).otherwise(0).cast("long")})
-    own = own.select(*PRODUCT, "time_idx", "chan", "_v", "_u", "_n")
+    out = df.withColumns({"_v": F.when(ok, F.coalesce("amp", F.lit(0.0))).otherwise(0.0), "_u": F.when(ok, 1.0).otherwise(0.0), "_n": F.when(ok, 1).otherwise(0).cast("long")})
     for axis, s in zip(("time", "freq"), sigma, strict=True):
-        own = blurred(own, axis, radius(s, passes), ["_v", "_u"], ["_n"], passes)
-    joined = df.join(own, [*PRODUCT, "time_idx", "chan"], "left")
-    return joined.withColumn("smooth", F.when(F.col("_n") > 0, F.try_divide("_v", "_u"))).drop("_v", "_u", "_n")
+        out = blurred(out, axis, radius(s, passes), ["_v", "_u"], ["_n"], passes)
+    return out.withColumn("smooth", F.when(F.col("_n") > 0, F.try_divide("_v", "_u"))).drop("_v", "_u", "_n")
 
 
 def chunk_of(chan: Column, ends: list[int]) -> Column:
@@ -111,16 +113,16 @@ def chunk_of(chan: Column, ends: list[int]) -> Column:
 
 
 def background(df: DataFrame, iterations: int, spike: tuple[float, float], reject: float, ends: list[int]) -> DataFrame:
-    """Adds background: as the kernel of the same name, one join of filters for each iteration; for a few of them."""
-    now = df
+    """Adds background, as the kernel of the same name. df's columns go through all filters, so nothing is joined."""
+    now = df.withColumn("_flag", F.col("flag"))
     for wide in range(iterations, 0, -1):
         smooth = masked_gaussian(now, (wide * spike[0], wide * spike[1]))
         away = F.abs(F.col("amp") - F.col("smooth"))
         stretch = W.partitionBy(*PRODUCT, chunk_of(F.col("chan"), ends))
         limit = MAD_NORMAL * reject * F.median(F.when(~F.col("flag"), away)).over(stretch)
         now = smooth.withColumn("flag", F.col("flag") | F.coalesce(away > limit, F.lit(False))).drop("smooth")
-    smooth = interpolated(masked_gaussian(now, spike), "smooth").select(*PRODUCT, "time_idx", "chan", F.col("smooth").alias("background"))
-    return df.join(smooth, [*PRODUCT, "time_idx", "chan"])
+    smooth = interpolated(masked_gaussian(now, spike), "smooth").withColumn("flag", F.col("_flag"))
+    return smooth.withColumnRenamed("smooth", "background").drop("_flag")
 
 
 def convolve_flags(df: DataFrame, axis: str, w: int, threshold: float, keys: list[str] = PRODUCT) -> DataFrame:

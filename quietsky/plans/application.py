@@ -38,11 +38,7 @@ def strategies_of(options: Options) -> list[dict]:
 def masks_of(spark: SparkSession, options: Options) -> DataFrame | None:
     """mask_id and freq_hz of what the mask files mask, dilated; None without files."""
     files = tables.find_masks(options.mask_file, options.mask_folders)
-    every = None
-    for i, name in enumerate(files):
-        own = tables.load_mask(spark, name, i, options.dilate)
-        every = own if every is None else every.unionByName(own)
-    return None if every is None else every.where("masked").select("mask_id", "freq_hz")
+    return tables.read_masks(spark, files, options.dilate).where("masked").select("mask_id", "freq_hz") if files else None
 
 
 def flag_tables(main: DataFrame, side: dict[str, DataFrame], options: Options, masks: DataFrame | None = None, strategies: list[dict] | None = None) -> DataFrame:
@@ -60,7 +56,7 @@ def counts(rows: DataFrame, side: dict[str, DataFrame]) -> DataFrame:
 
 
 def run(spark: SparkSession, path: str, out: str, options: Options) -> list[str]:
-    """Flags the tables in the folder `path` (main and the side tables), writes the flags to out, and returns the report.
+    """Flags the tables in the folder `path` (main and the side tables), commits the flags to out, and returns the report.
 
     A selection that no row meets raises ValueError before anything is written.
     """
@@ -70,9 +66,9 @@ def run(spark: SparkSession, path: str, out: str, options: Options) -> list[str]
     chosen = strategy.selected(main, options.scans, side["field"], options.field_names)
     if chosen.isEmpty():
         raise ValueError(f"no rows with scans {options.scans or 'all'} and fields {options.field_names or 'all'}")
-    tables.write_flags(flag_tables(main, side, options, masks_of(spark, options), steps), out)
+    tables.commit_flags(flag_tables(main, side, options, masks_of(spark, options), steps), out)
     groups = chosen.select(*tables.GROUP).distinct()
-    now = spark.read.parquet(out).join(groups, tables.GROUP, "left_semi")
+    now = tables.read_flags(spark, out).join(groups, tables.GROUP, "left_semi")
     return [f"{len(steps)} steps", *stats.report(counts(now, side), counts(chosen, side))]
 
 

@@ -5,16 +5,19 @@ Doubles are rounded to six places on both sides, and NaN is null in what a query
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quietsky.functions import boxes, grammar, stokes
 from quietsky.functions.complexes import residual
-from quietsky.operators import flags, packing, selection, stats
+from quietsky.operators import flags, iterated, packing, selection, stats
 from quietsky.operators import threshold as th
 from quietsky.plans import application, strategy
-from quietsky.sources import fixtures
+from quietsky.sources import fixtures, tables
+from quietsky.sources.scratch import folder
 
 LINEAR, CIRCULAR = [9, 10, 11, 12], [5, 6, 7, 8]
 CELL = ["bl", "time_idx", "chan"]
@@ -189,9 +192,14 @@ def static_mask_override(spark, d):
     return flags.apply_static_mask(fixtures.spectra(spark, d), fixtures.channels(spark), fixtures.masks(spark), fixtures.antennas(spark), "override", "0~150").select(*CELL, "flag")
 
 
-@query("select 0 mask_id, c::int chan_idx, coalesce(bool_or(c % 20 = 7) over (order by c rows between 3 preceding and 3 following), false) masked from range(64) r(c)")
+@query(
+    f"with {_E1}, m as (select bl mask_id, chan chan_idx, coalesce(bool_or(re > 4.4), false) masked from e1 group by all) "
+    "select mask_id, chan_idx, bool_or(masked) over (partition by mask_id order by chan_idx rows between 3 preceding and 3 following) masked from m"
+)
 def mask_dilate(spark, d):
-    mask = spark.range(64).select(F.lit(0).alias("mask_id"), F.col("id").cast("int").alias("chan_idx"), (F.col("id") % 20 == 7).alias("masked"))
+    """A mask for each baseline: channels that had a high sample, and three more to each side."""
+    high = F.coalesce(F.max(F.col("amp") > 4.4), F.lit(False))
+    mask = _e1(spark, d).groupBy(F.col("bl").alias("mask_id"), F.col("chan").alias("chan_idx")).agg(high.alias("masked"))
     return flags.dilated(mask, grammar.dilation("30MHz", fixtures.FREQ_STEP))
 
 
@@ -237,12 +245,12 @@ def box_filter_freq(spark, d):
 
 
 def _smooth(src: str, out: str, k1: str, k2: str, flag: str = "flag") -> str:
-    return f"""{out}t as (select bl, chan, time_idx + o time_idx, sum(coalesce(re, 0) * w) v, sum(w) u, count(*) n from {src}, {k1} where not {flag} group by bl, chan, time_idx + o),
-{out}f as (select bl, time_idx, chan + o chan, sum(v * w) v, sum(u * w) u, sum(n) n from {out}t, {k2} group by bl, time_idx, chan + o),
-{out} as (select e.*, case when n > 0 then v / u end bg from {src} e left join {out}f f using (bl, time_idx, chan))"""
+    return f"""{out}t as materialized (select bl, chan, time_idx + o time_idx, sum(coalesce(re, 0) * w) v, sum(w) u, count(*) n from {src}, {k1} where not {flag} group by bl, chan, time_idx + o),
+{out}f as materialized (select bl, time_idx, chan + o chan, sum(v * w) v, sum(u * w) u, sum(n) n from {out}t, {k2} group by bl, time_idx, chan + o),
+{out} as materialized (select e.*, case when n > 0 then v / u end bg from {src} e left join {out}f f using (bl, time_idx, chan))"""
 
 
-@query(f"with {_E1}, {_kernel(1, 'k1')}, {_kernel(2, 'k2')}, {_smooth('e1', 's', 'k1', 'k2')} select bl, time_idx, chan, round(bg, 6) smooth from s")
+@query(f"with {_E1}, own as materialized (select * from e1), {_kernel(1, 'k1')}, {_kernel(2, 'k2')}, {_smooth('own', 's', 'k1', 'k2')} select bl, time_idx, chan, round(bg, 6) smooth from s")
 def masked_gaussian(spark, d):
     return th.masked_gaussian(_e1(spark, d), (2.0, 3.0)).select(*CELL, r6("smooth").alias("smooth"))
 
@@ -384,24 +392,43 @@ def _background_ctes(name: str, src: str, k1: str, k2: str) -> str:
 {name} as materialized (select bl, time_idx, chan, re - y x, kept flag from {name}_l)"""
 
 
+def _major(p: str, src: str) -> str:
+    """CTEs up to {p}new(bl, time_idx, chan, new): what one major iteration finds in src(bl, time_idx, chan, re, flag)."""
+    return f"""{p}i0 as materialized (select bl, time_idx, chan, re is null missing, flag or re is null flag, case when flag or re is null then 0 else re end re from {src}),
+{p}v as materialized (select bl, 0 time_idx, chan, coalesce(median(case when not flag then re end), 0) re, count(*) filter (not flag) = 0 flag from {p}i0 group by bl, chan),
+{_background_ctes(f"{p}p", f"{p}v", "k0", "k2")}, {_threshold_ctes(f"{p}ps", f"{p}p", "bl, time_idx, chan", "bl, time_idx", "chan", ENDS)},
+{p}i1 as materialized (select i.bl, i.time_idx, i.chan, re, missing, flag or hit flag, hit from {p}i0 i join {p}ps ps on ps.bl = i.bl and ps.chan = i.chan),
+{_background_ctes(f"{p}b", f"(select bl, time_idx, chan, re, flag from {p}i1)", "k1", "k2")},
+{_threshold_ctes(f"{p}ts", f"{p}b", "bl, time_idx, chan", "bl, chan", "time_idx", [0, 1 << 30])},
+{p}b2 as materialized (select b.bl, b.time_idx, b.chan, x, flag or hit flag from {p}b b join {p}ts ts using (bl, time_idx, chan)),
+{_threshold_ctes(f"{p}fs", f"{p}b2", "bl, time_idx, chan", "bl, time_idx", "chan", ENDS)},
+{p}g as (select i1.bl, i1.time_idx, i1.chan, missing, i1.hit or ts.hit or fs.hit g from {p}i1 i1 join {p}ts ts using (bl, time_idx, chan) join {p}fs fs using (bl, time_idx, chan)),
+{p}g1 as materialized (select *, bool_or(g) over (partition by bl, chan order by time_idx rows between 1 preceding and 1 following) a from {p}g),
+{p}g2 as materialized (select *, bool_or(a) over (partition by bl, time_idx order by chan rows between 1 preceding and 1 following) f from {p}g1),
+{p}new as materialized (select bl, time_idx, chan, f or missing or avg(f::int::double) over (partition by bl, time_idx) > 0.8 or avg(f::int::double) over (partition by bl, chan) > 0.6 new from {p}g2)"""
+
+
+_KERNELS = f"{_kernel(0, 'k0')}, {_kernel(1, 'k1')}, {_kernel(2, 'k2')}"
+_SMALL_STEPS = {"freq_chunks": 4, "spike_width_time": 2.0, "spike_width_freq": 3.0}
+
+
 @query(
-    f"""with {_E1}, {_kernel(0, "k0")}, {_kernel(1, "k1")}, {_kernel(2, "k2")},
-i0 as materialized (select bl, time_idx, chan, re is null missing, flag or re is null flag, case when flag or re is null then 0 else re end re from e1),
-v as materialized (select bl, 0 time_idx, chan, coalesce(median(case when not flag then re end), 0) re, count(*) filter (not flag) = 0 flag from i0 group by bl, chan),
-{_background_ctes("p", "v", "k0", "k2")}, {_threshold_ctes("ps", "p", "bl, time_idx, chan", "bl, time_idx", "chan", ENDS)},
-i1 as materialized (select i.bl, i.time_idx, i.chan, re, missing, flag or hit flag, hit from i0 i join ps on ps.bl = i.bl and ps.chan = i.chan),
-{_background_ctes("b", "(select bl, time_idx, chan, re, flag from i1)", "k1", "k2")},
-{_threshold_ctes("ts", "b", "bl, time_idx, chan", "bl, chan", "time_idx", [0, 1 << 30])},
-b2 as materialized (select b.bl, b.time_idx, b.chan, x, flag or hit flag from b join ts using (bl, time_idx, chan)),
-{_threshold_ctes("fs", "b2", "bl, time_idx, chan", "bl, time_idx", "chan", ENDS)},
-g as (select i1.bl, i1.time_idx, i1.chan, e1.flag before, missing, i1.hit or ts.hit or fs.hit g from i1 join ts using (bl, time_idx, chan) join fs using (bl, time_idx, chan) join e1 using (bl, time_idx, chan)),
-g1 as materialized (select *, bool_or(g) over (partition by bl, chan order by time_idx rows between 1 preceding and 1 following) a from g),
-g2 as materialized (select *, bool_or(a) over (partition by bl, time_idx order by chan rows between 1 preceding and 1 following) f from g1)
-select bl, time_idx, chan, before or f or missing or avg(f::int::double) over (partition by bl, time_idx) > 0.8 or avg(f::int::double) over (partition by bl, chan) > 0.6 flag from g2"""
+    f"""with {_E1}, {_KERNELS}, {_major("x", "(select bl, time_idx, chan, re, flag from e1)")},
+seen as materialized (select bl, time_idx, chan, re, flag or new flag from e1 join xnew using (bl, time_idx, chan)), {_major("y", "seen")}
+select bl, time_idx, chan, new flag from ynew"""
+)
+def sum_threshold_two_majors(spark, d):
+    """The whole SumThreshold flagger as DataFrame steps, in two major iterations with four stretches of channels: the new flags."""
+    found = iterated.sum_threshold_flagger(_e1(spark, d), fixtures.N_CHAN, num_major_iterations=2, **_SMALL_STEPS)
+    return found.select(*CELL, "flag")
+
+
+@query(
+    f"with {_E1}, {_KERNELS}, {_major('x', '(select bl, time_idx, chan, re, flag from e1)')} select bl, time_idx, chan, flag or new flag from e1 join xnew using (bl, time_idx, chan)"
 )
 def sum_threshold_one_major(spark, d):
     """The whole SumThreshold flagger, in one major iteration with four stretches of channels; the input's flags stay."""
-    own = {"num_major_iterations": 1, "freq_chunks": 4, "spike_width_time": 2.0, "spike_width_freq": 3.0}
+    own = {"num_major_iterations": 1, **_SMALL_STEPS}
     known = strategy.instrument(fixtures.channels(spark), None, None)
     rows = fixtures.spectra_rows(spark, d)
     new = strategy.flag_baselines(rows, [{"name": "st", "task": "sum_threshold", "kwargs": own}], known, ["bl", "time_idx"])
@@ -477,6 +504,23 @@ def tables_to_flags_polarisation(spark, d):
     return _tables(spark, d, "polarisation")
 
 
+@query(_AMPLITUDE)
+def flags_through_files(spark, d):
+    """Tables and mask files that are written, read, flagged and committed twice; what is read back are the last flags of each group."""
+    place = f"{folder(spark)}/observation-{uuid.uuid4().hex}"
+    fixtures.described_rows(spark, d).write.partitionBy(*tables.GROUP).parquet(f"{place}/main")
+    for name, side in fixtures.side_tables(spark).items():
+        side.write.parquet(f"{place}/{name}")
+    masks = fixtures.mask_files(spark, f"{place}/masks")
+    main, side = tables.read_visibilities(spark, f"{place}/main"), tables.read_side_tables(spark, place)
+    options = application.Options(scans="0~3", field_names=["3C286", "1"])
+    found = tables.read_masks(spark, masks).where("masked").select("mask_id", "freq_hz")
+    tables.commit_flags(application.flag_tables(main, side, options, found, []), f"{place}/flags")
+    tables.commit_flags(application.flag_tables(main, side, options, found, _PLAIN), f"{place}/flags")
+    both = tables.read_flags(spark, f"{place}/flags").select("row_id", "data_desc_id", F.posexplode("flag").alias("chan", "f"))
+    return both.select("row_id", "data_desc_id", "chan", F.posexplode("f").alias("corr", "flag"))
+
+
 _NAMES = "['A1', 'A2', 'A3', 'A4']"
 _S = "sum(flag::int)::bigint flagged, count(*)::bigint size"
 
@@ -546,10 +590,17 @@ def combine_input(spark, d):
     return flags.combine_with_input(flags.flag_nans_and_zeros(flags.unflag(kept))).select("row_id", "chan", "corr", "flag")
 
 
-@query("select * from (values (0, 0, 7::bigint), (0, 1, 9), (0, 2, 6), (0, 3, 7), (1, 0, 2), (1, 1, 2), (1, 2, 1), (1, 3, 1)) t(list, place, size)")
+@query(
+    f"""with recursive {_E2}, c as (select scan_number, t, count(*) n, count(*) filter (row_id % 3 = 0) kept, row_number() over (partition by scan_number order by t) i from e2 group by scan_number, t),
+r as (select scan_number, i, n, kept, 0 chunk from c where i = 1
+  union all select c.scan_number, c.i, case when r.n + c.n <= 17 and r.kept + c.kept <= 6 then r.n + c.n else c.n end, case when r.n + c.n <= 17 and r.kept + c.kept <= 6 then r.kept + c.kept else c.kept end,
+    case when r.n + c.n <= 17 and r.kept + c.kept <= 6 then r.chunk else r.chunk + 1 end from r join c on c.scan_number = r.scan_number and c.i = r.i + 1)
+select scan_number, chunk, max(n)::bigint n, max(kept)::bigint kept from r group by all"""
+)
 def chunk_aggregate(spark, d):
-    out = grammar.merged_chunks([(3, 4, 6, 3, 6, 7), (1, 1, 1, 1, 1, 1)], [10, 3])
-    return spark.createDataFrame([(i, j, n) for i, c in enumerate(out) for j, n in enumerate(c)], "list int, place int, size long")
+    """Times of a scan joined to chunks of at most 17 rows, six of them of one kind."""
+    times = fixtures.rows(spark, d).groupBy("scan_number", "time").agg(F.count("*").alias("n"), F.count_if(F.col("row_id") % 3 == 0).alias("kept"))
+    return packing.merged_chunks(times, ["scan_number"], "time", {"n": 17, "kept": 6})
 
 
 _EV = """k as (select event_type, (dense_rank() over (order by event_type) - 1)::int corr from (select distinct event_type from events)),

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quietsky.sources.tables import write_bytes
+
 #: Baselines of four antennas, by number.
 PAIRS = [(0, 0), (0, 1), (1, 1), (0, 2), (1, 2), (2, 2), (0, 3), (1, 3), (2, 3), (3, 3)]
 N_CHAN = 64
@@ -95,6 +100,18 @@ def side_tables(spark: SparkSession) -> dict[str, DataFrame]:
     }
 
 
+def mask_files(spark: SparkSession, place: str) -> list[str]:
+    """Files of masks(): of each mask the frequencies of all of them, of which its own are masked."""
+    kinds = np.dtype([("masked", bool), ("freq", np.float64)])
+    names = []
+    for mask in sorted({m for m, _ in MASKS}):
+        content = io.BytesIO()
+        np.save(content, np.array([(m == mask, f) for m, f in MASKS], dtype=kinds))
+        names.append(f"{place}/{mask}.npy")
+        write_bytes(spark, names[-1], content.getvalue())
+    return names
+
+
 def event_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as sparse samples: a mean value for each baseline, kind, hour and channel."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts", "value")

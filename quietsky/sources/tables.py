@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,9 +68,15 @@ def find_masks(filename: str = "", folders: tuple[str, ...] = ()) -> list[str]:
 def load_mask(spark: SparkSession, filename: str, mask_id: int = 0, dilate: int | str | None = None) -> DataFrame:
     """mask_id, chan_idx, freq_hz, masked of a mask file: records of (bool, float64), the flag and the channel's frequency.
 
-    A mask has a row for each channel, so it is read on the driver, and dilated there.
+    A mask has a row for each channel, so it is read on the driver, and dilated there; read_masks() reads many in tasks.
     """
-    raw = np.load(filename)
+    masked, freq = parsed_mask(Path(filename).read_bytes(), filename, dilate)
+    return spark.createDataFrame([(mask_id, i, float(f), bool(m)) for i, (m, f) in enumerate(zip(masked, freq, strict=True))], "mask_id int, chan_idx int, freq_hz double, masked boolean")
+
+
+def parsed_mask(content: bytes, filename: str, dilate: int | str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Flags, dilated, and frequencies of a mask file's content."""
+    raw = np.load(io.BytesIO(content))
     kinds = [raw.dtype[i] for i in range(len(raw.dtype))] if raw.dtype.names else []
     if kinds != [np.dtype(bool), np.dtype(np.float64)]:
         raise ValueError(f"{filename} has no records of a boolean and a double")
@@ -74,7 +84,48 @@ def load_mask(spark: SparkSession, filename: str, mask_id: int = 0, dilate: int
     reach = dilation(dilate, float(freq[1] - freq[0]) if len(freq) > 1 else 1.0)
     if reach:
         masked = np.convolve(masked, np.ones(2 * reach + 1), "same") > 0.5 if len(masked) > 2 * reach else np.full(len(masked), masked.any()) & np.array([masked[max(0, i - reach) : i + reach + 1].any() for i in range(len(masked))])
-    return spark.createDataFrame([(mask_id, i, float(f), bool(m)) for i, (m, f) in enumerate(zip(masked, freq, strict=True))], "mask_id int, chan_idx int, freq_hz double, masked boolean")
+    return masked, freq
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, wherever Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A new file; one that is there raises."""
+    place, fs = _hadoop(spark, path)
+    out = fs.create(place, False)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def read_masks(spark: SparkSession, files: list[str], dilate: int | str | None = None) -> DataFrame:
+    """mask_id, chan_idx, freq_hz and masked of mask files, numbered in the order of the list; read and dilated in tasks, from any store that Spark reads.
+
+    A file without such records fails the job by a ValueError with its name. No files give no rows.
+    """
+    kind = "mask_id int, chan_idx int, freq_hz double, masked boolean"
+    if not files:
+        return spark.createDataFrame([], kind)
+    names = []
+    for i, name in enumerate(files):
+        place, fs = _hadoop(spark, name)
+        names.append((i, fs.makeQualified(place).toUri().getPath()))
+    number = F.broadcast(spark.createDataFrame(names, "mask_id int, _at string"))  # a row for each file
+    content = spark.read.format("binaryFile").load(files).select(F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "").alias("_at"), "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, content, at in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                masked, freq = parsed_mask(content, at, dilate)
+                columns = [np.full(len(freq), i, dtype=np.int32), np.arange(len(freq), dtype=np.int32), freq, masked]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["mask_id", "chan_idx", "freq_hz", "masked"])
+
+    return content.join(number, "_at").select("mask_id", "content", "_at").mapInArrow(run, kind)
 
 
 def load_strategies(filename: str) -> list[dict]:
@@ -91,3 +142,44 @@ def load_strategies(filename: str) -> list[dict]:
 def write_flags(flags: DataFrame, path: str) -> None:
     """Writes flags beside the input, over the groups that they hold and no others."""
     flags.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*GROUP).parquet(path)
+
+
+def commit_flags(flags: DataFrame, path: str) -> str:
+    """Writes flags as a new version of their groups, and then commits it; returns the version's name.
+
+    Until the commit, which is one new file, readers see what they saw before, so a job that fails or is lost changes nothing. Of two writers that
+    commit at once one raises. An earlier version stays as it is for whoever reads it.
+    """
+    spark, version = flags.sparkSession, uuid.uuid4().hex
+    before = [n for n, _ in commits(spark, path)]
+    flags.write.partitionBy(*GROUP).parquet(f"{path}/version={version}")
+    write_bytes(spark, f"{path}/_commits/{max(before, default=0) + 1:012d}", version.encode())
+    return version
+
+
+def commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Numbers and versions of what has been committed, in order."""
+    place, fs = _hadoop(spark, f"{path}/_commits")
+    files = fs.listStatus(place) if fs.exists(place) else []
+    text = spark._jvm.org.apache.commons.io.IOUtils
+    out = []
+    for f in files:
+        name = f.getPath().getName()
+        if name.isdigit():
+            stream = fs.open(f.getPath())
+            try:
+                out.append((int(name), text.toString(stream, "UTF-8")))
+            finally:
+                stream.close()
+    return sorted(out)
+
+
+def read_flags(spark: SparkSession, path: str) -> DataFrame:
+    """Of each group the flags of the last committed version that holds it. Without a commit FileNotFoundError."""
+    known = commits(spark, path)
+    if not known:
+        raise FileNotFoundError(f"no flags have been committed to {path}")
+    every = spark.read.option("basePath", path).parquet(*[f"{path}/version={v}" for _, v in known])
+    order = F.broadcast(spark.createDataFrame(known, "_n long, version string"))  # a row for each commit
+    last = every.select("version", *GROUP).distinct().join(order, "version").groupBy(*GROUP).agg(F.max_by("version", "_n").alias("version"))
+    return every.join(last, [*GROUP, "version"]).drop("version")

@@ -8,8 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quietsky.operators import iterated, kernels, medians
+from quietsky.functions import grammar
+from quietsky.operators import flags, iterated, kernels, medians, packing
 from quietsky.operators import threshold as th
+from quietsky.plans import application, strategy
+from quietsky.sources import fixtures, tables
 
 from .test_flagging import long, noisy, plane
 
@@ -107,3 +110,108 @@ def test_wide_fit_makes_few_rows(spark):
     df = spark.range(2 * n).selectExpr("cast(id % 512 as int) as chan", "cast(id div 512 as int) as time_idx", "sin(id) as re", "cos(id) as im", "false as flag", *(keys.split(", ")))
     out = th.fit_and_clip(df, n, 20, 3.0, True)
     assert out.count() == 2 * n and "Generate" not in out._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("radius", [2, 40])
+def test_filters_equal_the_kernel_at_any_radius(spark, radius):
+    rng = np.random.default_rng(radius)
+    x = rng.normal(2, 1, (3, 150))
+    df = long(spark, x, np.zeros(x.shape, bool))
+    for axis, number in (("freq", 1), ("time", 0)):
+        got = plane(th.blurred(df, axis, radius, ["amp"], []), "amp", x.shape).astype(float)
+        assert np.allclose(got, kernels.box(x, radius, 4, number), rtol=1e-12, atol=1e-12)
+
+
+def test_a_large_spike_costs_its_neighbours_no_digits(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(2, 1, (1, 300))
+    plain = plane(th.blurred(long(spark, x, np.zeros(x.shape, bool)), "freq", 3, ["amp"], []), "amp", x.shape).astype(float)
+    x[0, 20] = 1e12
+    spiked = plane(th.blurred(long(spark, x, np.zeros(x.shape, bool)), "freq", 3, ["amp"], []), "amp", x.shape).astype(float)
+    assert (spiked[0, 33:] == plain[0, 33:]).all() and spiked[0, 20] > 1e9
+
+
+def test_committed_flags_survive_a_failed_run(spark, tmp_path):
+    path = str(tmp_path / "flags")
+    kind = "field_id int, data_desc_id int, scan_number int, row_id long, flag boolean"
+    old = spark.createDataFrame([(0, 0, s, i, False) for s in (1, 2) for i in range(50)], kind)
+    with pytest.raises(FileNotFoundError):
+        tables.read_flags(spark, path)
+    tables.commit_flags(old, path)
+    before = sorted(map(tuple, tables.read_flags(spark, path).select(*old.columns).collect()))
+    assert before == sorted(map(tuple, old.collect()))
+
+    def fails(batches):
+        for batch in batches:
+            yield batch
+        raise RuntimeError("this task is lost")
+
+    with pytest.raises(Exception, match="this task is lost"):
+        tables.commit_flags(old.withColumn("flag", F.lit(True)).mapInArrow(fails, kind), path)
+    assert sorted(map(tuple, tables.read_flags(spark, path).select(*old.columns).collect())) == before
+    tables.commit_flags(old.where("scan_number = 2").withColumn("flag", F.lit(True)), path)
+    got = tables.read_flags(spark, path)
+    assert {(r["scan_number"], r["flag"]) for r in got.collect()} == {(1, False), (2, True)} and got.count() == 100
+    with pytest.raises(Exception, match="exist"):
+        tables.write_bytes(spark, f"{path}/_commits/{2:012d}", b"x")
+
+
+def test_masks_are_read_in_tasks(spark, tmp_path):
+    kinds = np.dtype([("m", bool), ("f", np.float64)])
+    files = []
+    for name, hit in (("b one", 3), ("a", 7)):
+        files.append(str(tmp_path / f"{name}.npy"))
+        np.save(files[-1], np.array([(i == hit, 1e6 * i) for i in range(12)], dtype=kinds))
+    got = tables.read_masks(spark, files, 1)
+    assert {(r["mask_id"], r["chan_idx"]) for r in got.where("masked").collect()} == {(0, 2), (0, 3), (0, 4), (1, 6), (1, 7), (1, 8)}
+    for i, f in enumerate(files):
+        same = tables.load_mask(spark, f, i, 1)
+        assert got.where(F.col("mask_id") == i).exceptAll(same).count() == 0
+    assert tables.read_masks(spark, []).count() == 0
+    np.save(tmp_path / "bad.npy", np.zeros(3))
+    with pytest.raises(Exception, match="bad.npy has no records"):
+        tables.read_masks(spark, [str(tmp_path / "bad.npy")]).collect()
+
+
+def test_masks_meet_channels_by_bins(spark):
+    channels = spark.createDataFrame([(0, c, 1e6 * c, w) for c, w in enumerate([1e6, 1e6, 3e6, -1e6, 0.0, 1e6])], "data_desc_id int, chan int, chan_freq double, chan_width double")
+    masks = spark.createDataFrame([(0, f) for f in (-0.5e6, 0.5e6, 1.4999e6, 3.4999e6, 5.5e6, 3e6, 4e6)], "mask_id int, freq_hz double")
+    out = flags.masked_channels(channels, masks, ("data_desc_id",))
+    want = {c for c, w in enumerate([1e6, 1e6, 3e6, -1e6, 0.0, 1e6]) if any(1e6 * c - w / 2 <= f < 1e6 * c + w / 2 for (f,) in masks.select("freq_hz").collect())}
+    assert {r["chan"] for r in out.collect()} == want == {0, 1, 2}
+    assert "NestedLoop" not in out._jdf.queryExecution().toString()
+    assert flags.masked_channels(channels.limit(0), masks).count() == 0
+
+
+def test_chunks_equal_the_plain_list(spark):
+    rng = random.Random(3)
+    a, b = [rng.randint(1, 9) for _ in range(60)], [rng.randint(0, 3) for _ in range(60)]
+    df = spark.createDataFrame([(1, i, x, y) for i, (x, y) in enumerate(zip(a, b, strict=True))], "g int, t int, a int, b int")
+    got = packing.merged_chunks(df, ["g"], "t", {"a": 20, "b": 5}).orderBy("chunk").collect()
+    want = grammar.merged_chunks([tuple(a), tuple(b)], [20, 5])
+    assert (tuple(r["a"] for r in got), tuple(r["b"] for r in got)) == tuple(want)
+
+
+def test_an_empty_list_has_no_steps_and_null_data_is_flagged(spark):
+    rows = fixtures.rows(spark, "/root/testdata/sf0.001").where("scan_number = 0")
+    channels = fixtures.channels(spark).where("chan < 8")
+    run = lambda df, steps: strategy.flag(df, channels, [9, 10, 11, 12], strategies=steps)
+    count = lambda df: df.select(F.sum(F.size(F.filter(F.flatten("flag"), lambda f: f)))).first()[0]
+    own = rows.withColumn("flag", F.transform("flag", lambda c: F.transform(c, lambda k: F.exists(c, lambda x: x))))
+    last = rows.groupBy("antenna1", "antenna2", "time").agg(F.max("row_id").alias("row_id"))
+    kept = run(rows, []).join(last, "row_id", "left_semi")
+    assert count(kept) == count(own.join(last, "row_id", "left_semi"))
+    empty = application.flag_tables(fixtures.described_rows(spark, "/root/testdata/sf0.001"), fixtures.side_tables(spark), application.Options(scans="0"), None, [])
+    assert 0 < count(empty) < empty.count() * 32
+
+    one = rows.agg(F.max("row_id")).first()[0]
+    for column in ("data", "flag"):
+        nulled = rows.withColumn(column, F.when(F.col("row_id") != one, F.col(column)))
+        got = run(nulled, [{"name": "n", "task": "flag_nans_zeros"}])
+        assert got.count() == rows.count() and all(map(all, got.where(F.col("row_id") == one).first()["flag"]))
+    part = rows.withColumn("data", F.when(F.col("row_id") == one, F.transform("data", lambda c, i: F.when(i != 2, c))).otherwise(F.col("data")))
+    got = run(part, []).where(F.col("row_id") == one).first()["flag"]
+    assert all(got[2]) and not all(map(all, got))
+    mixed = rows.withColumn("data", F.when(F.col("row_id") == one, F.slice("data", 1, 3)).otherwise(F.col("data")))
+    with pytest.raises(Exception, match="several shapes"):
+        run(mixed, []).collect()
