@@ -21,7 +21,10 @@ LEAST_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: those with no letters, and those between codewords. The model is learned from docs."""
+    """Drops documents without a language: those with no letters, and those between codewords. The model is learned from docs.
+
+    Null and empty texts have no letters, so their rows go; repeated rows are judged alike, texts of any length whole; an empty table stays empty, other columns stay.
+    """
     found = language.language_of(F.col("text"), language.learned(docs), spark)
     return docs.where((found["lang_pred"] != language.UNKNOWN) & ~(found["ambiguous"] & (found["score"] < LEAST_SCORE)))
 
@@ -48,7 +51,11 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in place of each live credential; copied examples and everything else stay, and every document does."""
+    """Puts a mark in place of each live credential; copied examples and everything else stay, and every document does.
+
+    Null and empty texts have none; a null doc_id or source is a document or an owner like any other; repeated rows count once as a document and are all marked;
+    a text of any length is marked whole; an empty table stays empty, other columns stay as they are but n_chars, which follows the text.
+    """
     d, o, h, live = (unused(docs, c) for c in ("_d", "_o", "_h", "_live"))
     found = secrets.scan_secrets(docs.select("doc_id", "source", "text")).where(F.size("live") > 0)
     found = cut(found.select(F.col("doc_id").alias(d), F.col("owner").alias(o), F.col("text_hash").alias(h), F.col("live").alias(live)).distinct(), "live")
@@ -64,6 +71,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, or up to three times.
 
     Rows that share doc_id, source and number of words share their copies evenly; what is left over goes to the first of them by hash of the text.
+    Null and empty texts have no words and are not taken; null ids and sources are values like others; an empty table stays empty; other columns stay.
     """
     d, o, s, copies, rows, number = (unused(docs, c) for c in ("_d", "_o", "_s", "_copies", "_rows", "_number"))
     size = word_count(F.col("text"))
@@ -82,7 +90,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (packed), n_tokens and roundtrip of each document."""
+    """doc_id, ids (packed), n_tokens and roundtrip of each row: repeated rows each, null and empty texts without ids, texts of any length whole; an empty table gives none."""
     return sentence.encode(docs, sentence.load(), packed=True)
 
 
