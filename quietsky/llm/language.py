@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietsky.llm.common import table
+from quietsky.llm.common import give_back, table, tidied
 
 BITS = 12
 #: Documents of each language that are learned from, about; a language's are chosen by hash of doc_id.
@@ -125,7 +125,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOS
                 rows = np.minimum(counts(batch.column(1).slice(a, 256).to_pylist()), 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "counts"])
 
-    rows = sample.mapInArrow(run, "lang string, counts binary").collect()
+    rows = sample.mapInArrow(tidied(run), "lang string, counts binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
     x = features(np.stack([np.frombuffer(r["counts"], dtype="<u2") for r in rows]).astype(np.float32))
     return langs, code, fit(x, np.array([langs.index(r["lang"]) for r in rows]), code)
@@ -149,6 +149,7 @@ def language_of(text: Column, model: tuple[list[str], np.ndarray, np.ndarray], s
     def run(text: pa.Array) -> pa.Array:
         langs, code, w = shared.value
         out: tuple[list, list, list] = ([], [], [])
+        give_back()  # what tasks before left in this worker
         for a in range(0, len(text), 256):
             texts = text.slice(a, 256).to_pylist()
             known = [bool(langs) and t is not None and any(map(str.isalpha, t)) for t in texts]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietsky.llm.common import bucketed, cut, setting, table
+from quietsky.llm.common import bucketed, cut, setting, table, tidied
 
 SPACE = "▁"
 #: Stands for U+2581 in a text, as that stands for a space in pieces; a noncharacter.
@@ -436,7 +436,7 @@ def to_blocks(docs: DataFrame, vocab: Vocabulary, key: str, block_bytes: int) ->
             yield block()
 
     struct = f"block string, n binary, which binary, codes binary, length long, sizes binary, parts array<string>, keys array<{name}>, hashes array<bigint>"
-    return docs.select(key, "text").mapInArrow(run, struct)
+    return docs.select(key, "text").mapInArrow(tidied(run), struct)
 
 
 def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: int = COMMON, block_bytes: int = BLOCK_BYTES, packed: bool = False) -> DataFrame:
@@ -514,7 +514,7 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
                     yield pa.RecordBatch.from_arrays([keys.slice(a, z - a), column, pa.array(np.diff(tokens)), pa.array(right)], names=[key, "ids", "n_tokens", "roundtrip"])
                     a = z
 
-    return joined.mapInArrow(assemble, f"{key} {name}, ids {'binary' if packed else 'array<int>'}, n_tokens bigint, roundtrip boolean")
+    return joined.mapInArrow(tidied(assemble), f"{key} {name}, ids {'binary' if packed else 'array<int>'}, n_tokens bigint, roundtrip boolean")
 
 
 def _form(vocab: Vocabulary) -> str:
