@@ -64,7 +64,8 @@ def counts(texts: list[str | None]) -> np.ndarray:
 
 def features(c: np.ndarray) -> np.ndarray:
     x = np.sqrt(c)
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-9)
+    return x
 
 
 def codewords(n: int) -> np.ndarray:
@@ -127,8 +128,15 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOS
 
     rows = sample.mapInArrow(tidied(run), "lang string, counts binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
-    x = features(np.stack([np.frombuffer(r["counts"], dtype="<u2") for r in rows]).astype(np.float32))
-    return langs, code, fit(x, np.array([langs.index(r["lang"]) for r in rows]), code)
+    x, y = np.empty((len(rows), 1 << BITS), dtype=np.float32), np.array([langs.index(r["lang"]) for r in rows])
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r["counts"], dtype="<u2")
+    rows.clear()
+    x = features(x)
+    w = fit(x, y, code)
+    del x
+    give_back()  # on the driver, which has the sample's counts for a while
+    return langs, code, w
 
 
 def hash_of(key: str) -> Column:

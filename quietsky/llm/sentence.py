@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quietsky.llm.common import bucketed, cut, setting, table, tidied
+from quietsky.llm.common import bucketed, cut, give_back, setting, table, tidied
 
 SPACE = "▁"
 #: Stands for U+2581 in a text, as that stands for a space in pieces; a noncharacter.
@@ -469,6 +469,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
     order = np.argsort(hashes)
     ids, lengths = _expanded(got.column("ids").combine_chunks().take(pa.array(order)), vocab) if len(order) else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
     shared = spark.sparkContext.broadcast(_Common(hashes[order], ids, _ends(lengths)[:-1], lengths))
+    del got, hashes, order, ids, lengths
+    give_back()
 
     rare = each.select("block", "w", F.xxhash64("word").alias("h")).join(F.broadcast(top), "h", "left_anti").join(paths.where(F.col("n") < least).select("h", "ids"), "h")
     joined = blocks.join(rare.groupBy("block").agg(F.collect_list(F.struct("w", "ids")).alias("paths")), "block", "left")
