@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quietsky.llm.common import apart, cut, table
+from quietsky.llm.common import apart, cut, table, tidied
 
 SKETCH_BITS = 21
 CHUNK = 1 << 14
 MOST_MATCHES = 4
 #: Words of 64 bits in the parity bitmap of a set.
 PARITY = 4
+#: Words whose hashes a task keeps.
+MOST_WORDS = 100_000
 #: Pairs that meet one copy of a set.
 PAIRS_A_SET = 1000
 #: Rows of a bucket's length class that one row of another component is compared to in a task.
@@ -30,7 +32,7 @@ class _Words(dict):
     """Hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > MOST_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -103,7 +105,7 @@ def frequency_levels(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "counts"])
 
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    sums = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
+    sums = docs.select("text").mapInArrow(tidied(count), "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
     for r in sums.collect():  # a fixed number of chunks
         sketch[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], dtype=np.int64)
     mean = float(np.median(sketch))
@@ -153,7 +155,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, levels: np.ndarray, stan
                 cols = [batch.column(0).slice(a, 1000), pa.array(n, pa.int32()), pa.array(name, pa.binary()), pa.array(matches, pa.int32()), *(pa.array(bits[:, j]) for j in range(PARITY)), pa.ListArray.from_arrays(offsets, pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "name", "matches", *_BITS, "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n int, name binary, matches int, {', '.join(f'{b} long' for b in _BITS)}, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id long, n int, name binary, matches int, {', '.join(f'{b} long' for b in _BITS)}, tokens array<long>")
 
 
 def _prefix(n: Column, matches: Column, percent: int) -> Column:
@@ -218,7 +220,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(map(_name, sets), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).view(np.int64)))], names=["name", "tokens"])
 
     may, _ = apart(docs.where("doc_id is not null").select("doc_id", "text"), F.xxhash64("doc_id"), wanted.select(F.xxhash64("doc_id").alias("h")).distinct())
-    read = may.select("text").mapInArrow(run, "name binary, tokens array<long>").dropDuplicates(["name"])
+    read = may.select("text").mapInArrow(tidied(run), "name binary, tokens array<long>").dropDuplicates(["name"])
     return read.join(wanted.drop("doc_id"), "name")
 
 
