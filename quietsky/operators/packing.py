@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quietsky.sources.tables import GROUP
+from quietsky.sources.tables import BASELINE, GROUP
 
 
 def unique_baselines(df: DataFrame) -> DataFrame:
@@ -73,10 +73,13 @@ def gathered(df: DataFrame, keep: list[str]) -> DataFrame:
     What a window of a baseline is made of: its rows, with their arrays, and the times that other baselines have. Rows are not joined
     with anything, so their arrays are shuffled only when a baseline's rows are brought together.
     """
-    pair = [*GROUP, "antenna1", "antenna2"]
+    return df.select(*BASELINE, "row_id", "time", *keep, "data", "flag").unionByName(lines(df), allowMissingColumns=True)
+
+
+def lines(df: DataFrame) -> DataFrame:
+    """Each baseline of a group, with the group's times as `times`."""
     times = df.groupBy(*GROUP).agg(F.collect_set("time").alias("times"))
-    lines = df.select(*pair).distinct().join(times, GROUP)
-    return df.select(*pair, "row_id", "time", *keep, "data", "flag").unionByName(lines.select(*pair, "times"), allowMissingColumns=True)
+    return df.select(*BASELINE).distinct().join(times, GROUP).select(*BASELINE, "times")
 
 
 def unpacked(rows: DataFrame, windows: DataFrame) -> DataFrame:

@@ -6,17 +6,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quietsky.sources.tables import GROUP
+from quietsky.sources.tables import BASELINE
 
 
 def window_stats(df: DataFrame, antennas: DataFrame, channels: DataFrame, fields: DataFrame | None = None, n_bins: int = 10) -> DataFrame:
-    """dim, key, flagged, size of samples. dim: antenna, baseline, field, scan, ddid_bin.
+    """dim, key, flagged, size of samples: dimensions() of them. They are summed once, by group, baseline and channel; all counts come from that small table."""
+    base = df.groupBy(*BASELINE, "chan").agg(F.sum(F.col("flag").cast("long")).alias("flagged"), F.count("*").alias("size"))
+    return dimensions(base, antennas, channels, fields, n_bins)
 
-    Samples are summed once, by group, baseline and channel; all counts come from that small table. A baseline
-    counts for both of its antennas, an autocorrelation once. Frequency bins have n_bins edges from the lowest to the
+
+def dimensions(base: DataFrame, antennas: DataFrame, channels: DataFrame, fields: DataFrame | None = None, n_bins: int = 10) -> DataFrame:
+    """dim, key, flagged, size of base(BASELINE, chan, flagged, size). dim: antenna, baseline, field, scan, ddid_bin.
+
+    A baseline counts for both of its antennas, an autocorrelation once. Frequency bins have n_bins edges from the lowest to the
     highest channel; the highest one, and the last bin, are in none, and a bin's size is that of its whole data description.
     """
-    base = df.groupBy(*GROUP, "antenna1", "antenna2", "chan").agg(F.sum(F.col("flag").cast("long")).alias("flagged"), F.count("*").alias("size"))
     sums = [F.sum("flagged").alias("flagged"), F.sum("size").alias("size")]
     names = F.broadcast(antennas.select("antenna_id", "name"))  # a row for each antenna
     by_pair = base.groupBy("antenna1", "antenna2").agg(*sums)
@@ -36,12 +40,8 @@ def window_stats(df: DataFrame, antennas: DataFrame, channels: DataFrame, fields
 def _bins(base: DataFrame, channels: DataFrame, n_bins: int) -> DataFrame:
     """Counts by stretch of frequency; channels are those of every data description, or, with data_desc_id, of each. Without channels there are none."""
     by = ["data_desc_id", "chan"] if "data_desc_id" in channels.columns else ["chan"]
-    freq: dict[tuple, dict[int, float]] = {}
-    for r in channels.select(*by, "chan_freq").collect():  # a row for each channel of an instrument
-        freq.setdefault(tuple(r[:-2]), {})[r["chan"]] = r["chan_freq"]
     where = []
-    for d, by_chan in freq.items():
-        edges = np.linspace(min(by_chan.values()), max(by_chan.values()), n_bins)
+    for d, (by_chan, edges) in _edges(channels, n_bins).items():
         where += [(*d, c, b) for c, f in by_chan.items() if (b := int(np.searchsorted(edges, f, side="right")) - 1) < n_bins - 1]
     places = base.sparkSession.createDataFrame(where, ", ".join(f"{c} int" for c in by) + ", bin int")
     whole = base.groupBy("data_desc_id").agg(F.sum("size").alias("size"))
@@ -50,6 +50,20 @@ def _bins(base: DataFrame, channels: DataFrame, n_bins: int) -> DataFrame:
     return every.select(F.lit("ddid_bin").alias("dim"), F.concat_ws(":", "data_desc_id", "bin").alias("key"), F.coalesce("flagged", F.lit(0)).alias("flagged"), "size")
 
 
+def _edges(channels: DataFrame, n_bins: int) -> dict[tuple, tuple[dict[int, float], np.ndarray]]:
+    """Frequencies by channel, and edges of bins, of each data description, or, without data_desc_id, of (); read on the driver."""
+    by = ["data_desc_id"] if "data_desc_id" in channels.columns else []
+    freq: dict[tuple, dict[int, float]] = {}
+    for r in channels.select(*by, "chan", "chan_freq").collect():  # a row for each channel of an instrument
+        freq.setdefault(tuple(r[:-2]), {})[r["chan"]] = r["chan_freq"]
+    return {d: (by_chan, np.linspace(min(by_chan.values()), max(by_chan.values()), n_bins)) for d, by_chan in freq.items()}
+
+
+def edge_lines(channels: DataFrame, n_bins: int = 10) -> list[str]:
+    """The edges of the bins of each data description, in MHz, as a line of text."""
+    return [f"edges of ddid {':'.join(map(str, d)) or '0'}: {' '.join(f'{e / 1e6:.1f}' for e in edges)} MHz" for d, (_, edges) in sorted(_edges(channels, n_bins).items())]
+
+
 def merged(stats: list[DataFrame]) -> DataFrame:
     """The sums of several tables of counts."""
     every = stats[0]

@@ -98,28 +98,35 @@ def instrument(channels: DataFrame, masks: DataFrame | None, antennas: DataFrame
     return Instrument(hits, places)
 
 
-def flag_baselines(rows: DataFrame, strategies: list[dict], known: Instrument, keep: list[str] | None = None) -> DataFrame:
+#: Flagged samples of a channel of a window, before the steps and after them, and all its samples.
+COUNTS = "array<struct<before:bigint,after:bigint,size:bigint>>"
+
+
+def flag_baselines(rows: DataFrame, strategies: list[dict], known: Instrument, keep: list[str] | None = None, *, counted: bool = False, in_place: bool = False) -> DataFrame:
     """row_id, GROUP, time, antenna1, antenna2, keep, and flag, [chan][corr], of each of rows(these, data) after all steps.
 
     The one shuffle of data brings the rows of a baseline of a group together, as arrays; they are its window of time by channel for each
     correlation, and every step runs on that. Of several rows of one time the one with the highest row_id is in the window, and all get its flags.
     Times that only other baselines have are NaN and flagged in it, and so is what is null: a row's data or flag, a channel of it, or a number. Rows of a
     baseline whose shapes differ raise ValueError. Without steps a row keeps the flags it has.
+
+    counted: adds `counts`, by channel, of the window with its empty cells, in one row of each baseline, the one with the lowest row_id, null in the others.
+    in_place: rows that lie in buckets of baselines (tables.store_visibilities) stay where they are, and only the times come to them; of other rows the result is the same.
     """
     steps = checked(strategies)
     if not known.places and any(task == "apply_static_mask" and o.get("uvrange", "").strip() not in ("", "*") for task, o in steps):
         raise ValueError("a mask for a range of baselines needs the antennas' positions")
-    out = ["row_id", *packing.GROUP, "time", "antenna1", "antenna2", *(keep or []), "flag"]
+    out = ["row_id", *packing.GROUP, "time", "antenna1", "antenna2", *(keep or []), "flag", *(["counts"] if counted else [])]
 
-    def run(key: tuple, window: pa.Table) -> pa.Table:
-        field = {n: k.as_py() for n, k in zip([*packing.GROUP, "antenna1", "antenna2"], key, strict=True)}
-        grid = window.column("times").combine_chunks()
-        times = np.sort(grid.flatten().to_numpy())
-        own = window.filter(grid.is_null()).sort_by("row_id").combine_chunks()
+    def run(key: tuple, own: pa.Table, lists: pa.Array) -> pa.Table:
+        field = {n: k.as_py() for n, k in zip(packing.BASELINE, key, strict=True)}
+        times = np.sort(lists.flatten().to_numpy())
+        own = own.sort_by("row_id").combine_chunks()
         vis, before = _planes(own.column("data").combine_chunks(), own.column("flag").combine_chunks(), field)
         n_chan, n_corr = vis.shape[1:]
         at = np.searchsorted(times, own.column("time").to_numpy())
         new = np.zeros(vis.shape, dtype=bool)
+        sums = np.zeros((3, n_chan), dtype=np.int64)
         hits = known.hits.get(field["data_desc_id"], known.hits.get(-1, []))
         for corr in range(n_corr):
             plane, flag = np.full((len(times), n_chan), complex(np.nan, np.nan)), np.ones((len(times), n_chan), dtype=bool)
@@ -128,13 +135,30 @@ def flag_baselines(rows: DataFrame, strategies: list[dict], known: Instrument, k
             for task, o in steps:
                 flag = _step(task, o, plane, flag, first, field["antenna1"], field["antenna2"], hits, known.places)
             new[:, :, corr] = flag[at]
+            sums += np.stack([first.sum(0), flag.sum(0), np.full(n_chan, len(times))])
         inner = pa.ListArray.from_arrays(pa.array(np.arange(len(own) * n_chan + 1) * n_corr, pa.int32()), pa.array(new.ravel()))
         nested = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * n_chan, pa.int32()), inner)
-        return own.select(out[:-1]).append_column("flag", nested)
+        done = own.select([n for n in out if n not in ("flag", "counts")]).append_column("flag", nested)
+        if not counted:
+            return done
+        of_line = pa.StructArray.from_arrays([pa.array(x) for x in sums], names=["before", "after", "size"])
+        ends = pa.array([0] + [n_chan] * len(own), pa.int32())
+        return done.append_column("counts", pa.ListArray.from_arrays(ends, of_line, mask=pa.array(np.arange(len(own)) > 0)))
+
+    def together(key: tuple, window: pa.Table) -> pa.Table:
+        lists = window.column("times").combine_chunks()
+        return run(key, window.filter(lists.is_null()), lists)
+
+    def beside(key: tuple, own: pa.Table, line: pa.Table) -> pa.Table:
+        return run(key, own, line.column("times").combine_chunks())
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join(f"{n} {'array<array<boolean>>' if n == 'flag' else kinds[n]}" for n in out)
-    return packing.gathered(rows, keep or []).groupBy(*packing.GROUP, "antenna1", "antenna2").applyInArrow(run, schema)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"flag": "array<array<boolean>>", "counts": COUNTS}
+    schema = ", ".join(f"{n} {kinds[n]}" for n in out)
+    if in_place:
+        of = rows.select(*packing.BASELINE, "row_id", "time", *(keep or []), "data", "flag").groupBy(*packing.BASELINE)
+        line = packing.lines(rows).select(*[F.col(c).alias(f"_{c}") for c in packing.BASELINE], "times")
+        return of.cogroup(line.groupBy(*[f"_{c}" for c in packing.BASELINE])).applyInArrow(beside, schema)
+    return packing.gathered(rows, keep or []).groupBy(*packing.BASELINE).applyInArrow(together, schema)
 
 
 def _shape(lists: pa.Array, where: dict) -> tuple[int, int]:
@@ -237,20 +261,21 @@ def selected(rows: DataFrame, scans: list[int] | str | None, fields: DataFrame |
 
 
 def flag(rows: DataFrame, channels: DataFrame, corr_types: list[int] | dict[int, list[int]], *, strategies: list[dict] | None = None, mode: str = "standard", scans: list[int] | str | None = None,
-         fields: DataFrame | None = None, field_names: list[str] | None = None, antennas: DataFrame | None = None, masks: DataFrame | None = None, ignore_flags: bool = False, with_model: bool = False) -> DataFrame:
+         fields: DataFrame | None = None, field_names: list[str] | None = None, antennas: DataFrame | None = None, masks: DataFrame | None = None, ignore_flags: bool = False, with_model: bool = False,
+         counted: bool = False, in_place: bool = False) -> DataFrame:
     """New flags of main-table rows(row_id, GROUP, time, antenna1, antenna2, data, flag): the whole way, as one plan.
 
     Select, subtract the model, form the quantity, flag each baseline's window, and flag all correlations alike. Data
     descriptions may differ in channels and correlations: then channels has data_desc_id, and corr_types is by it.
-    A selection that nothing meets gives an empty table of the same columns.
+    A selection that nothing meets gives an empty table of the same columns. counted and in_place are those of flag_baselines().
     """
     rows = selected(rows, scans, fields, field_names)
     if ignore_flags:
         rows = rows.withColumn("flag", F.transform("flag", lambda c: F.transform(c, lambda k: F.lit(False))))
     ready = quantity(rows, mode, corr_types, with_model)
-    out = packing.equalised(flag_baselines(ready, DEFAULT if strategies is None else strategies, instrument(channels, masks, antennas)))
+    out = packing.equalised(flag_baselines(ready, DEFAULT if strategies is None else strategies, instrument(channels, masks, antennas), counted=counted, in_place=in_place))
     if mode != "standard":
         own = corr_types if isinstance(corr_types, dict) else {}
         n = F.coalesce(*[F.when(F.col("data_desc_id") == d, len(c)) for d, c in own.items()]) if own else F.lit(len(corr_types))
         out = out.withColumn("flag", F.transform("flag", lambda f: F.array_repeat(f[0], n)))
-    return out.select("row_id", *packing.GROUP, "time", "antenna1", "antenna2", "flag")
+    return out.select("row_id", *packing.GROUP, "time", "antenna1", "antenna2", "flag", *(["counts"] if counted else []))

@@ -504,13 +504,19 @@ def tables_to_flags_polarisation(spark, d):
     return _tables(spark, d, "polarisation")
 
 
+def _observation(spark: SparkSession) -> str:
+    """A new folder with the side tables."""
+    place = f"{folder(spark)}/observation-{uuid.uuid4().hex}"
+    for name, side in fixtures.side_tables(spark).items():
+        side.write.parquet(f"{place}/{name}")
+    return place
+
+
 @query(_AMPLITUDE)
 def flags_through_files(spark, d):
     """Tables and mask files that are written, read, flagged and committed twice; what is read back are the last flags of each group."""
-    place = f"{folder(spark)}/observation-{uuid.uuid4().hex}"
+    place = _observation(spark)
     fixtures.described_rows(spark, d).write.partitionBy(*tables.GROUP).parquet(f"{place}/main")
-    for name, side in fixtures.side_tables(spark).items():
-        side.write.parquet(f"{place}/{name}")
     masks = fixtures.mask_files(spark, f"{place}/masks")
     main, side = tables.read_visibilities(spark, f"{place}/main"), tables.read_side_tables(spark, place)
     options = application.Options(scans="0~3", field_names=["3C286", "1"])
@@ -521,6 +527,27 @@ def flags_through_files(spark, d):
     return both.select("row_id", "data_desc_id", "chan", F.posexplode("f").alias("corr", "flag"))
 
 
+def _stored_run(spark: SparkSession, d: str) -> tuple[str, str]:
+    """Folder and version of the flags of a main table that lies in buckets of baselines; the table leaves the catalog again, its files stay."""
+    place, name = _observation(spark), f"quietsky_{uuid.uuid4().hex}"
+    masks = fixtures.mask_files(spark, f"{place}/masks")
+    tables.store_visibilities(fixtures.described_rows(spark, d), name, f"{place}/main", 8)
+    try:
+        options = application.Options(scans="0~3", field_names=["3C286", "1"], mask_folders=(f"{place}/masks",), stored=name)
+        version = application.flag_and_commit(spark, place, f"{place}/flags", options, _PLAIN)
+    finally:
+        spark.sql(f"drop table {name}")
+    return place, version
+
+
+@query(_AMPLITUDE)
+def flags_of_a_stored_table(spark, d):
+    """The same flags from a table in buckets of baselines, which are flagged where they lie."""
+    place, _ = _stored_run(spark, d)
+    both = tables.read_flags(spark, f"{place}/flags").select("row_id", "data_desc_id", F.posexplode("flag").alias("chan", "f"))
+    return both.select("row_id", "data_desc_id", "chan", F.posexplode("f").alias("corr", "flag"))
+
+
 _NAMES = "['A1', 'A2', 'A3', 'A4']"
 _S = "sum(flag::int)::bigint flagged, count(*)::bigint size"
 
@@ -574,6 +601,33 @@ def flag_summary_report(spark, d):
     return stats.summary(_stats(spark, d), before).where("dim in ('baseline', 'antenna')")
 
 
+#: Windows of all baselines by all times of a scan; what has no row is flagged, and stays so.
+_WINDOWS = f"""{_TABLES}, p as (select row_id, chan, bool_or(flag) b, bool_or(flag) or bool_or(re is null) or bool_and(coalesce(re = 0 and im = 0, false)) f
+  from e2s where scan_number % 2 = 0 or (chan < 4 and corr < 2) group by row_id, chan),
+own as (select distinct l.scan_number, l.antenna1, l.antenna2, l.t, l.chan, p.b, p.f or {_ON} f from last l join p on p.row_id = last_id and p.chan = l.chan),
+cells as (select b.scan_number, b.antenna1, b.antenna2, t.t, c chan, coalesce(own.b, true) b, coalesce(own.f, true) f
+  from (select distinct scan_number, antenna1, antenna2 from e2 where scan_number between 0 and 3) b join (select distinct scan_number, t from e2) t using (scan_number), range(8) r(c)
+  left join own on own.scan_number = b.scan_number and own.antenna1 = b.antenna1 and own.antenna2 = b.antenna2 and own.t = t.t and own.chan = c where scan_number % 2 = 0 or c < 4)"""
+_COUNTED = "sum(b::int)::bigint before, sum(f::int)::bigint flagged, count(*)::bigint size"
+
+
+@query(
+    f"""with {_WINDOWS},
+n as (select 'antenna' dim, {_NAMES}[a + 1] "key", {_COUNTED} from (select unnest(list_distinct([antenna1, antenna2])) a, b, f from cells) group by all
+  union all select 'baseline', {_NAMES}[antenna1 + 1] || '&' || {_NAMES}[antenna2 + 1], {_COUNTED} from cells group by all
+  union all select 'field', ['3C286', 'PKS1934-63'][scan_number % 2 + 1], {_COUNTED} from cells group by all
+  union all select 'scan', scan_number::varchar, {_COUNTED} from cells group by all
+  union all select 'ddid_bin', (scan_number % 2) || ':' || k, coalesce(sum(b::int) filter (bin = k), 0)::bigint, coalesce(sum(f::int) filter (bin = k), 0)::bigint, count(*)::bigint
+    from (select *, case when scan_number % 2 = 0 then case when chan < 7 then floor(chan * 9 / 7) end when chan < 3 then chan * 3 end bin from cells), range(10) r(k) group by all)
+select dim, "key", before, flagged, size from n"""
+)
+def run_report(spark, d):
+    """All five reports of a whole run, from the counts that its tasks made; the main table is not read again."""
+    place, version = _stored_run(spark, d)
+    after, before = application.counts(spark, place, f"{place}/flags", version)
+    return after.join(before.select("dim", "key", F.col("flagged").alias("before")), ["dim", "key"]).select("dim", "key", "before", "flagged", "size")
+
+
 @query(f"with {_E2} select row_id, chan, corr, re is null or (re = 0 and im = 0) flag from e2s")
 def ignore_flags(spark, d):
     return flags.flag_nans_and_zeros(flags.unflag(_long(spark, d))).select("row_id", "chan", "corr", "flag")

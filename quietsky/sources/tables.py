@@ -16,6 +16,8 @@ from quietsky.functions.grammar import dilation
 
 #: A group is one independent observation.
 GROUP = ["field_id", "data_desc_id", "scan_number"]
+#: A window is made of the rows of one of these.
+BASELINE = [*GROUP, "antenna1", "antenna2"]
 SIDE_TABLES = ("antenna", "field", "data_description", "spectral_window", "polarization")
 
 
@@ -24,7 +26,25 @@ def read_visibilities(spark: SparkSession, path: str, data_column: str = "data",
 
     row_id is the table's own, or, without one, text of the row's file and its place there: the same in every read.
     """
-    df = spark.read.parquet(path)
+    return _needed(spark.read.parquet(path), data_column, model_column)
+
+
+def store_visibilities(rows: DataFrame, name: str, path: str, buckets: int) -> None:
+    """Rows of a main table as the table `name` of the catalog, its files in `path`: a file for each bucket of baselines, sorted by baseline and time.
+
+    A bucket holds whole baselines of groups, so flagging such a table `in_place` moves no data. A baseline with a third of all rows
+    is in one bucket, as it is in one task of any flagging. Repeated and null rows are kept; no rows make an empty table. A table of that name raises.
+    """
+    dealt = rows.repartition(buckets, *BASELINE)
+    dealt.write.bucketBy(buckets, *BASELINE).sortBy(*BASELINE, "time").option("path", path).saveAsTable(name)
+
+
+def read_stored(spark: SparkSession, name: str, data_column: str = "data", model_column: str | None = None) -> DataFrame:
+    """The columns that flagging needs of a table of the catalog, in its buckets."""
+    return _needed(spark.table(name), data_column, model_column)
+
+
+def _needed(df: DataFrame, data_column: str, model_column: str | None) -> DataFrame:
     place = F.concat(F.col("_metadata.file_path"), F.lit(":"), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
     row_id = F.col("row_id") if "row_id" in df.columns else place.alias("row_id")
     columns = [row_id, *GROUP, "time", "antenna1", "antenna2", F.col(data_column).alias("data"), "flag"]
@@ -157,6 +177,12 @@ def commit_flags(flags: DataFrame, path: str) -> str:
     return version
 
 
+def read_counts(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """BASELINE, chan, before, after and size, in samples of windows, of one version of flags that were counted; nothing else of the version is read."""
+    each = spark.read.parquet(f"{path}/version={version}").where("counts is not null").select(*BASELINE, F.posexplode("counts").alias("chan", "_c"))
+    return each.select(*BASELINE, "chan", "_c.before", "_c.after", "_c.size")
+
+
 def commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     """Numbers and versions of what has been committed, in order."""
     place, fs = _hadoop(spark, f"{path}/_commits")
@@ -175,11 +201,11 @@ def commits(spark: SparkSession, path: str) -> list[tuple[int, str]]:
 
 
 def read_flags(spark: SparkSession, path: str) -> DataFrame:
-    """Of each group the flags of the last committed version that holds it. Without a commit FileNotFoundError."""
+    """Of each group the flags of the last committed version that holds it, without the counts. Without a commit FileNotFoundError."""
     known = commits(spark, path)
     if not known:
         raise FileNotFoundError(f"no flags have been committed to {path}")
     every = spark.read.option("basePath", path).parquet(*[f"{path}/version={v}" for _, v in known])
     order = F.broadcast(spark.createDataFrame(known, "_n long, version string"))  # a row for each commit
     last = every.select("version", *GROUP).distinct().join(order, "version").groupBy(*GROUP).agg(F.max_by("version", "_n").alias("version"))
-    return every.join(last, [*GROUP, "version"]).drop("version")
+    return every.join(last, [*GROUP, "version"]).drop("version", "counts")
