@@ -633,6 +633,38 @@ def test_top_k_equals_brute_force_with_hot_vectors_and_ties(spark):
     assert rows(got) == want
 
 
+def test_top_k_sends_queries_only_to_near_blocks(spark, monkeypatch):
+    """Clusters far apart: a query's partners are in its own, and so are the blocks that it goes to; what the blocks were given is counted."""
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(12, 16)) * 300
+    data = [(i, [float(x) for x in np.floor(middles[i % 12] + rng.normal(size=16) * 9)]) for i in range(1200)]
+    df = spark.createDataFrame(data, "vec_id long, v array<double>").withColumns({"query_id": F.lit("x"), "cell": F.lit(1), "block": F.lit("b"), "is_query": F.lit(0), "dim": F.lit(None).cast("string")})
+    met = voronoi.top_k(df, F.col("vec_id") % 20 == 0, k=4, n_pivots=60, group_size=10, block_size=50)
+    got = {q: [(i, s) for _, i, s in sorted(each)] for q, each in by_query(met)}
+    x = np.array([v for _, v in data])
+    for q in range(0, 1200, 20):
+        score = x @ x[q]
+        best = sorted((-s, i) for i, s in enumerate(score) if i != q)[:4]
+        assert got[q] == [(i, -int(s)) for s, i in best]
+    whole = voronoi._best
+    sizes = spark.sparkContext.accumulator(0)
+
+    def counted(queries, query_ids, rows, ids, k):
+        sizes.add(len(queries) * len(rows))
+        return whole(queries, query_ids, rows, ids, k)
+
+    monkeypatch.setattr(voronoi, "_best", counted)
+    voronoi.top_k(df, F.col("vec_id") % 20 == 0, k=4, n_pivots=60, group_size=10, block_size=50).count()
+    assert 0 < sizes.value < 60 * 1200 / 3
+
+
+def by_query(met):
+    out = {}
+    for r in met.collect():
+        out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return out.items()
+
+
 def test_top_k_with_an_id_repeated_in_other_cells(spark):
     points = [(1, 10.0, True)] + [(1, 100.0 + i, True) for i in range(4)] + [(5, 90.0 + i, False) for i in range(6)] + [(5, 4.0, True), (2, 1.0, False), (3, 2.0, False), (4, -5.0, False)]
     df = spark.createDataFrame([(i, [x, 0.0], q) for i, x, q in points], "vec_id long, v array<double>, q boolean")
