@@ -83,11 +83,16 @@ def lines(df: DataFrame) -> DataFrame:
 
 
 def unpacked(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """flag as [chan][corr] for each of rows(row_id, ..., bl, time_idx); false where no window has the row."""
+    """flag as [chan][corr] for each of rows(row_id, ..., bl, time_idx); false where no window has the row.
+
+    Windows are dense, so the samples of a cell in the order of channel and correlation, brought together once, are its rows of correlations end to end.
+    """
     cell = [*GROUP, "bl", "time_idx"]
-    by_chan = windows.groupBy(*cell, "chan").agg(F.transform(F.array_sort(F.collect_list(F.struct("corr", "flag"))), lambda x: x["flag"]).alias("f"))
-    flags = by_chan.groupBy(*cell).agg(F.transform(F.array_sort(F.collect_list(F.struct("chan", "f"))), lambda x: x["f"]).alias("_f"))
+    cells = windows.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("chan", "corr", "flag"))).alias("_s"), (F.max("corr") + 1).cast("int").alias("_n"))
+    channels = F.sequence(F.lit(0), (F.size("_s") / F.col("_n")).cast("int") - 1)
+    nested = F.transform(channels, lambda c: F.transform(F.slice("_s", c * F.col("_n") + 1, F.col("_n")), lambda x: x["flag"]))
     none = F.transform(F.col("data"), lambda c: F.transform(c, lambda k: F.lit(False)))
+    flags = cells.select(*cell, nested.alias("_f"))
     return rows.join(flags, cell, "left").withColumn("flag", F.coalesce("_f", none)).drop("_f")
 
 

@@ -64,9 +64,10 @@ def interpolated(df: DataFrame, column: str) -> DataFrame:
 def blurred(df: DataFrame, axis: str, r: int, sums: list[str], counts: list[str], passes: int = PASSES) -> DataFrame:
     """df with sums along an axis, weighted by the box kernel, and plain counts over its support, in place of these columns; samples are dense.
 
-    A pass is a moving sum over 2 r + 1 places up to SLIDING, which adds nothing but its own values, so a large one nearby costs no digits; beyond, a difference of two
-    places of a running sum. Each line gets as many empty places beyond its ends as the passes reach, made from its first and last sample, for what leaves the line in one pass and
-    comes back in the next. All passes of a line share one sort.
+    A pass is a moving sum over 2 r + 1 places up to SLIDING, and beyond one of tiles of that size: any stretch of so many places is the end of a tile and the
+    beginning of the next. Either way nothing is added but the stretch's own values, so a large one elsewhere costs no digits, and a pass is linear in the line. Each line gets as many
+    empty places beyond its ends as the passes reach, made from its first and last sample, for what leaves the line in one pass and comes back in the next. All passes of a line share one
+    sort; wide ones turn it once each.
     """
     if r == 0:
         return df
@@ -84,12 +85,27 @@ def blurred(df: DataFrame, axis: str, r: int, sums: list[str], counts: list[str]
         if 2 * r < SLIDING:
             out = out.withColumns({c: F.sum(c).over(line.rowsBetween(-r, r)) / (2.0 * r + 1) for c in sums})
         else:
-            out = out.withColumns({c: _difference(out, c, line, r) / (2.0 * r + 1) for c in sums})
+            out = _tiled(out, axis, r, sums)
     return out.where("_to = 0").drop("_to")
 
 
+def _tiled(df: DataFrame, axis: str, r: int, sums: list[str]) -> DataFrame:
+    """Means over r places to each side, from running sums within tiles of 2 r + 1 places; wrong within r places of a line's ends, where blurred() has empty places that nothing reads."""
+    along, across = AXES[axis]
+    size = 2 * r + 1
+    tile = W.partitionBy(*PRODUCT, across, "_tile")
+    line = W.partitionBy(*PRODUCT, across).orderBy("_tile", along)  # a tile's own order, so these share a sort
+    out = df.withColumn("_tile", F.floor(F.col(along) / size))
+    out = out.withColumns({f"_end_{c}": F.sum(c).over(tile.orderBy(F.desc(along)).rowsBetween(W.unboundedPreceding, 0)) for c in sums})
+    out = out.withColumns({f"_begin_{c}": F.sum(c).over(tile.orderBy(along).rowsBetween(W.unboundedPreceding, 0)) for c in sums})
+    whole = F.pmod(F.col(along) - r, F.lit(size)) == 0
+    nothing = lambda c: F.coalesce(c, F.lit(0.0))
+    means = {c: (F.when(whole, F.lit(0.0)).otherwise(nothing(F.lag(f"_end_{c}", r).over(line))) + nothing(F.lead(f"_begin_{c}", r).over(line))) / size for c in sums}
+    return out.withColumns(means).drop("_tile", *[f"{x}_{c}" for c in sums for x in ("_end", "_begin")])
+
+
 def _difference(df: DataFrame, column: str, line: W, reach: int) -> Column:
-    """The sum over `reach` places to each side, from running sums."""
+    """The sum of whole numbers over `reach` places to each side, from running sums."""
     upto = F.sum(column).over(line.rowsBetween(W.unboundedPreceding, reach))
     before = F.coalesce(F.sum(column).over(line.rowsBetween(W.unboundedPreceding, -reach - 1)), F.lit(0))
     return (upto - before).cast(df.schema[column].dataType)

@@ -123,6 +123,18 @@ def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
         out.close()
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if there is no such folder."""
+    place, fs = _hadoop(spark, path)
+    return [f.getPath().getName() for f in fs.listStatus(place)] if fs.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder and all in it, if it is there."""
+    place, fs = _hadoop(spark, path)
+    fs.delete(place, True)
+
+
 def read_masks(spark: SparkSession, files: list[str], dilate: int | str | None = None) -> DataFrame:
     """mask_id, chan_idx, freq_hz and masked of mask files, numbered in the order of the list; read and dilated in tasks, from any store that Spark reads.
 

@@ -357,3 +357,42 @@ def test_a_scan_in_two_batches_keeps_all_its_rows(spark, tmp_path):
     whole = strategy.flag(rows, channels, [9, 10, 11, 12], strategies=steps)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == rows.count() and got.select(*key).exceptAll(whole.select(*key)).count() == 0
+
+
+def test_scans_that_are_over_are_let_go(spark, tmp_path):
+    """Three scans, a thousand apart, in turn; then rows that come too late for the first."""
+    from quietsky.streaming import scans
+
+    n = F.col("row_id") % 3
+    rows = fixtures.rows(spark, "/root/testdata/sf0.001").withColumns({"scan_number": n.cast("int"), "field_id": F.lit(0), "time": F.col("time") + 1000.0 * n}).cache()
+    steps = [{"name": "n", "task": "flag_nans_zeros"}]
+    channels = fixtures.channels(spark).where("chan < 8")
+    flagger = lambda b: strategy.flag(b, channels, [9, 10, 11, 12], strategies=steps)
+    out, cp = str(tmp_path / "out"), str(tmp_path / "cp")
+    late = F.col("row_id") % 30 == 0
+    for part in (rows.where((n == 0) & ~late), rows.where(n == 1), rows.where(n == 2), rows.where((n == 0) & late)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        q = scans.flag_scans(stream, flagger, out, cp, lateness=500.0)  # a new start each time: what is over is known from the folder
+        q.processAllAvailable()
+        q.stop()
+    kept = spark.read.parquet(f"{cp}-rows")
+    assert {r[0] for r in kept.select("scan_number").distinct().collect()} == {2}  # the first went with the third's batch, the second with the last
+    missed = scans.late_rows(spark, cp)
+    assert missed.count() == rows.where(late).count() > 0
+    assert len(list((tmp_path / "cp-seen").glob("_batch=*"))) == 2
+    key = ["row_id", F.to_json(F.struct("flag")).alias("f")]
+    got, whole = spark.read.parquet(out).select(*key), flagger(rows.where(~late)).select(*key)
+    assert got.count() == whole.count() and got.exceptAll(whole).count() == 0
+
+
+def test_a_repeated_batch_decides_alike(spark, tmp_path):
+    from quietsky.sources.tables import folders
+    from quietsky.streaming import scans
+
+    assert folders(spark, str(tmp_path / "none")) == [] and scans.late_rows(spark, str(tmp_path / "none")) is None
+    seen = str(tmp_path / "seen")
+    for number, last in ((0, 5.0), (3, 900.0)):
+        spark.createDataFrame([(0, 0, 0, last, False, number == 3)], "field_id int, data_desc_id int, scan_number int, last double, gone boolean, over boolean").write.parquet(f"{seen}/_batch={number}")
+    assert scans._seen(spark, seen, 0) is None
+    assert scans._seen(spark, seen, 3).first()["last"] == 5.0 and scans._seen(spark, seen, 4).first()["over"]

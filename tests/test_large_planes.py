@@ -131,6 +131,19 @@ def test_a_large_spike_costs_its_neighbours_no_digits(spark):
     assert (spiked[0, 33:] == plain[0, 33:]).all() and spiked[0, 20] > 1e9
 
 
+@pytest.mark.parametrize("axis", ["freq", "time"])
+def test_wide_filters_add_only_what_is_near(spark, axis):
+    """A spike of 1e12 beyond the reach of four passes leaves every bit of the means as it was, through tiles as through moving frames."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(2, 1, (1, 500)) if axis == "freq" else rng.normal(2, 1, (500, 1))
+    of = lambda: plane(th.blurred(long(spark, x, np.zeros(x.shape, bool)), axis, 33, ["amp"], []), "amp", x.shape).astype(float).ravel()
+    plain = of()
+    x.flat[20] = 1e12
+    spiked = of()
+    assert (spiked[20 + 4 * 33 + 1 :] == plain[20 + 4 * 33 + 1 :]).all() and spiked[20] > 1e8
+    assert np.allclose(spiked, kernels.box(x, 33, 4, 1 if axis == "freq" else 0).ravel(), rtol=1e-12, atol=1e-3)
+
+
 def test_committed_flags_survive_a_failed_run(spark, tmp_path):
     path = str(tmp_path / "flags")
     kind = "field_id int, data_desc_id int, scan_number int, row_id long, flag boolean"
