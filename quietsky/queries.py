@@ -244,6 +244,13 @@ def box_filter_freq(spark, d):
     return th.blurred(src, "freq", 2, ["amp"], []).where("chan between 0 and 63").select(*CELL, r6("amp").alias("amp"))
 
 
+@query(f"with {_E1}, {_kernel(32, 'k')} select bl, time_idx, chan + o chan, round(sum(coalesce(re, 0) * w), 6) + 0.0 amp from e1, k where chan + o between 0 and 63 group by all")
+def box_filter_wide(spark, d):
+    """A box wider than a line, in tiles."""
+    src = _e1(spark, d).withColumn("amp", F.coalesce("amp", F.lit(0.0)))
+    return th.blurred(src, "freq", 32, ["amp"], []).select(*CELL, r6("amp").alias("amp"))
+
+
 def _smooth(src: str, out: str, k1: str, k2: str, flag: str = "flag") -> str:
     return f"""{out}t as materialized (select bl, chan, time_idx + o time_idx, sum(coalesce(re, 0) * w) v, sum(w) u, count(*) n from {src}, {k1} where not {flag} group by bl, chan, time_idx + o),
 {out}f as materialized (select bl, time_idx, chan + o chan, sum(v * w) v, sum(u * w) u, sum(n) n from {out}t, {k2} group by bl, time_idx, chan + o),
