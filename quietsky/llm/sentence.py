@@ -29,6 +29,8 @@ COMMON = 1 << 19
 SEED = 42
 #: Characters of text in a block.
 BLOCK_BYTES = 32 << 20
+#: Texts that a task holds beside its block.
+ROWS_A_BATCH = 500
 #: Slots for the pieces' short substrings, by hash.
 GRAM_BITS = 22
 #: Words whose lattices a task makes, about.
@@ -423,15 +425,17 @@ def to_blocks(docs: DataFrame, vocab: Vocabulary, key: str, block_bytes: int) ->
 
         for batch in batches:
             kind = batch.column(0).type
-            for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys.append(k)
-                codes.append(np.fromiter(map(local.__getitem__, found(_escaped(text or ""))), dtype=np.int32))
-                hashes.append(xxhash.xxh64_intdigest(text or "") - (1 << 63))
-                size += len(text or "")
-                if size >= block_bytes:
-                    yield block()
-                    keys, codes, hashes, size = [], [], [], 0
-                    local.clear()
+            for a in range(0, batch.num_rows, ROWS_A_BATCH):
+                some = batch.slice(a, ROWS_A_BATCH)
+                for k, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                    keys.append(k)
+                    codes.append(np.fromiter(map(local.__getitem__, found(_escaped(text or ""))), dtype=np.int32))
+                    hashes.append(xxhash.xxh64_intdigest(text or "") - (1 << 63))
+                    size += len(text or "")
+                    if size >= block_bytes:
+                        yield block()
+                        keys, codes, hashes, size = [], [], [], 0
+                        local.clear()
         if keys:
             yield block()
 
@@ -450,7 +454,8 @@ def encode(docs: DataFrame, vocab: Vocabulary, *, key: str = "doc_id", common: i
     Ties are as in lattice(). Parts are held by 64-bit hashes; of a document with two that collide roundtrip is false.
     """
     spark = docs.sparkSession
-    blocks = bucketed(to_blocks(docs, vocab, key, block_bytes), "blocks", "block")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH):
+        blocks = bucketed(to_blocks(docs, vocab, key, block_bytes), "blocks", "block")
     each = blocks.select("block", F.posexplode("parts").alias("w", "word"))
     parts = cut(each.groupBy("word").agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("word")), "parts", "zstd")
     by_n = parts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("parts")).orderBy(F.col("n").desc()).collect()  # at most 2**16 rows
