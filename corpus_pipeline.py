@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from quietsky.llm import jaccard, language, mixing, secrets, sentence
-from quietsky.llm.common import apart, cut, shared_dir, table, unused, word_count
+from quietsky.llm.common import apart, cut, setting, shared_dir, table, unused, word_count
 
 #: An ambiguous decision with a score below this is a rejection.
 LEAST_SCORE = 0.5
+#: Rows that Python workers are given at once, and bytes of text in a block of the encoding: stages follow one another in the same executors, whose heaps have grown by then.
+ROWS_A_BATCH, BLOCK_BYTES = 1000, 8 << 20
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     k = unused(docs, "_k")
     key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
-    groups = cut(jaccard.near_components(docs.select(key.alias("doc_id"), "text"), width=5, percent=80), "groups")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_A_BATCH):
+        groups = cut(jaccard.near_components(docs.select(key.alias("doc_id"), "text"), width=5, percent=80), "groups")
     nodes = groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("k"), "component_id").agg(F.count("*").alias("n"))
     named = nodes.join(docs.select(key.alias("k"), "doc_id").where("k is not null").distinct(), "k")
     kept = cut(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "k", "n")).alias("kept")).select("kept.k", "kept.n"), "kept")
@@ -91,7 +94,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids (packed), n_tokens and roundtrip of each row: repeated rows each, null and empty texts without ids, texts of any length whole; an empty table gives none."""
-    return sentence.encode(docs, sentence.load(), packed=True)
+    return sentence.encode(docs, sentence.load(), block_bytes=BLOCK_BYTES, packed=True)
 
 
 STAGES = [
