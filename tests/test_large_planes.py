@@ -3,6 +3,7 @@
 import math
 import random
 import statistics
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -228,3 +229,44 @@ def test_an_empty_list_has_no_steps_and_null_data_is_flagged(spark):
     mixed = rows.withColumn("data", F.when(F.col("row_id") == one, F.slice("data", 1, 3)).otherwise(F.col("data")))
     with pytest.raises(Exception, match="several shapes"):
         run(mixed, []).collect()
+
+
+WIDE = {"windows_freq": [32, 48], "spike_width_time": 6.5, "spike_width_freq": 64.0, "background_iterations": 5, "num_major_iterations": 1}
+
+
+def test_kernels_hold_few_planes_however_wide_a_filter_is():
+    amp, flag = noisy((4000, 64))
+    vis = amp.astype(complex)
+    for run in (lambda: kernels.sum_threshold_flags(amp, flag, **WIDE), lambda: kernels.uvcontsub_flags(vis, flag, major_cycles=2)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 6 * amp.nbytes + (10 << 20)
+
+
+def test_slabs_change_no_flag(monkeypatch):
+    amp, flag = noisy((150, 40))
+    amp[3, 5] = np.nan
+    vis = amp * np.exp(1j * np.arange(40))
+    runs = lambda: [kernels.sum_threshold_flags(amp, flag, **OPTIONS), kernels.sum_threshold_flags(amp, flag, **WIDE), kernels.sum_threshold_flags(amp, flag, average_freq=3), kernels.uvcontsub_flags(vis, flag, sigma=3.0)]
+    monkeypatch.setattr(kernels, "SLAB", 1 << 30)
+    whole = runs()
+    monkeypatch.setattr(kernels, "SLAB", 1)
+    for fewest in (1, 7):
+        monkeypatch.setattr(kernels, "FEWEST", fewest)
+        assert all((a == b).all() for a, b in zip(whole, runs(), strict=True))
+    assert all(a.any() and not a.all() for a in whole)
+
+
+def test_batches_of_a_window_change_no_flag(spark):
+    rows = fixtures.rows(spark, "/root/testdata/sf0.001").withColumn("data", F.expr("if(row_id % 7 = 0, null, data)"))
+    steps = [{"task": "flag_nans_zeros"}, {"task": "uvcontsub_flagger", "kwargs": {"sigma": 3.0, "taylor_degrees": 3}}]
+    known = strategy.instrument(fixtures.channels(spark), None, None)
+    of = lambda: sorted((r["row_id"], str(r["flag"]), str(r["counts"])) for r in strategy.flag_baselines(rows, steps, known, counted=True).collect())
+    whole = of()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert of() == whole and len(whole) == 500
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
