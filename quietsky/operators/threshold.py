@@ -25,10 +25,18 @@ SLIDING = 64
 AXES = {"time": ("time_idx", "chan"), "freq": ("chan", "time_idx")}
 
 
-def amplitudes(df: DataFrame) -> DataFrame:
-    """amp from re and im, null where either is NaN. Samples lie by product from here on."""
+def by_lines(df: DataFrame, axis: str) -> DataFrame:
+    """df dealt by its lines along an axis, so that no task holds a product, into as many parts as a shuffle has.
+
+    Filters add places to lines, so parts are not joined, however few their bytes. The group is left out: where it is constant the optimizer drops it from windows, which would then deal anew.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bl", AXES[axis][1])
+
+
+def amplitudes(df: DataFrame, axis: str | None = None) -> DataFrame:
+    """amp from re and im, null where either is NaN. Samples lie by product from here on, or by the lines along an axis, if all that follows is along it."""
     amp = F.when(~F.isnan("re") & ~F.isnan("im"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
-    return df.repartition(*PRODUCT).withColumn("amp", amp)
+    return (by_lines(df, axis) if axis else df.repartition(*PRODUCT)).withColumn("amp", amp)
 
 
 def average_freq(df: DataFrame, k: int) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quietsky import queries
 from quietsky.functions import grammar
 from quietsky.operators import flags, iterated, kernels, medians, packing
 from quietsky.operators import threshold as th
@@ -270,3 +271,12 @@ def test_batches_of_a_window_change_no_flag(spark):
         assert of() == whole and len(whole) == 500
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("name", ["box_filter_wide", "box_filter_freq", "interp_nans", "convolve_flags", "combine_time_smear"])
+def test_queries_along_one_axis_deal_a_product_over_tasks(spark, name):
+    out = getattr(queries, name)(spark, "/root/testdata/sf0.001")
+    parts = out.select("bl", F.spark_partition_id().alias("p")).groupBy("bl").agg(F.countDistinct("p").alias("n")).collect()
+    assert len(parts) == 10 and all(r["n"] > 1 for r in parts)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in x for x in plan.splitlines()) == 2  # numbering the times, and this
