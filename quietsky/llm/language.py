@@ -80,8 +80,7 @@ def codewords(n: int) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, code: np.ndarray, steps: int = 120, ridge: float = 1e-5) -> np.ndarray:
-    """Weights of one logistic classifier for each bit, the last row its bias, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)]).astype(np.float32)
+    """Weights of one logistic classifier for each bit, the last row its bias, by accelerated gradient steps; x has 32-bit floats and ends in a column of ones."""
     target = ((code[y] + 1) / 2).astype(np.float32)
     weight = (1 / np.bincount(y, minlength=len(code))[y] / len(code)).astype(np.float32)[:, None]
     w = ahead = np.zeros((x.shape[1], code.shape[1]), dtype=np.float32)
@@ -128,11 +127,11 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOS
 
     rows = sample.mapInArrow(tidied(run), "lang string, counts binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["counts"])))
-    x, y = np.empty((len(rows), 1 << BITS), dtype=np.float32), np.array([langs.index(r["lang"]) for r in rows])
-    for i, r in enumerate(rows):
-        x[i] = np.frombuffer(r["counts"], dtype="<u2")
-    rows.clear()
-    x = features(x)
+    x, y = np.ones((len(rows), (1 << BITS) + 1), dtype=np.float32), np.array([langs.index(r["lang"]) for r in rows])
+    for a in range(0, len(rows), 256):  # the sample is on the driver once, as what is fitted
+        some = rows[a : a + 256]
+        x[a : a + 256, :-1] = features(np.stack([np.frombuffer(r["counts"], dtype="<u2") for r in some]).astype(np.float32))
+        rows[a : a + 256] = [None] * len(some)
     w = fit(x, y, code)
     del x
     give_back()  # on the driver, which has the sample's counts for a while

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -834,3 +835,13 @@ def test_other_columns_do_not_matter(spark, odd, which):
     wide = some.withColumns({c: F.lit(c) for c in INTERNAL if not (which == "likelihood" and c == "ids")})
     text = lambda df: Counter(str(r) for r in df.collect())
     assert text(run(wide)) == text(run(some))
+
+
+def test_the_language_sample_is_on_the_driver_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tracemalloc.start()
+    language.learned(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = docs.where("lang is not null and doc_id is not null").where(language.hash_of("doc_id") % 4 != 2).count()
+    assert peak < 3 * 4 * n * (1 << language.BITS)
