@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,7 +12,6 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quietsky.llm.common import cut, table
@@ -27,6 +27,8 @@ CHUNK = 1 << 14
 #: Rows of a block, numbered by 16 bits, and the rare words after which it ends.
 BLOCK = 1 << 14
 BLOCK_WORDS = 1 << 19
+#: Bytes of text, and rare words, for each range of hashes by which words are counted.
+PART_BYTES, PART_WORDS = 1 << 24, 1 << 20
 #: Logarithm of the odds of each letter of a word that no other document has.
 LETTER = -float(np.log(32))
 #: Parts in which a task's weights are summed first.
@@ -83,12 +85,29 @@ class _Memo(dict):
         return value
 
 
+def _narrow(n: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, in the narrowest type that holds all of them."""
+    return n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    """The n numbers of _narrow()."""
+    return np.frombuffer(packed, dtype=f"u{len(packed) // max(n, 1) or 1}").astype(np.int64)
+
+
+def _part(code: np.ndarray, parts: int) -> np.ndarray:
+    """In which of so many equal ranges of hashes each code lies; it ascends with the code."""
+    return ((code >> 31) + (1 << 32)) * parts >> 32
+
+
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
     """From the counts of all words of all documents: the `size` most frequent ones, ties by code point.
 
-    Tasks count their own words and send sums; the driver gets the top and the sums of the hash buckets. Classes
+    Tasks count their own words and send them by ranges of hashes, a row for each range, of which there are as many as the texts' bytes ask for.
+    A range has all counts of its words and gives its most frequent ones; the driver gets the top and the sums of the hash buckets. Classes
     divide the tokens, by frequency, into runs of about equal mass, after a class for each of the most frequent words.
     """
+    parts = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -96,20 +115,51 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 held.update((text or b"").lower().split())
                 if len(held) > 300_000:
-                    yield sums(held)
+                    yield dealt(held)
                     held.clear()
-        yield sums(held)
-
-    def sums(held: Counter) -> pa.RecordBatch:
-        words = list(held)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([_code(w) % RARE for w in words], pa.int32()), pa.array(held.values(), pa.int64())], names=["word", "bucket", "n"])
-
-    words = docs.select("text").mapInArrow(count, "word binary, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("n")).persist()
-    top = words.orderBy(F.col("n").desc(), "word").limit(size).collect()
+        yield dealt(held)
+
+    def dealt(held: Counter) -> pa.RecordBatch:
+        words, n = list(held), np.fromiter(held.values(), dtype=np.int64, count=len(held))
+        code = np.fromiter(map(_code, words), dtype=np.int64, count=len(words))
+        part = _part(code, parts)
+        order, ends = np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))
+        own = [order[a:b] for a, b in zip(np.append(0, ends[:-1]), ends, strict=True) if a < b]
+        sums = np.bincount(code % RARE, n, RARE).astype(np.int64)  # part -1
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([-1, *(int(part[i[0]]) for i in own)], pa.int32()),
+                pa.array([None, *(b" ".join([words[j] for j in i.tolist()]) for i in own)], pa.binary()),
+                pa.array([_narrow(sums), *(_narrow(n[i]) for i in own)], pa.binary()),
+            ],
+            names=["part", "words", "n"],
+        )
+
+    def top_of(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, int] = {}
+        sums = np.zeros(RARE, dtype=np.int64)
+        for batch in batches:
+            for words, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if words is None:
+                    sums += _wide(n, RARE)
+                    continue
+                own = words.split(b" ")
+                for word, m in zip(own, _wide(n, len(own)).tolist(), strict=True):
+                    held[word] = held.get(word, 0) + m
+        if key[0].as_py() < 0:
+            word, bucket, n = [None] * RARE, list(range(RARE)), sums.tolist()
+        else:
+            best = heapq.nsmallest(size, ((-m, w) for w, m in held.items()))
+            word, n = [w for _, w in best], [-m for m, _ in best]
+            bucket = [_code(w) % RARE for w in word]
+        yield pa.RecordBatch.from_arrays([pa.array(word, pa.binary()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64())], names=["word", "bucket", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "part int, words binary, n binary").groupBy("part").applyInArrow(top_of, "word binary, bucket int, n long").persist()
+    top = counts.where("word is not null").orderBy(F.col("n").desc(), "word").limit(size).collect()
     sums_ = np.zeros(RARE)
-    for r in words.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in counts.where("word is null").collect():
         sums_[r["bucket"]] = r["n"]
-    words.unpersist()
+    counts.unpersist()
     for r in top:
         sums_[r["bucket"]] -= r["n"]
     n = np.append([r["n"] for r in top], sums_) + 0.5
@@ -145,11 +195,13 @@ def blocks(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFrame
     """Tokens as encoded() makes them, and the places of rare words, in one table.
 
     A row of docs becomes key, block, place (its number within the block), ids and lost: the logarithms of the bucket
-    counts of its rare words, summed. A rare word of a block becomes block, word (its hash), ids, the place of each of its
-    occurrences, and lost, the logarithm of its odds if it is spelled by letters. Blocks are runs of a task's rows of bounded size.
+    counts of its rare words, summed. The rare words of a block that lie in one range of hashes become a row of block, part (the range) and, packed, word
+    (their hashes), own and size (occurrences and bytes of each) and ids, the place of each occurrence. Blocks are runs of a task's rows of bounded size,
+    and there are as many ranges as rare words ask for.
     """
     words = docs.sparkSession.sparkContext.broadcast(vocab)
     kind = f"{key} {docs.schema[key].dataType.simpleString()}"
+    parts = 1 + int(vocab.buckets.sum()) // PART_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = words.value
@@ -158,8 +210,9 @@ def blocks(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFrame
             weight = np.log(vocab.buckets)
         block, held, place, size = TaskContext.get().partitionId() << 32, [], 0, 0
 
-        def out(keys: pa.Array, word: pa.Array, place: pa.Array, ids: pa.Array, lost: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([keys, pa.array([block] * len(ids), pa.int64()), word, place, ids, lost], names=[key, "block", "word", "place", "ids", "lost"])
+        def out(keys: pa.Array, place: pa.Array, ids: pa.Array, lost: pa.Array, *words: pa.Array) -> pa.RecordBatch:
+            words = words or (pa.nulls(len(ids), pa.int32()), *[pa.nulls(len(ids), pa.binary())] * 3)
+            return pa.RecordBatch.from_arrays([keys, pa.array([block] * len(ids), pa.int64()), place, ids, lost, *words], names=[key, "block", "place", "ids", "lost", "part", "word", "own", "size"])
 
         def rare(like: pa.DataType) -> Iterator[pa.RecordBatch]:
             """The words of the block that ends here."""
@@ -167,12 +220,16 @@ def blocks(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFrame
             order = np.argsort(code, kind="stable")
             code, at = code[order], at[order]
             first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-            ends = np.append(first, len(code)).astype(np.int32) * 2
-            for a in range(0, len(first), 20_000):
-                some, cuts = code[first[a : a + 20_000]], ends[a : a + 20_001]
-                ids = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((cuts - cuts[0]).tobytes()), pa.py_buffer(at[cuts[0] // 2 : cuts[-1] // 2].tobytes())])
-                spelled = LETTER * (1 + np.fromiter(map(memo.sizes.__getitem__, some.tolist()), dtype=np.float64, count=len(some)))
-                yield out(pa.nulls(len(some), like), pa.array(some), pa.nulls(len(some), pa.int32()), ids, pa.array(spelled))
+            ends, some = np.append(first, len(code)), code[first]
+            own, sizes = np.diff(ends), np.fromiter(map(memo.sizes.__getitem__, some.tolist()), dtype=np.int64, count=len(some))
+            part = _part(some, parts)
+            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+            runs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            for i in range(0, len(runs), 64):
+                few = runs[i : i + 64]
+                packed_ = [[of(a, b) for a, b in few] for of in (lambda a, b: some[a:b].tobytes(), lambda a, b: _narrow(own[a:b]), lambda a, b: _narrow(sizes[a:b]))]
+                ids = pa.array([at[ends[a] : ends[b]].tobytes() for a, b in few], pa.binary())
+                yield out(pa.nulls(len(few), like), pa.nulls(len(few), pa.int32()), ids, pa.nulls(len(few), pa.float64()), pa.array([int(part[a]) for a, _ in few], pa.int32()), *(pa.array(c, pa.binary()) for c in packed_))
             memo.trim()
 
         like = None
@@ -190,7 +247,7 @@ def blocks(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFrame
                     place, size = place + 1, size + len(own)
                     if place == BLOCK or size >= BLOCK_WORDS:
                         break
-                yield out(batch.column(0).slice(a, len(ids)), pa.nulls(len(ids), pa.int64()), pa.array(range(start, place), pa.int32()), pa.array(ids, pa.binary()), pa.array(lost, pa.float64()))
+                yield out(batch.column(0).slice(a, len(ids)), pa.array(range(start, place), pa.int32()), pa.array(ids, pa.binary()), pa.array(lost, pa.float64()))
                 a += len(ids)
                 if place == BLOCK or size >= BLOCK_WORDS:
                     if held:
@@ -199,40 +256,61 @@ def blocks(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id") -> DataFrame
         if held:
             yield from rare(like)
 
-    return docs.select(key, "text").mapInArrow(run, f"{kind}, block long, word long, place int, ids binary, lost double")
+    return docs.select(key, "text").mapInArrow(run, f"{kind}, block long, place int, ids binary, lost double, part int, word binary, own binary, size binary")
 
 
 def word_shares(parts: DataFrame, vocab: Vocabulary) -> DataFrame:
     """block, place, gained and unseen, for rows that have rare words.
 
     gained: the logarithms of the counts of a row's rare words in all other documents, summed. A masked document does not vouch for its own
-    words: one that no other row has is spelled by letters within its bucket, and counts as unseen. Counts are summed by word over all
-    blocks, so a word is as many rows as there are blocks with it; then by block.
+    words: one that no other row has is spelled by letters within its bucket, and counts as unseen. A range of hashes has all occurrences of its
+    words; what it finds goes back by block, packed, a row for each block of the range.
     """
     shared = parts.sparkSession.sparkContext.broadcast(vocab.buckets)  # one number for each bucket
-    held = F.sum((F.length("ids") / 2).cast("long")).over(W.partitionBy("word"))
-    counted = parts.where("word is not null").select("block", "ids", held.alias("n"), "word", "lost")
 
-    def gained(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, unseen, seen = np.zeros(BLOCK), np.zeros(BLOCK, dtype=np.int64), np.zeros(BLOCK, dtype=bool)
+    def counted(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One range."""
         with np.errstate(divide="ignore"):
             bucket = np.log(shared.value)
+        block, words, own, size, ids = [], [], [], [], []
         for batch in batches:
-            ids = batch.column(1).to_pylist()
-            at = np.frombuffer(b"".join(ids), dtype=np.uint16)
-            row = np.repeat(np.arange(len(ids)), [len(x) // 2 for x in ids])
-            first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])))  # a word's places ascend
-            own = np.diff(np.append(first, len(at)))
-            n, word, spelled = (batch.column(i).to_numpy(zero_copy_only=False)[row[first]] for i in (2, 3, 4))
-            other = n - own
-            value = np.where(other > 0, np.log(np.maximum(other, 1)), bucket[word % RARE] + spelled)
-            total += np.bincount(at[first], own * value, BLOCK)
-            unseen += np.bincount(at[first], own * (other == 0), BLOCK).astype(np.int64)
+            for i, w, o, z, at in zip(*(batch.column(c).to_pylist() for c in range(1, 6)), strict=True):
+                block.append(i)
+                words.append(np.frombuffer(w, dtype=np.int64))
+                own.append(_wide(o, len(words[-1])))
+                size.append(_wide(z, len(words[-1])))
+                ids.append(np.frombuffer(at, dtype=np.uint16))
+        source = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        words, own, size, at = (np.concatenate(x) for x in (words, own, size, ids))
+        _, same = np.unique(words, return_inverse=True)
+        n = np.bincount(same, own).astype(np.int64)[same]
+        row = np.repeat(np.arange(len(words)), own)
+        first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])))  # a word's places ascend
+        row, mine = row[first], np.diff(np.append(first, len(at)))
+        other = n[row] - mine
+        value = np.where(other > 0, np.log(np.maximum(other, 1)), bucket[words[row] % RARE] + LETTER * (1.0 + size[row]))
+        slot, same = np.unique(source[row] * BLOCK + at[first], return_inverse=True)
+        gained, unseen = np.bincount(same, mine * value), np.bincount(same, mine * (other == 0)).astype(np.int64)
+        ends = np.searchsorted(slot, np.arange(len(block) + 1) * BLOCK).tolist()
+        for i in range(0, len(block), 64):
+            few = [slice(a, b) for a, b in zip(ends[i : i + 64], ends[i + 1 : i + 65], strict=False)]
+            cols = [[(slot[s] % BLOCK).astype(np.uint16).tobytes() for s in few], [gained[s].tobytes() for s in few], [_narrow(unseen[s]) for s in few]]
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(few), pa.int32()), pa.array(block[i : i + 64], pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "block", "at", "gained", "unseen"])
+
+    def summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One block, its ranges in their order."""
+        total, unseen, seen = np.zeros(BLOCK), np.zeros(BLOCK, dtype=np.int64), np.zeros(BLOCK, dtype=bool)
+        rows = sorted(r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4)), strict=True))
+        for _, at, gained, none in rows:
+            at = np.frombuffer(at, dtype=np.uint16)
+            total[at] += np.frombuffer(gained)
+            unseen[at] += _wide(none, len(at))
             seen[at] = True
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array(total[at]), pa.array(unseen[at])], names=["block", "place", "gained", "unseen"])
 
-    return counted.groupBy("block").applyInArrow(gained, "block long, place int, gained double, unseen long")
+    found = parts.where("part is not null").select("part", "block", "word", "own", "size", "ids").groupBy("part").applyInArrow(counted, "part int, block long, at binary, gained binary, unseen binary")
+    return found.groupBy("block").applyInArrow(summed, "block long, place int, gained double, unseen long")
 
 
 def windows(t: np.ndarray, at: np.ndarray, n_tokens: int) -> np.ndarray:
@@ -412,7 +490,7 @@ def score_words(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", rounds:
     for each other; a text of any length is one row; an empty table gives none.
     """
     parts = cut(blocks(docs, vocab, key), "tokens")
-    ids = parts.where("word is null").select(F.struct(key, "block", "place", "lost").alias("at"), "ids")
+    ids = parts.where("part is null").select(F.struct(key, "block", "place", "lost").alias("at"), "ids")
     plain = score(ids, train(ids, vocab, rounds), vocab, "at").select("at.*", "n_tokens", "pll")
     pll = F.col("pll") + F.coalesce(F.col("gained") - F.col("lost"), F.lit(0.0))
     mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))

@@ -520,6 +520,24 @@ def test_masked_likelihood_tells_rare_words_apart(spark, monkeypatch, block, wor
     assert n[b"twice3"] == 3 and n[b"junk3x"] == 1
 
 
+def test_rare_words_travel_packed(spark, monkeypatch):
+    """Words are counted by ranges of hashes: a block is a row for each range, not for each word, and any number of ranges gives the same counts."""
+    texts = [" ".join(["the", "of", *(f"w{i * j % 97}" for j in range(9)), *(f"{i}-{j}" for j in range(40)), "x" * (i * 7)]) for i in range(60)] + [None, "", "x" * 300]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS).coalesce(2)
+    n = Counter(w for t in texts for w in (t or "").encode().split())
+    want = [w for w, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[:20]]
+    got = []
+    for size, words in ((1 << 24, 1 << 20), (500, 300)):
+        monkeypatch.setattr(pseudo, "PART_BYTES", size)
+        monkeypatch.setattr(pseudo, "PART_WORDS", words)
+        vocab = pseudo.vocabulary(docs, 20)
+        assert list(vocab.ids) == want and vocab.buckets.sum() == sum(n.values()) - sum(n[w] for w in want)
+        rows = pseudo.blocks(docs, vocab).count() - len(texts)
+        assert rows <= 2 * (1 + sum(n.values()) // words)
+        got.append(sorted((r["doc_id"], r["unseen"], round(r["pll"], 6)) for r in pseudo.score_words(docs, vocab).collect()))
+    assert got[0] == got[1]
+
+
 def test_gradient_steps_are_those_of_the_loss():
     rng = np.random.default_rng(6)
     n_tokens, n = 30, 40
