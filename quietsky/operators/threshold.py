@@ -33,10 +33,14 @@ def by_lines(df: DataFrame, axis: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bl", AXES[axis][1])
 
 
+def amplitude() -> Column:
+    """From re and im, null where either is NaN."""
+    return F.when(~F.isnan("re") & ~F.isnan("im"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
+
+
 def amplitudes(df: DataFrame, axis: str | None = None) -> DataFrame:
     """amp from re and im, null where either is NaN. Samples lie by product from here on, or by the lines along an axis, if all that follows is along it."""
-    amp = F.when(~F.isnan("re") & ~F.isnan("im"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")))
-    return (by_lines(df, axis) if axis else df.repartition(*PRODUCT)).withColumn("amp", amp)
+    return (by_lines(df, axis) if axis else df.repartition(*PRODUCT)).withColumn("amp", amplitude())
 
 
 def average_freq(df: DataFrame, k: int) -> DataFrame:

@@ -280,3 +280,53 @@ def test_queries_along_one_axis_deal_a_product_over_tasks(spark, name):
     assert len(parts) == 10 and all(r["n"] > 1 for r in parts)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange hashpartitioning" in x for x in plan.splitlines()) == 2  # numbering the times, and this
+
+
+def test_plane_medians_are_exact(spark):
+    rng = np.random.default_rng(3)
+    planes = {0: rng.normal(0, 1, (301, 6)), 1: rng.integers(-2, 3, (40, 6)).astype(float), 2: np.full((5, 6), np.nan), 3: rng.lognormal(0, 30, (64, 6)) * rng.choice([-1, 1], (64, 6))}
+    planes[0][:, 2], planes[0][7, 3], planes[1][:, 4] = np.nan, np.nan, -0.0
+    rows = [(0, 0, 0, bl, 0, i, x[a : a + 50].tobytes()) for bl, x in planes.items() for i, a in enumerate(range(0, len(x), 50))]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} int" for k in th.PRODUCT) + ", tile int, x binary").repartition(3)
+    to = np.array([0, 0, 1, 2, 3, 3])
+    for group in (np.arange(6), to):
+        found = iterated.plane_medians(df, lambda r: np.frombuffer(r["x"]).reshape(-1, 6), group)
+        got = {r["bl"]: iterated._medians(r.asDict(), 6) for r in found.collect()}
+        assert 2 not in got
+        for bl, own in got.items():
+            for g in range(6):
+                v = planes[bl][:, group == g]
+                v = v[~np.isnan(v)]
+                assert np.isnan(own[g]) if not v.size else own[g] == np.median(v), (bl, g)
+
+
+@pytest.mark.parametrize("samples", [1, 1 << 16])
+def test_planes_are_dealt_by_tiles(spark, monkeypatch, samples):
+    """Several planes at once, of more times than a tile has and of fewer than a window."""
+    monkeypatch.setattr(iterated, "SAMPLES", samples)
+    options = {**OPTIONS, "num_major_iterations": 2, "background_iterations": 2, "average_freq": 2}
+    planes = {b: noisy((n, 24), seed=b) for b, n in enumerate((150, 64, 5, 1))}
+    planes[1][0][20, 4] = 1e9
+    df = None
+    for b, (amp, flag) in planes.items():
+        own = long(spark, amp, flag).withColumn("bl", F.lit(b))
+        df = own if df is None else df.unionByName(own)
+    out = iterated.sum_threshold_flagger(df, 24, **options)
+    for b, (amp, flag) in planes.items():
+        got = plane(out.where(F.col("bl") == b), "flag", amp.shape).astype(bool)
+        assert (got == kernels.sum_threshold_flags(amp, flag, **options)).all(), b
+    sizes = iterated.tiles(df, 24, max(64, samples // 24)).select(F.length("flag")).collect()
+    assert max(n for (n,) in sizes) == (64 if samples == 1 else 150) * 24
+    assert iterated.sum_threshold_flagger(df.limit(0), 24, **options).count() == 0
+    with pytest.raises(Exception, match="not dense"):
+        iterated.sum_threshold_flagger(df.where("bl > 0 or chan <> 3"), 24, **options)
+
+
+@pytest.mark.parametrize("r", [3, 33])
+def test_tiles_add_only_what_is_near(r):
+    x = np.random.default_rng(12).normal(2, 1, (500, 2))
+    plain = kernels.box(x, r, 4, 0, kernels.near_sums)
+    assert np.allclose(plain, kernels.box(x, r, 4, 0), rtol=1e-12)
+    assert (kernels.box(x[40:], r, 4, 0, kernels.near_sums)[4 * r :] == plain[40 + 4 * r :]).all()
+    x[20] = 1e12
+    assert (kernels.box(x, r, 4, 0, kernels.near_sums)[20 + 4 * r + 1 :] == plain[20 + 4 * r + 1 :]).all()
